@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, url_filter
-from .common import doc_key, table
+from . import decontamination, line_dedup, mixing, simhash, toxicity, url_filter
+from .common import doc_key, held_out, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
 MIX_SEED = 7
@@ -65,5 +65,29 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict
 ) m ON c.host = m.host AND c.path = m.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mix": op2_mix, "op3_decontaminate": op3_decontaminate, "op5_url_filter": op5_url_filter}
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_ids(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of templates that recur across documents."""
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_url_filter": op5_url_filter,
+    "op6_simhash": op6_simhash,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": OP5_SQL}

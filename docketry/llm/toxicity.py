@@ -28,11 +28,15 @@ from .common import broadcast_if_small, held_out, materialize
 SAMPLE_ROWS = 40_000
 #: At most so many stems enter the lexicon, those with the most evidence first.
 MAX_TERMS = 2_000
-MIN_STEM = 4
+MIN_STEM = 3
 #: Stems shorter than this allow no misspelling.
 MIN_FUZZY = 5
 #: Least number of toxic documents with a stem, and how much more frequent it is in them.
 MIN_TOXIC, MIN_RATIO = 5, 20.0
+#: The same as a share of the toxic documents.
+MIN_SHARE = 0.01
+#: Hits with smaller log-odds than this count for nothing.
+MIN_EVIDENCE = 2.0
 #: Words on either side that make a hit's context.
 WINDOW = 8
 THRESHOLD = 0.3
@@ -179,20 +183,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def choose_stems(sample: DataFrame, counts: dict[int, int], most: int = MAX_TERMS) -> list[str]:
-    """Stems (word beginnings, or whole words marked by END) that mark toxic rows; the shortest that does, of those that begin alike."""
+    """Stems (word beginnings, or whole words marked by END) that mark toxic rows.
+
+    Of stems that begin alike the shortest counts, made longer as long as that
+    keeps nearly all its toxic documents.  Texts count once.
+    """
     positive, negative = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
-    words = sample.select("toxic", F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    words = sample.dropDuplicates(["text", "toxic"]).select("toxic", F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     whole = F.concat("word", F.lit(END))
     starts = F.transform(F.sequence(F.lit(MIN_STEM), F.length(whole)), lambda n: F.substring(whole, F.lit(1), n))
     table = words.filter(F.length("word") >= MIN_STEM).select(F.explode(starts).alias("stem"), "bad", "n").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     ratio = ((F.col("bad") + 0.5) / positive) / ((F.col("n") - F.col("bad") + 0.5) / negative)
-    good = table.withColumn("ratio", ratio).filter((F.col("bad") >= MIN_TOXIC) & (F.col("ratio") >= MIN_RATIO))
-    ranked = good.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(10 * most).select("stem").collect()  # bounded by the parameter
-    chosen: set[str] = set()
-    for stem in sorted((r["stem"] for r in ranked), key=len):
-        if not any(stem[:n] in chosen for n in range(MIN_STEM, len(stem))):
-            chosen.add(stem)
-    return [s for s in dict.fromkeys(r["stem"] for r in ranked) if s in chosen][:most]
+    good = table.filter((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * positive)) & (ratio >= MIN_RATIO))
+    ranked = good.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(10 * most).collect()  # bounded by the parameter
+    stats = {r["stem"]: (r["bad"], r["n"]) for r in ranked}
+    shortest: list[str] = []
+    for stem in sorted(stats, key=lambda s: (len(s), s)):
+        if not any(stem[:n] in shortest for n in range(MIN_STEM, len(stem))):
+            shortest.append(stem)
+    out = []
+    for stem in shortest:
+        while True:
+            longer = [s for s, (bad, n) in stats.items() if len(s) == len(stem) + 1 and s.startswith(stem) and bad >= 0.95 * stats[stem][0] and (s[-1] != END or n - bad < stats[stem][1] - stats[stem][0])]
+            if not longer:
+                break
+            stem = longer[0]
+        out.append(stem)
+    return sorted(out, key=lambda s: (-stats[s][0], s))[:most]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> list[float]:
@@ -230,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int
     seen = sample.mapInPandas(find, "stem int, edits int, toxic int").groupBy("stem", "edits").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()  # two rows a stem at most
     for r in seen:
         odds = math.log((r["bad"] + 0.1) / counts[1]) - math.log((r["n"] - r["bad"] + 0.1) / counts[0])
-        model.evidence[r["stem"], r["edits"]] = max(0.0, odds)
+        model.evidence[r["stem"], r["edits"]] = odds if odds >= MIN_EVIDENCE else 0.0
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

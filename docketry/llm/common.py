@@ -34,6 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: cuts lineage, outlives executors."""
     path = f"{scratch_dir(df.sparkSession)}/docketry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what is written now
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, simhash, toxicity, url_filter
+from . import bwt_dedup, decontamination, line_dedup, mixing, simhash, suffix_tree_dedup, toxicity, url_filter
 from .common import doc_key, held_out, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
 MIX_SEED = 7
 
 
+def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n") - F.length("kept")
+    return cut.select("doc_id", F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_tree_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return cut.select("doc_id", F.col("n").alias("n_words"), removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated so that every source has the same expected number of rows."""
     return mixing.mix(table(spark, sf_dir, "documents"), None, 1.0, MIX_SEED)
@@ -83,10 +95,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bwt_dedup": op1_bwt_dedup,
     "op2_mix": op2_mix,
     "op3_decontaminate": op3_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
+    "op8_suffix_tree_dedup": op8_suffix_tree_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }

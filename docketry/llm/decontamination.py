@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, doc_key
+from .common import broadcast_if_small, doc_key, materialize
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -72,7 +72,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     flat = hashed.select("k1", "k2", F.floor(F.log2(F.greatest(F.size("hashes") / threshold, F.lit(1.0)))).cast("int").alias("doc_class"), F.explode("hashes").alias("hash"))
     hits = flat.join(broadcast_if_small(probe), "hash").filter("size_class <= doc_class")
     pairs = hits.select("k1", "k2", F.explode("items").alias("item_id")).distinct()
-    found = pairs.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items"))
+    found = materialize(pairs.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items")))
     texts = docs.select(*doc_key(), "text").join(broadcast_if_small(found), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     checked = texts.select("k1", "k2", "items", F.array_distinct(shingles(words_of(F.col("text")), size)).alias("own")).select("k1", "k2", "own", F.explode("items").alias("item_id"))
     exact = checked.join(broadcast_if_small(known.select("item_id", "shingles", "q", "least"), 20_000), "item_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontamination, line_dedup, mixing, simhash, suffix_tree_dedup, toxicity, url_filter
+from . import bwt_dedup, decontamination, language_id, line_dedup, media, mixing, simhash, suffix_tree_dedup, toxicity, url_filter
 from .common import doc_key, held_out, table
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -78,6 +78,21 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", held_out().alias("held_out"), language_id.identify(F.col("text"), language_id.train(docs)).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.ambiguous").alias("ambiguous"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.media_column(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -media.BLOCK, media.BLOCK)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("codes"), F.sha2(F.array_join(F.transform("codes", lambda c: F.hex(c)), ",").cast("binary"), 256)).alias("feature"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
@@ -98,8 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bwt_dedup": op1_bwt_dedup,
     "op2_mix": op2_mix,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
     "op8_suffix_tree_dedup": op8_suffix_tree_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,

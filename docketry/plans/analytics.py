@@ -234,8 +234,9 @@ def strict_dates(spark, sf_dir):
 
 def skew_slope(spark, sf_dir):
     """Least-squares slope of price over quantity by order, at least three rows, clamped (AGG-31)."""
-    slope = F.regr_slope("l_extendedprice", "l_quantity") / 1e6
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(slope, 6).alias("raw")).filter("n >= 3").select("l_orderkey", "n", (F.round(F.greatest(F.least("raw", F.lit(0.05)), F.lit(-0.05)), 4) + 0.0).alias("slope"))
+    slope = F.round(F.regr_slope("l_extendedprice", "l_quantity") / 1e6, 6)
+    clamped = F.greatest(F.least(slope, F.lit(0.05)), F.lit(-0.05))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(clamped * 1e4).cast("long").alias("slope_e4")).filter("n >= 3")
 
 
 def column_consensus(spark, sf_dir):
@@ -304,7 +305,7 @@ ORACLE_SQL = {
     "subsequence_status": f"WITH c AS (SELECT p_partkey, p_type AS e, CASE p_partkey % 3 WHEN 0 THEN regexp_replace(p_type, '[AEIOUaeiou]', '', 'g') WHEN 1 THEN p_type ELSE p_brand END AS a FROM part) SELECT p_partkey, CASE WHEN e = '' THEN '无法判断' WHEN a = '' THEN '{UNREAD}' WHEN e = a THEN '{MATCH}' WHEN length(a) < length(e) AND e LIKE '%' || array_to_string(string_split(a, ''), '%') || '%' THEN '{PARTIAL}' ELSE '{MISMATCH}' END AS status, round(len(list_intersect(list_distinct(string_split(e, '')), list_distinct(string_split(a, ''))))::DOUBLE / len(list_distinct(string_split(e, ''))), 4) AS coverage, levenshtein(e, a)::INTEGER AS edits FROM c",
     "nearest_date": f"WITH j AS (SELECT l_orderkey, l_shipdate::DATE AS day, o_orderdate::DATE + 30 AS want, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_shipdate::DATE - (o_orderdate::DATE + 30)), l_linenumber, l_partkey, l_suppkey, l_shipdate) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT l_orderkey, day::VARCHAR AS day, CASE WHEN day = want THEN '{MATCH}' ELSE '{MISMATCH}' END AS status, (day - want)::INTEGER AS days_late FROM j WHERE r = 1",
     "strict_dates": "WITH w AS (SELECT o_orderkey, try_cast('20' || lpad((year(o_orderdate) % 100)::VARCHAR, 2, '0') || '-' || lpad((month(o_orderdate) + o_orderkey % 3)::VARCHAR, 2, '0') || '-' || lpad(day(o_orderdate)::VARCHAR, 2, '0') AS DATE) AS d FROM orders) SELECT o_orderkey, d::VARCHAR AS read, coalesce(d::VARCHAR, '____-__-__') AS partial FROM w",
-    "skew_slope": "SELECT l_orderkey, n, round(greatest(least(raw, 0.05), -0.05), 4) + 0.0 AS slope FROM (SELECT l_orderkey, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity) / 1e6, 6) AS raw FROM lineitem GROUP BY 1) WHERE n >= 3",
+    "skew_slope": "SELECT l_orderkey, count(*) AS n, round(greatest(least(round(regr_slope(l_extendedprice, l_quantity) / 1e6, 6), 0.05), -0.05) * 1e4)::BIGINT AS slope_e4 FROM lineitem GROUP BY 1 HAVING count(*) >= 3",
     "column_consensus": "WITH r AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1, 2), b AS (SELECT l_suppkey, sum(n) OVER (PARTITION BY l_suppkey)::BIGINT AS rows, n AS support, l_returnflag AS fill, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag DESC) AS k FROM r) SELECT l_suppkey, rows, support, fill FROM b WHERE k = 1 AND rows >= 10 AND support >= 8 AND support >= 0.35 * rows",
     "content_dedupe": "SELECT doc_id, sha256(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_first FROM documents",
     "retention": "SELECT event_id, user_id FROM events e WHERE ts < TIMESTAMP '2024-01-25' - INTERVAL 10 DAY AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'purchase' AND a.event_id = e.event_id)",

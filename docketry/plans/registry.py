@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, receipts
+from . import analytics, queue, receipts
 
-_MODULES = [receipts, analytics]
+_MODULES = [receipts, analytics, queue]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,6 +49,11 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), whole).alias("k1"), whole.alias("k2")]
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Columns row (all columns, out of the way of names that operators use), text, k1 and k2."""
+    return docs.select(F.struct("*").alias("row"), "text", *doc_key())
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id's text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, doc_key, materialize
+from .common import broadcast_if_small, doc_key, materialize, whole_rows
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -83,7 +83,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
     """The documents that contain no item; all their rows and columns stay as they are."""
-    bad = contaminated(docs, items, threshold, size).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    k1, k2 = doc_key()
-    keyed = docs.withColumns({"__d1": k1, "__d2": k2})
-    return keyed.join(broadcast_if_small(bad), (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2")), "left_anti").select(*docs.columns)
+    bad = contaminated(docs, items, threshold, size).select("k1", "k2").distinct()
+    return whole_rows(docs).join(broadcast_if_small(materialize(bad)), ["k1", "k2"], "left_anti").select("row.*")

@@ -65,11 +65,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     parts = F.ceil(F.col("rate") / 700).cast("int")
     table = rates(docs, weights, budget).withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part_rate", F.col("rate") / F.col("parts"))
     terms = F.ceil(F.col("part_rate") + 12 * F.sqrt("part_rate") + 40).cast("int")
-    table = table.select(F.col("source").alias("__source"), "parts", poisson_cdf(F.col("part_rate"), terms).alias("cdf"))
-    joined = docs.drop("copy").join(broadcast_if_small(table, 10_000), F.col("source").eqNullSafe(F.col("__source")))
+    table = table.select(F.col("source").alias("of"), "parts", poisson_cdf(F.col("part_rate"), terms).alias("cdf"))
+    rows = docs.drop("copy").select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("digest"))
+    joined = rows.join(broadcast_if_small(table, 10_000), F.col("source").eqNullSafe(F.col("of")))
     numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(seed), F.col("doc_id"), i))
     count = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c < u)))
-    kept = joined.withColumn("__k", count).filter("__k > 0").drop("__source", "parts", "cdf")
-    copies = kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).drop("__k")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.xxhash64("text"))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    kept = joined.select("row", "doc_id", "digest", count.alias("k")).filter("k > 0")
+    copies = kept.select("row", "doc_id", "digest", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
+    placed = copies.select("row", "copy", F.xxhash64(F.lit(seed), "doc_id", "copy", "digest").alias("place"))
+    return placed.repartition("place").sortWithinPartitions("place").select("row.*", "copy")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, doc_key, materialize
+from .common import broadcast_if_small, doc_key, materialize, whole_rows
 
 WORDS = 4
 DISTANCE = 4
@@ -225,10 +225,9 @@ def component_ids(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE)
 def deduplicate(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest key; equal rows count once."""
     found = near_duplicates(docs, words, distance)
-    first = materialize(found.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n")).select(F.col("k.k1").alias("__k1"), F.col("k.k2").alias("__k2")))
-    k1, k2 = doc_key()
-    kept = docs.withColumns({"__d1": k1, "__d2": k2}).join(broadcast_if_small(first), (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2")), "left_semi")
-    twice = docs.select(k1, k2).groupBy("k1", "k2").count().filter("count > 1")
+    first = materialize(found.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2"))
+    kept = whole_rows(docs).join(broadcast_if_small(first), ["k1", "k2"], "left_semi")
+    twice = docs.select(*doc_key()).groupBy("k1", "k2").count().filter("count > 1")
     if not twice.isEmpty():  # repeated rows share a key
-        kept = kept.dropDuplicates(["__d1", "__d2"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["k1", "k2"])
+    return kept.select("row.*")

@@ -72,7 +72,7 @@ class Lexicon:
     def _state(self, items: set[tuple[int, int]]) -> int:
         for node, edits in list(items):  # a letter of the stem is missing in the word
             if edits == 0:
-                items |= {(child, 1) for child in self.children[node].values()}
+                items |= {(child, 1) for ch, child in self.children[node].items() if ch != END}
         best: dict[int, int] = {}
         for node, edits in items:
             best[node] = min(edits, best.get(node, 9))
@@ -272,5 +272,5 @@ def score(text: Column, model: Model) -> Column:
 
 def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: bool = True) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more (or only those, if not ``keep``); columns stay as they are."""
-    marked = docs.withColumn("__toxicity", score(F.col("text"), train(docs, labels)))
-    return marked.filter(F.col("__toxicity") < threshold if keep else F.col("__toxicity") >= threshold).select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), score(F.col("text"), train(docs, labels)).alias("score"))
+    return marked.filter(F.col("score") < threshold if keep else F.col("score") >= threshold).select("row.*")

@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, finder: Finder, max_group: int =
     Rows alike in id and text share a key but count as several documents.
     """
     all_ = occurrences(docs, unit)
-    again = all_.groupBy("akey").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("akey")
+    again = materialize(all_.groupBy("akey").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("akey"))  # so that Spark can split hot keys of the join
     kept = materialize(all_.join(again, "akey", "left_semi"))
     different = kept.groupBy("akey", "ckey").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "size", "anchor")).alias("rep"))
     wanted = materialize(different.select("akey", "ckey", "n", "rep.*"))

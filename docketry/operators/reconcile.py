@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import PASS, REJECT, REVIEW
 
 
-def merge_pages(pages: DataFrame, keys: list[str], most_pages: int = 10_000) -> DataFrame:
+def merge_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per logical receipt, and orphans unchanged (REC-01, REC-02, REC-04, REC-05, JOIN-13).
 
     ``pages`` has the keys and id, page, kind (receipt or continuation),
@@ -16,7 +16,7 @@ def merge_pages(pages: DataFrame, keys: list[str], most_pages: int = 10_000) ->
     the greatest id; continuations follow by page.  The footer is that of the
     last continuation with one, else the cover's.  Any rejected page rejects,
     any other page that didn't pass needs review; the confidence is the least.
-    Continuations without a cover are orphans, one row each.
+    Pages of a group without a cover are orphans, returned as they are.
     """
     cover = (F.col("kind") == "receipt") & (F.col("page") == 0)
     follow = (F.col("kind") == "continuation") & (F.col("page") > 0)
@@ -34,7 +34,7 @@ def merge_pages(pages: DataFrame, keys: list[str], most_pages: int = 10_000) ->
         *keys, F.col("cover.id").alias("id"), (F.col("follows") + 1).alias("pages"), F.coalesce("last.footer", "cover.footer").alias("footer"), status.alias("status"),
         F.least("cover.confidence", "least").alias("confidence"), F.lit(False).alias("orphan"),
     )
-    orphans = pages.filter(follow).join(whole.select(*keys), keys, "left_anti")
+    orphans = pages.join(whole.select(*keys), keys, "left_anti")
     return merged.union(orphans.select(*keys, "id", F.lit(1).cast("long"), "footer", "status", "confidence", F.lit(True)))
 
 

@@ -151,11 +151,11 @@ def _verdict_sql() -> str:
 
 
 def page_merge_conv(spark, sf_dir):
-    """Conversations as receipts: turn 0 is the cover, later turns continue it; some covers are missing (REC-01 to REC-05)."""
-    c = table(spark, sf_dir, "conversations").filter("conv_id % 10 <> 3 OR turn > 0")
+    """Conversations as receipts: turn 0 is the cover, later turns continue it; some first turns are no receipts (REC-01 to REC-05)."""
+    c = table(spark, sf_dir, "conversations")
     status = F.when(F.length("text") % 11 == 0, REJECT).when(F.length("text") % 7 == 0, REVIEW).otherwise(PASS)
     pages = c.select(
-        "conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("turn").alias("page"), F.when(F.col("turn") == 0, "receipt").otherwise("continuation").alias("kind"), status.alias("status"),
+        "conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("turn").alias("page"), F.when(F.col("turn") > 0, "continuation").when(F.length("text") % 10 == 3, "authorization").otherwise("receipt").alias("kind"), status.alias("status"),
         F.when((F.col("turn") + F.col("conv_id")) % 3 == 0, F.substring("text", 1, 20)).alias("footer"), (F.length("text") % 100 / 100.0).alias("confidence"),
     )
     return reconcile.merge_pages(pages, ["conv_id"])
@@ -163,9 +163,9 @@ def page_merge_conv(spark, sf_dir):
 
 _PAGES = f"""
 WITH p AS (SELECT conv_id, conv_id * 100 + turn AS id, turn AS page, CASE WHEN length(text) % 11 = 0 THEN '{REJECT}' WHEN length(text) % 7 = 0 THEN '{REVIEW}' ELSE '{PASS}' END AS status,
-  CASE WHEN (turn + conv_id) % 3 = 0 THEN substr(text, 1, 20) END AS footer, length(text) % 100 / 100.0::DOUBLE AS confidence FROM conversations WHERE conv_id % 10 <> 3 OR turn > 0),
+  CASE WHEN (turn + conv_id) % 3 = 0 THEN substr(text, 1, 20) END AS footer, length(text) % 100 / 100.0::DOUBLE AS confidence, turn > 0 OR length(text) % 10 <> 3 AS fits FROM conversations),
 g AS (SELECT conv_id, max(id) FILTER (page = 0) AS id, count(*) AS pages, arg_max(footer, page) FILTER (page > 0 AND footer IS NOT NULL AND footer <> '') AS last, max(footer) FILTER (page = 0) AS own,
-  bool_or(status = '{REJECT}') AS rejected, bool_and(status = '{PASS}') AS passed, min(confidence) AS confidence, bool_or(page = 0) AS covered FROM p GROUP BY 1)
+  bool_or(status = '{REJECT}') AS rejected, bool_and(status = '{PASS}') AS passed, min(confidence) AS confidence, bool_and(fits) AS covered FROM p GROUP BY 1)
 SELECT conv_id, id, pages, coalesce(last, own) AS footer, CASE WHEN rejected THEN '{REJECT}' WHEN passed THEN '{PASS}' ELSE '{REVIEW}' END AS status, confidence, false AS orphan FROM g WHERE covered
 UNION ALL SELECT conv_id, p.id, 1, footer, status, p.confidence, true FROM p JOIN g USING (conv_id) WHERE NOT covered
 """

@@ -136,7 +136,7 @@ def id_scope(spark, sf_dir):
 def overlay_full_outer(spark, sf_dir):
     """Suppliers with the balances of customers of the same number put over theirs, without those in nation 3 (SRC-11)."""
     base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
-    over = table(spark, sf_dir, "customer").filter("c_custkey <= 1000 AND c_custkey > 20").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), (F.col("c_nationkey") == 3).alias("deleted"))
+    over = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), (F.col("c_nationkey") == 3).alias("deleted"))
     return overlay(base, over, "k", "deleted")
 
 
@@ -205,7 +205,7 @@ ORACLE_SQL = {
     "anti_orphan": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "left_residual": "SELECT c_custkey, count(o_orderkey) AS urgent, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority LIKE '1%' GROUP BY 1",
     "id_scope": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)",
-    "overlay_full_outer": "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(c_acctbal, s_acctbal) AS balance, s_nationkey AS nation FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey <= 1000 AND c_custkey > 20) ON c_custkey = s_suppkey WHERE coalesce(c_nationkey, -1) <> 3",
+    "overlay_full_outer": "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(c_acctbal, s_acctbal) AS balance, s_nationkey AS nation FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = s_suppkey WHERE coalesce(c_nationkey, -1) <> 3",
     "upsert_newest": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
     "first_writer": "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F'), min(o_orderkey)) AS o_orderkey, coalesce(max(o_orderstatus) FILTER (o_orderstatus = 'F'), arg_min(o_orderstatus, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1",
     "numeric_order": "WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), s AS (SELECT l_orderkey, count(*) = count(DISTINCT l_linenumber) AS numeric, count(*)::INTEGER AS rows FROM r GROUP BY 1) SELECT l_orderkey, any_value(numeric) AS numeric, any_value(rows) AS rows, CASE WHEN any_value(numeric) THEN arg_max(l_partkey, l_linenumber) ELSE max(l_partkey) END AS last_part FROM r JOIN s USING (l_orderkey) GROUP BY 1",

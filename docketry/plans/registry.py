@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, queue, receipts
+from . import analytics, pages, queue, receipts
 
-_MODULES = [receipts, analytics, queue]
+_MODULES = [receipts, analytics, queue, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _pairs(a: pd.Series, b: pd.Series, measure) -> pd.Series:
@@ -42,25 +43,25 @@ def common_run(a: str, b: str) -> int:
     return SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """MAT-02; null where either text is."""
     return _pairs(a, b, ratio)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def windowed_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """MAT-03."""
     return _pairs(a, b, partial_ratio)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lcs_coverage(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Longest common subsequence over the length of ``expected``; zero if that is empty (MAT-04)."""
     return _pairs(expected, actual, lambda e, a: lcs_length(e, a) / len(e) if e else 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def longest_common_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """MAT-06."""
     return _pairs(a, b, common_run)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, pages, queue, receipts
+from . import analytics, matching, pages, queue, receipts
 
-_MODULES = [receipts, analytics, queue, pages]
+_MODULES = [receipts, analytics, queue, pages, matching]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 def component_ids(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """Columns doc_id, fingerprint (hexadecimal) and component_id: the smallest id of the component (null if it has none)."""
     found = materialize(near_duplicates(docs, words, distance))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))  # so that Spark can split a hot component
     return found.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -39,7 +39,15 @@ def duck():
 
 def plain(frame):
     """Rows of a pandas frame as sorted tuples of text, columns by name."""
-    show = lambda v: "null" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+    import numbers
+
+    import pandas as pd
+
+    def show(v):
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
+            return "null"
+        return repr(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, bool) and str(v) not in ("True", "False") else str(v)
+
     cols = sorted(frame.columns)
     return cols, sorted(tuple(show(v) for v in row) for row in frame[cols].itertuples(index=False))
 

@@ -10,6 +10,8 @@ from docketry.llm import decontamination, line_dedup, mixing, simhash, toxicity
 from docketry.llm.common import materialize, table
 
 MIX_SEED = 11
+#: Near duplicates: words of a shingle, bits between fingerprints, and the least share of common shingles.
+NEAR_WORDS, NEAR_DISTANCE, NEAR_SIMILARITY = 5, 4, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(docs, NEAR_WORDS, NEAR_DISTANCE, NEAR_SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,16 @@ the choices of the remaining bands.  Within a cell, the Manhattan distance of
 the counts per byte comes first as a cheap lower bound, then the exact
 Hamming distance.  Cells return links that span what they connect, not all
 pairs, so groups of copies cost no square.
+
+Where a least similarity of the shingles is asked for as well, MinHash bands
+find the candidates that lie further apart, and their exact Jaccard similarity
+decides.  (A pair that shares 0.8 of its shingles lies about 10 of 64 bits
+apart; a grid for so many bits fixes so few axes that any two documents meet.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,34 +39,75 @@ GROUPS = 7
 BLOCK = 4096
 SEGMENTS = 32
 HASHES_AT_ONCE = 1 << 16
+#: MinHash bands of so many rows each: pairs of similarity 0.8 share a band with probability 0.998.
+BANDS, ROWS = 20, 6
+#: Odd factors, one for each row's order of the hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts that share a band and are compared at once; more are compared in blocks.
+TEXTS_AT_ONCE = 1024
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The signed 64-bit fingerprint of a whole text; zero without words."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, some at a time; all words are one shingle if there are fewer, and there is none without words."""
     if not text or not (tokens := text.encode("utf-8", "surrogatepass").lower().split()):
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     n = max(1, len(tokens) - words + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, HASHES_AT_ONCE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + HASHES_AT_ONCE], stops[at : at + HASHES_AT_ONCE])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + HASHES_AT_ONCE], stops[at : at + HASHES_AT_ONCE])], "<u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The signed number of the bits that most hashes have; zero without hashes."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for some in hashes:
+        n += len(some)
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Columns doc_id, k1, k2 (document key) and fp of each row; null text counts as empty."""
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The signed 64-bit fingerprint of a whole text; zero without words."""
+    return majority(shingle_hashes(text, words))
+
+
+def band_keys(hashes: list[np.ndarray]) -> list[int]:
+    """A key for each MinHash band; none without hashes."""
+    if not hashes:
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for some in hashes:
+        for at in range(0, len(some), 512):
+            least = np.minimum(least, (some[at : at + 512, None] * FACTORS >> np.uint64(20)).min(axis=0))
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for value in least.reshape(BANDS, ROWS).T:
+        h = (h ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, banded: bool = False) -> DataFrame:
+    """Columns doc_id, k1, k2 (document key), fp and, if asked for, bands of each row; null text counts as empty."""
+    names = ["doc_id", "k1", "k2", "fp", *["bands"] * banded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), words) for t in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), fps], ["doc_id", "k1", "k2", "fp"])
+            fps, keys = [], []
+            for t in batch.column("text"):
+                hashes = shingle_hashes(t.as_py(), words)
+                if banded:
+                    hashes = list(hashes)
+                    keys.append(band_keys(hashes))
+                fps.append(majority(hashes))
+            made = [pa.array(fps, pa.int64()), *[pa.array(keys, pa.list_(pa.int64()))] * banded]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), *made], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), "text")
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long" + ", bands array<long>" * banded)
 
 
 def segment_counts(fps: np.ndarray, bits: int) -> np.ndarray:
@@ -215,6 +261,86 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("root", "fp").alias("component"))
 
 
+def similar_links(shingles: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets with a Jaccard similarity of ``similarity`` or more that connect what such pairs connect, given what equal labels connect."""
+    sizes = np.array([len(x) for x in shingles], np.int64)
+    codes = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    labels, mine, out = labels.copy(), np.zeros(len(codes), bool), []
+    for i in range(len(sizes) - 1):
+        if (labels == labels[i]).all():
+            break
+        own = codes[edges[i] : edges[i + 1]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[codes[edges[i + 1] :]], edges[i + 1 : -1] - edges[i + 1], dtype=np.int64)
+        mine[own] = False
+        for j in (np.flatnonzero(shared >= similarity * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9) + i + 1).tolist():
+            if labels[j] != labels[i]:
+                labels[labels == labels[j]] = labels[i]
+                out.append((i, j))
+    return out
+
+
+def jaccard_links(docs: DataFrame, marked: DataFrame, words: int, similarity: float, most: int = TEXTS_AT_ONCE) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``marked`` has k2, fp, component and bands of each document.  Pairs are
+    found by shared bands; those that a component connects already are left
+    out.  Bands shared by more than ``most`` texts are compared block by block.
+    """
+    flat = materialize(marked.dropDuplicates(["k2"]).select("k2", "fp", "component", F.explode("bands").alias("band")))
+    sizes = flat.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("k2").cast("decimal(38,0)")).alias("who"))
+    # Bands shared by the same texts are compared once.
+    shared = materialize(sizes.filter("lo <> hi").groupBy("who", "n").agg(F.min("band").alias("band")))
+    members = materialize(flat.join(broadcast_if_small(shared.select("band", "n")), "band"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(np.concatenate(list(shingle_hashes(t.as_py(), words)))).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("k2"), pa.array(made, pa.list_(pa.int64()))], ["k2", "shingles"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            keys = rest[["band", "part"]].to_numpy()
+            cut = int(np.flatnonzero((keys != keys[-1]).any(axis=1)).max(initial=-1)) + 1
+            if cut:
+                yield linked(rest[:cut])
+                rest = rest[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield linked(rest)
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        fp, out = rows["fp"].to_numpy(), []
+        for at in rows.groupby(["band", "part"], sort=False).indices.values():
+            found = similar_links([rows["shingles"].iat[i] for i in at], rows["component"].to_numpy()[at], similarity)
+            out += [(fp[at[i]], fp[at[j]]) for i, j in found]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    texts = docs.select(*doc_key(), "text").select("k2", "text").join(broadcast_if_small(members.select("k2").distinct()), "k2").dropDuplicates(["k2"])
+    shingles = materialize(texts.mapInArrow(sets, "k2 long, shingles array<long>"))
+    blocks = F.ceil(F.col("n") / (most // 2)).cast("int")
+    mine = F.pmod(F.xxhash64("k2"), blocks).cast("int")
+    # Block i meets block j (i <= j) in part i * blocks + j.
+    parts = F.when(F.col("n") <= most, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(mine, j).cast("long") * blocks + F.greatest(mine, j))
+    )
+    dealt = members.select("band", "k2", "fp", "component", F.explode(parts).alias("part")).join(shingles, "k2")
+    return dealt.repartition("band", "part").sortWithinPartitions("band", "part", "k2").mapInPandas(compare, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int, distance: int, similarity: float) -> DataFrame:
+    """As near_duplicates, but documents also link if the Jaccard similarity of their shingles is ``similarity`` or more."""
+    marked = materialize(fingerprints(docs, words, banded=True))
+    roots = materialize(components(links(marked.select("fp").distinct(), distance)))
+    named = lambda roots: marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
+    more = materialize(jaccard_links(docs, named(roots), words, similarity))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return named(roots).select("doc_id", "k1", "k2", "fp", "component")
+
+
 def component_ids(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """Columns doc_id, fingerprint (hexadecimal) and component_id: the smallest id of the component (null if it has none)."""
     found = materialize(near_duplicates(docs, words, distance))
@@ -222,9 +348,12 @@ def component_ids(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE)
     return found.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key; equal rows count once."""
-    found = near_duplicates(docs, words, distance)
+def deduplicate(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest key; equal rows count once.
+
+    With ``similarity``, documents that share so many of their shingles (Jaccard) are near duplicates as well.
+    """
+    found = near_duplicates(docs, words, distance) if similarity is None else similar_documents(docs, words, distance, similarity)
     first = materialize(found.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2"))
     kept = whole_rows(docs).join(broadcast_if_small(first), ["k1", "k2"], "left_semi")
     twice = docs.select(*doc_key()).groupBy("k1", "k2").count().filter("count > 1")

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docketry.llm import bwt_dedup, decontamination, language_id, line_dedup, media, mixing, queries, repeats, simhash, suffix_tree_dedup, toxicity, url_filter
 from docketry.llm.common import table
 
@@ -259,6 +260,27 @@ def test_simhash_odd_tables(spark, odd, none):
     assert kept.count() == simhash.near_duplicates(odd).select("component").distinct().count()
 
 
+@pytest.mark.parametrize("most", [simhash.TEXTS_AT_ONCE, 4])
+def test_pipeline_drops_documents_that_share_most_shingles(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash.jaccard_links, "__defaults__", (most,))
+    shingles = lambda text: {tuple(text.split()[i : i + 5]) for i in range(max(1, len(text.split()) - 4))}
+    rows = []
+    for i in range(12):
+        base = words(700 + i, 150)
+        rows.append((100 * i, base, "en", "a"))
+        for j in range(4):  # the last shares about 0.73 of the shingles
+            edited = base.split()
+            for k in range(j if j < 3 else 5):
+                edited[10 + 25 * k] = f"other{i}x{j}"
+            rows.append((100 * i + j + 1, " ".join(edited), "en", "a"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    texts = [t for _, t, *_ in rows]
+    near = lambda a, b: len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) or (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).__and__((1 << 64) - 1).bit_count() <= 4
+    want = groups(texts, near)
+    assert len(set(want)) < len(set(groups([simhash.fingerprint(t) for t in texts], lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)))
+    assert kept.count() == len(set(want))
+
+
 def test_media_round_trip(odd, none):
     assert media.media_column(none).count() == 0
     got = media.media_column(odd).collect()

@@ -1,17 +1,18 @@
 """Line deduplication by a fixed-depth log-template tree.
 
 A line's words are masked (those with digits become a wildcard).  The tree's
-levels are the number of words and the leading words; a leaf with too many
-different lines goes one level deeper.  Within a leaf, lines that agree in
-most positions merge into one template, in which the positions that vary are
-wildcards too.  Templates that recur across documents are dropped from all
-documents but the first.
+levels are the number of words and the leading words.  Within a leaf, lines
+that agree in most positions merge into one template, in which the positions
+that vary are wildcards too.  A leaf with many different lines is merged in
+parts, whose templates are then merged with each other, in rounds until none
+join.  Templates that recur across documents are dropped from all documents
+but the first.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ MIN_DOCS = 3
 MIN_WORDS = 3
 LEADING, DEEPER = 3, 8
 SIMILARITY = 0.7
-#: A leaf with more different lines than this goes down to its deeper level, and from there to whole lines.
-MAX_LEAF = 5_000
+#: A leaf with more different lines than this is merged in parts of about so many.
+SPLIT = 5_000
 WILDCARD = "<*>"
 _DIGIT = re.compile(r"\d")
 
@@ -67,20 +68,23 @@ def _lines(docs: DataFrame, with_words: bool) -> DataFrame:
     return docs.select(*doc_key(), "text").mapInArrow(run, "k1 long, k2 long, leaf long, deep long, line long" + ", words string" * with_words)
 
 
+def _coded(lines: list[list[str]]) -> np.ndarray:
+    codes: dict[str, int] = {WILDCARD: -1}
+    return np.array([[codes.setdefault(w, len(codes)) for w in words] for words in lines], np.int32)
+
+
 def merge(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
     """For each line of a leaf (all of one length) the index of the line that began its template.
 
     Lines join, in the order given, the template that agrees in the largest
-    share of positions (a wildcard agrees with nothing), the earliest of
-    equals, if that share is ``similarity`` or more; else they begin one.
+    share of positions (a wildcard agrees with wildcards alone), the earliest
+    of equals, if that share is ``similarity`` or more; else they begin one.
     """
-    codes: dict[str, int] = {WILDCARD: -1}
-    table = np.array([[codes.setdefault(w, len(codes)) for w in words] for words in lines], np.int32)
+    table = _coded(lines)
     templates, began, out = np.empty_like(table), [], []
     for i, row in enumerate(table):
         if began:
-            same = (templates[: len(began)] == row) & (row != -1)
-            share = (same.sum(axis=1) + ((row == -1) & (templates[: len(began)] == -1)).sum(axis=1)) / table.shape[1]
+            share = (templates[: len(began)] == row).sum(axis=1) / table.shape[1]
             best = int(share.argmax())
             if share[best] >= similarity:
                 templates[best][templates[best] != row] = -1
@@ -92,58 +96,129 @@ def merge(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
     return out
 
 
-def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int = MAX_LEAF) -> DataFrame:
-    """Columns line and template of the lines whose leaves reach ``min_docs`` documents; a template is named by its first line."""
-    known = lines.groupBy("leaf", "deep", "line").agg(F.count("*").alias("docs"))
+def earlier(lines: list[list[str]], similarity: float = SIMILARITY) -> list[tuple[int, int, float]]:
+    """Lines that agree with an earlier one in a share of ``similarity`` or more: their index, that of the best (the earliest of equals), and the share."""
+    table, out = _coded(lines), []
+    for i in range(1, len(table)):
+        share = (table[:i] == table[i]).sum(axis=1) / table.shape[1]
+        if share[best := int(share.argmax())] >= similarity:
+            out.append((i, best, float(share[best])))
+    return out
+
+
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str], made: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What ``made`` makes of whole groups; rows come sorted by ``keys``."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        values = rest[keys].to_numpy()
+        cut = int(np.flatnonzero((values != values[-1]).any(axis=1)).max(initial=-1)) + 1
+        if cut:
+            yield made(rest[:cut])
+            rest = rest[cut:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield made(rest)
+
+
+def _merged(words: DataFrame, similarity: float) -> DataFrame:
+    """Columns line and template of the lines of each node and part (columns node, part, line, docs and words)."""
+
+    def named(rows: pd.DataFrame) -> pd.DataFrame:
+        line, out = rows["line"].to_numpy(), np.empty(len(rows), np.int64)
+        for at in rows.groupby(["node", "part"], sort=False).indices.values():
+            out[at] = line[at][merge([rows["words"].iat[i].split("\n") for i in at], similarity)]
+        return pd.DataFrame({"line": line, "template": out})
+
+    dealt = words.select("node", "part", "line", "docs", "words").repartition("node", "part").sortWithinPartitions("node", "part", F.desc("docs"), "line")
+    return dealt.mapInPandas(lambda batches: _grouped(batches, ["node", "part"], named), "line long, template long")
+
+
+def _generalised(members: DataFrame) -> DataFrame:
+    """Columns line, node, docs and words of each template; ``members`` has template, node, docs and words. Positions that vary are wildcards."""
+    each = members.select("template", "node", "docs", F.posexplode(F.split("words", "\n")).alias("at", "word"))
+    places = each.groupBy("template", "at").agg(F.min("word").alias("lo"), F.max("word").alias("hi"), F.min("node").alias("node"), F.sum("docs").alias("docs"))
+    word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(WILDCARD)
+    whole = places.groupBy(F.col("template").alias("line")).agg(F.min("node").alias("node"), F.min("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("at", word.alias("word")))).alias("words"))
+    return whole.select("line", "node", "docs", F.array_join("words.word", "\n").alias("words"))
+
+
+def _merged_in_parts(words: DataFrame, similarity: float, split: int) -> DataFrame:
+    """Columns line and template of the lines of leaves of more than ``split`` lines (columns node, m, line, docs and words).
+
+    Parts of a leaf are merged each on its own.  Then every template is
+    compared with all earlier ones of its leaf (block by block) and joins the
+    best that itself agrees with no earlier one, round by round until none join.
+    """
+    dealt = words.withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("m") / split).cast("long")))
+    named = materialize(_merged(dealt, similarity))
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        line, out = rows["line"].to_numpy(), []
+        for at in rows.groupby(["node", "part"], sort=False).indices.values():
+            out += [(line[at[i]], line[at[j]], share, rows["docs"].iat[at[j]]) for i, j, share in earlier([rows["words"].iat[k].split("\n") for k in at], similarity)]
+        return pd.DataFrame(out, columns=["line", "to", "share", "docs"]).astype({"line": "int64", "to": "int64", "share": "float64", "docs": "int64"})
+
+    held = materialize(_generalised(words.join(named, "line")))
+    while True:
+        sizes = held.groupBy("node").agg(F.ceil(F.count("*") / max(1, split // 2)).cast("long").alias("blocks"))
+        mine = F.pmod(F.xxhash64("line"), F.col("blocks"))
+        # Block i meets block j (i <= j) in part i * blocks + j.
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
+        blocks = held.join(broadcast_if_small(sizes), "node").withColumn("part", F.explode(parts))
+        dealt = blocks.select("node", "part", "line", "docs", "words").repartition("node", "part").sortWithinPartitions("node", "part", F.desc("docs"), "line")
+        edges = materialize(dealt.mapInPandas(lambda batches: _grouped(batches, ["node", "part"], found), "line long, to long, share double, docs long"))
+        if edges.isEmpty():
+            return named
+        roots = edges.join(edges.select(F.col("line").alias("to")).distinct(), "to", "left_anti")
+        joins = materialize(roots.groupBy("line").agg(F.max_by("to", F.struct("share", "docs", -F.col("to"))).alias("to")))
+        target = F.coalesce("to", "line").alias("template")
+        held = materialize(_generalised(held.join(joins, "line", "left").select(target, "node", "docs", "words")))
+        named = materialize(named.join(joins.withColumnRenamed("line", "template"), "template", "left").select("line", F.coalesce("to", "template").alias("template")))
+
+
+def _deeper(known: DataFrame, max_leaf: int) -> DataFrame:
+    """Lines with the node of their leaf, or in leaves of more than ``max_leaf`` lines of the deeper leaf, and from there of whole lines."""
 
     def oversize(level: str, frame: DataFrame) -> DataFrame:
         return frame.groupBy(level).agg(F.count("*").alias("m")).filter(F.col("m") > max_leaf).select(level, F.lit(True).alias(f"{level}_over"))
 
-    known = materialize(known)
     over = materialize(oversize("leaf", known))
     deeper = known.join(broadcast_if_small(over), "leaf", "left")
     over_deep = materialize(oversize("deep", deeper.filter("leaf_over")))
     node = F.when(F.col("leaf_over").isNull(), F.col("leaf")).when(F.col("deep_over").isNull(), F.col("deep")).otherwise(F.col("line"))
-    placed = deeper.join(broadcast_if_small(over_deep), "deep", "left").select(node.alias("node"), "line", "docs")
+    return deeper.join(broadcast_if_small(over_deep), "deep", "left").select(node.alias("node"), "line", "docs")
+
+
+def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
+    """Columns line and template of the lines whose leaves reach ``min_docs`` documents; a template is named by its first line.
+
+    ``split`` parts the work alone.  Only where ``max_leaf`` is given do larger leaves become several, which keeps templates apart.
+    """
+    known = materialize(lines.groupBy("leaf", "deep", "line").agg(F.count("*").alias("docs")))
+    placed = known.select(F.col("leaf").alias("node"), "line", "docs") if max_leaf is None else _deeper(known, max_leaf)
     busy = placed.groupBy("node").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("m")).filter(F.col("all_docs") >= min_docs)
     placed = materialize(placed.join(busy, "node").select("node", "line", "docs", "m"))
     alone = placed.filter("m = 1").select("line", F.col("line").alias("template"))
-    several = placed.filter("m > 1").select("node", "line", "docs")
+    several = placed.filter("m > 1")
     words = _lines(docs, True).select("line", "words").join(broadcast_if_small(several), "line").dropDuplicates(["line"])
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            nodes = rest["node"].to_numpy()
-            cut = int(np.flatnonzero(nodes != nodes[-1]).max(initial=-1)) + 1
-            if cut:
-                yield named(rest[:cut])
-                rest = rest[cut:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield named(rest)
-
-    def named(rows: pd.DataFrame) -> pd.DataFrame:
-        line, out = rows["line"].to_numpy(), np.empty(len(rows), np.int64)
-        for at in rows.groupby("node", sort=False).indices.values():
-            out[at] = line[at][merge([rows["words"].iat[i].split("\n") for i in at], similarity)]
-        return pd.DataFrame({"line": line, "template": out})
-
-    merged = words.repartition("node").sortWithinPartitions("node", F.desc("docs"), "line").mapInPandas(leaves, "line long, template long")
-    return alone.union(merged)
+    if placed.filter(F.col("m") > split).isEmpty():
+        return alone.union(_merged(words.withColumn("part", F.lit(0)), similarity))
+    words = materialize(words)
+    small, large = words.filter(F.col("m") <= split), words.filter(F.col("m") > split)
+    return alone.union(_merged(small.withColumn("part", F.lit(0)), similarity)).union(_merged_in_parts(large, similarity, split))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int = MAX_LEAF) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
     """Lines to drop: k1, k2 and line, for templates in ``min_docs`` documents or more, but for each template's first document."""
     lines = materialize(_lines(docs, False))
-    named = materialize(templates(lines, docs, min_docs, similarity, max_leaf))
+    named = materialize(templates(lines, docs, min_docs, similarity, max_leaf, split))
     held = lines.select("k1", "k2", "line").join(named, "line")
     per_doc = held.select("template", "k1", "k2").distinct()
     often = materialize(per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("first")).filter(F.col("n") >= min_docs))
     return held.join(broadcast_if_small(often), "template").filter(F.struct("k1", "k2") != F.col("first")).select("k1", "k2", "line")
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int = MAX_LEAF) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
     """``docs`` with lines of recurring templates removed from text; n_chars, where there is one, follows.
 
     Documents are told apart by id and text, so rows alike in both count as
@@ -151,7 +226,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
     more wildcards than others, stay, as do all rows, also those left empty; null texts stay null.  Lines are
     parted by line feeds.
     """
-    gone = recurring(docs, min_docs, similarity, max_leaf).groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+    gone = recurring(docs, min_docs, similarity, max_leaf, split).groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, lines: pd.Series) -> pd.Series:

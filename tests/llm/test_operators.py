@@ -331,6 +331,16 @@ def test_line_templates_generalise_positions(spark):
     assert all(r["text"] for r in line_dedup.drop_lines(docs, max_leaf=1).collect())
 
 
+@pytest.mark.parametrize(("n", "split"), [(5100, line_dedup.SPLIT), (120, 6)])
+def test_large_leaves_are_merged_whole(spark, n, split):
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, f"the night shift of {name(i)} ended early without any notice", "en", "a") for i in range(n)]
+    rows += [(n + i, f"the night shift {name(i)} x{name(i)} y{name(i)} z{name(i)} u{name(i)} v{name(i)} w{name(i)}", "en", "a") for i in range(40)]
+    left = [r["doc_id"] for r in line_dedup.drop_lines(frame(spark, rows), split=split).collect() if r["text"]]
+    assert len([i for i in left if i < n]) == 1
+    assert sorted(i for i in left if i >= n) == list(range(n, n + 40))
+
+
 def test_merge_is_greedy_in_order():
     a, b, c = "x y z u v w".split(), "x y z u v q".split(), "x y z p q r".split()
     assert line_dedup.merge([a, b, c]) == [0, 0, 2]

@@ -186,7 +186,8 @@ def choose_stems(sample: DataFrame, counts: dict[int, int], most: int = MAX_TERM
     """Stems (word beginnings, or whole words marked by END) that mark toxic rows.
 
     Of stems that begin alike the shortest counts, made longer as long as that
-    keeps 0.95 of its toxic documents times their log-odds.  Texts count once.
+    keeps 0.95 of its toxic documents times their log-odds.  Texts count once,
+    in ``counts`` (of distinct texts by label) as well.
     """
     positive, negative = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
     words = sample.dropDuplicates(["text", "toxic"]).select("toxic", F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
@@ -241,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int
     if not counts.get(1) or not counts.get(0):
         base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 0.0
         return Model([], {}, [math.log(base / (1 - base)) if base else -30.0] + [0.0] * FEATURES)
-    model = Model(choose_stems(sample, counts, most))
+    distinct = sample.dropDuplicates(["text", "toxic"]).groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count()
+    model = Model(choose_stems(sample, {r["toxic"]: r["count"] for r in distinct.collect()}, most))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

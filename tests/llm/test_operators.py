@@ -402,6 +402,16 @@ def test_toxicity_held_out(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(400) if i % 4]
 
 
+def test_copies_of_a_toxic_text_do_not_hide_other_stems(spark):
+    rows, labels = toxic_rows()
+    hot = words(77, 40) + " you filthy vermin"
+    rows += [(1000 + i, hot, "en", "a") for i in range(16_000)]
+    labels += [(1000 + i, 1, "x") for i in range(16_000)]
+    docs, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, text string")
+    stems = toxicity.train(docs, truth).stems
+    assert any(s.startswith("mor") for s in stems), stems
+
+
 def test_toxicity_odd_tables(spark, odd, none):
     rows, labels = toxic_rows(100)
     docs, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, text string")

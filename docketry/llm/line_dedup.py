@@ -6,7 +6,7 @@ that agree in most positions merge into one template, in which the positions
 that vary are wildcards too.  A leaf with many different lines is merged in
 parts, whose templates are then merged with each other, in rounds until none
 join.  Templates that recur across documents are dropped from all documents
-but the first.
+but the first, and so are long lines that two documents share unchanged.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, doc_key, materialize, whole_rows
 
 MIN_DOCS = 3
+#: Lines of so many words or more that are alike to the digit recur from two documents on.
+LONG_WORDS = 10
 MIN_WORDS = 3
 LEADING, DEEPER = 3, 8
 SIMILARITY = 0.7
@@ -48,24 +50,44 @@ def parse(line: str) -> tuple[int, int, int, list[str]] | None:
     return _hash("\n".join([n, *words[:LEADING]])), _hash("\n".join([n, *words[:DEEPER]])), _hash("\n".join(words)), words
 
 
+def unchanged(line: str, words: list[str]) -> int | None:
+    """A key of a long line's own words, digits included; None for short lines. Without wildcards it is that of the masked line."""
+    if len(words) < LONG_WORDS:
+        return None
+    return _hash("\n".join(["", *line.split()] if WILDCARD in words else words))
+
+
 def _lines(docs: DataFrame, with_words: bool) -> DataFrame:
-    """One row for each different line of each document: k1, k2, leaf, deep, line, and the words if asked for."""
-    names = ["k1", "k2", "leaf", "deep", "line", *["words"] * with_words]
+    """One row for each different line of each document: k1, k2, leaf, deep, line, long, and the words if asked for.
+
+    Long rows count unchanged lines.  Those of lines with digits come besides the masked lines' rows and have no leaf.
+    """
+    names = ["k1", "k2", "leaf", "deep", "line", "long", *["words"] * with_words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in names]
+
+            def put(*values) -> None:
+                for col, value in zip(cols, values):
+                    col.append(value)
+
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")):
                 seen = set()
                 for raw in (text.as_py() or "").split("\n"):
-                    if (p := parse(raw)) and p[2] not in seen:
+                    if not (p := parse(raw)):
+                        continue
+                    own = None if with_words else unchanged(raw, p[3])
+                    if p[2] not in seen:
                         seen.add(p[2])
-                        for col, value in zip(cols, (k1, k2, *p[:3], "\n".join(p[3]) if with_words else None)):
-                            col.append(value)
-            kinds = [pa.int64()] * 5 + [pa.string()] * with_words
+                        put(k1, k2, *p[:3], own == p[2], "\n".join(p[3]) if with_words else None)
+                    if own is not None and own not in seen:
+                        seen.add(own)
+                        put(k1, k2, None, None, own, True)
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.string()] * with_words
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return docs.select(*doc_key(), "text").mapInArrow(run, "k1 long, k2 long, leaf long, deep long, line long" + ", words string" * with_words)
+    return docs.select(*doc_key(), "text").mapInArrow(run, "k1 long, k2 long, leaf long, deep long, line long, long boolean" + ", words string" * with_words)
 
 
 def _coded(lines: list[list[str]]) -> np.ndarray:
@@ -209,17 +231,21 @@ def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, simil
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
-    """Lines to drop: k1, k2 and line, for templates in ``min_docs`` documents or more, but for each template's first document."""
+    """Lines to drop: k1, k2 and line, for templates in ``min_docs`` documents or more and unchanged long lines in two or more, but for the first document of each."""
     lines = materialize(_lines(docs, False))
-    named = materialize(templates(lines, docs, min_docs, similarity, max_leaf, split))
-    held = lines.select("k1", "k2", "line").join(named, "line")
+    named = materialize(templates(lines.filter("leaf IS NOT NULL"), docs, min_docs, similarity, max_leaf, split))
+    held = lines.filter("leaf IS NOT NULL").select("k1", "k2", "line").join(named, "line")
     per_doc = held.select("template", "k1", "k2").distinct()
     often = materialize(per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("first")).filter(F.col("n") >= min_docs))
-    return held.join(broadcast_if_small(often), "template").filter(F.struct("k1", "k2") != F.col("first")).select("k1", "k2", "line")
+    copied = lines.filter("long").groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("first"), F.max(F.struct("k1", "k2")).alias("last"))
+    copied = materialize(copied.filter("first <> last").select("line", "first"))
+    later = F.struct("k1", "k2") != F.col("first")
+    gone = held.join(broadcast_if_small(often), "template").filter(later).select("k1", "k2", "line")
+    return gone.union(lines.filter("long").join(broadcast_if_small(copied), "line").filter(later).select("k1", "k2", "line"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
-    """``docs`` with lines of recurring templates removed from text; n_chars, where there is one, follows.
+    """``docs`` with lines of recurring templates, and recurring long lines, removed from text; n_chars, where there is one, follows.
 
     Documents are told apart by id and text, so rows alike in both count as
     one document and change alike.  Lines of fewer than MIN_WORDS words, or of
@@ -234,7 +260,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
         for text, some in zip(texts, lines):
             if some is not None and text is not None:
                 bad = set(some.tolist())
-                text = "\n".join(x for x in text.split("\n") if not ((p := parse(x)) and p[2] in bad))
+                text = "\n".join(x for x in text.split("\n") if not ((p := parse(x)) and (p[2] in bad or unchanged(x, p[3]) in bad)))
             out.append(text)
         return pd.Series(out, dtype=object)
 

@@ -341,6 +341,16 @@ def test_large_leaves_are_merged_whole(spark, n, split):
     assert sorted(i for i in left if i >= n) == list(range(n, n + 40))
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = "the committee will publish its full report on the matter before the end of spring"
+    dated = "in 2019 the committee did publish its full report on the matter before page 40 was read"
+    short = "see the notes below"
+    other = dated.replace("2019", "2021")
+    docs = frame(spark, [(1, f"{long}\n{short}\n{dated}", "en", "a"), (2, f"{short}\n{other}\n{long}\n{dated}", "en", "a"), (3, "nothing to see", "en", "a")])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()}
+    assert got == {1: f"{long}\n{short}\n{dated}", 2: f"{short}\n{other}", 3: "nothing to see"}
+
+
 def test_merge_is_greedy_in_order():
     a, b, c = "x y z u v w".split(), "x y z u v q".split(), "x y z p q r".split()
     assert line_dedup.merge([a, b, c]) == [0, 0, 2]

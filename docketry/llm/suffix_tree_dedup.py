@@ -1,11 +1,12 @@
-"""Word-wise deduplication: repeated passages by prefix-partitioned suffix trees.
-
-The suffixes of all windows are parted by variable-length prefixes of their
-anchors: the anchor gram, and for grams of too many fragments whole windows.
-Fragments that share a prefix travel together once, instead of one copy for
-each suffix, so a group fits in memory.  A subtree is kept as its sorted
-suffixes and their common prefixes; its internal nodes as deep as a window are
-the runs in which neighbours share that many words.
+"""Word-wise deduplication: repeated passages by sorted suffixes of anchor groups.
+
+Where a prefix-partitioned suffix tree would find the nodes as deep as a
+window, this finds the same windows by their equality.  Suffixes are parted by
+the anchor gram of their windows (for grams of too many fragments, windows are
+counted by hash).  Fragments that share a gram travel together once, instead
+of one copy for each suffix, so a group fits in memory.  A group's suffixes are
+ranked by as many words as a window has; runs of one rank are what repeats.
+No prefix is lengthened, and no common prefixes or inner nodes are formed.
 """
 
 from __future__ import annotations

@@ -81,7 +81,24 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     )
 
 
+def holding_short_items(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame | None:
+    """Columns k1, k2 of the documents in which all words of an item of fewer than ``size`` words follow each other; None without such items."""
+    words = items.select(words_of(F.col("text")).alias("words")).filter((F.size("words") > 0) & (F.size("words") < size))
+    short = words.select(F.size("words").alias("n"), F.array_join("words", " ").alias("run")).distinct()
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # fewer than ``size``
+    if not lengths:
+        return None
+    runs = F.array_distinct(F.flatten(F.array(*[shingles(F.col("words"), n) for n in lengths])))
+    own = docs.select(*doc_key(), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    return own.select("k1", "k2", F.explode(runs).alias("run")).join(broadcast_if_small(short.select("run")), "run", "left_semi").select("k1", "k2").distinct()
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
-    """The documents that contain no item; all their rows and columns stay as they are."""
+    """The documents that contain no item; all their rows and columns stay as they are.
+
+    Items of fewer than ``size`` words are searched inside documents as well.
+    """
     bad = contaminated(docs, items, threshold, size).select("k1", "k2").distinct()
+    if (short := holding_short_items(docs, items, size)) is not None:
+        bad = bad.union(short)
     return whole_rows(docs).join(broadcast_if_small(materialize(bad)), ["k1", "k2"], "left_anti").select("row.*")

@@ -155,6 +155,13 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(odd, items.limit(0)).count() == odd.count()
 
 
+def test_short_items_are_found_inside_documents(spark):
+    texts = [words(1, 30) + " Tiny, ITEM! " + words(2, 30), words(3, 30) + " tiny other item", "item", words(4, 9) + " one two three four", None, "", "tiny items"]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    items = spark.createDataFrame([(1, "tiny item"), (2, "One two three: four"), (3, None), (4, words(900, 40))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()) == [1, 2, 4, 5, 6]
+
+
 def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "broadcast_if_small", lambda df, *a: df)
     item = words(900, 40)

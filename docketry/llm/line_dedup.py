@@ -1,68 +1,63 @@
 """Line deduplication by a fixed-depth log-template tree.
 
 A line's words are masked (those with digits become a wildcard).  The tree's
-levels are the number of words and the leading words.  Within a leaf, lines
-that agree in most positions merge into one template, in which the positions
-that vary are wildcards too.  A leaf with many different lines is merged in
-parts, whose templates are then merged with each other, in rounds until none
-join.  Templates that recur across documents are dropped from all documents
-but the first, and so are long lines that two documents share unchanged.
+levels are the number of words and the leading words.  Within a leaf, a word's
+support at a position is the number of different lines that have it there; a
+line's template keeps its best supported words and has wildcards at the 1 -
+SIMILARITY share of positions with the least support, which is where the lines
+of a leaf vary.  Supports are counted by position, so a leaf is never gathered,
+however many lines it has, and its size changes no rule.  Templates that recur
+across documents are dropped from all documents but the first, and so are long
+lines that two documents share unchanged.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, doc_key, materialize, whole_rows
+from .common import broadcast_if_small, discard, doc_key, materialize
 
 MIN_DOCS = 3
 #: Lines of so many words or more that are alike to the digit recur from two documents on.
 LONG_WORDS = 10
 MIN_WORDS = 3
-LEADING, DEEPER = 3, 8
+LEADING = 3
+#: Share of a line's positions that its template keeps.
 SIMILARITY = 0.7
-#: A leaf with more different lines than this is merged in parts of about so many.
-SPLIT = 5_000
-WILDCARD = "<*>"
-_DIGIT = re.compile(r"\d")
+WILDCARD = b"<*>"
+_DIGIT = re.compile(rb"[0-9]")
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def _hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\n".join(words)) - (1 << 63)
 
 
-def parse(line: str) -> tuple[int, int, int, list[str]] | None:
-    """Keys of the leaf, the deeper leaf and the whole masked line, and its words; None for lines too short or variable to judge."""
-    words = line.split()
-    if _DIGIT.search(line):
-        words = [WILDCARD if _DIGIT.search(w) else w for w in words]
-    if len(words) < MIN_WORDS or words.count(WILDCARD) * 2 > len(words):
-        return None
-    n = str(len(words))
-    return _hash("\n".join([n, *words[:LEADING]])), _hash("\n".join([n, *words[:DEEPER]])), _hash("\n".join(words)), words
+def parse(line: bytes) -> tuple[list[bytes], list[bytes]] | None:
+    """The words of a line as they are and masked; None for lines too short or variable to judge.
 
-
-def unchanged(line: str, words: list[str]) -> int | None:
-    """A key of a long line's own words, digits included; None for short lines. Without wildcards it is that of the masked line."""
-    if len(words) < LONG_WORDS:
+    Words are parted by the six ASCII white-space characters; digits are 0 to 9.
+    """
+    own = masked = line.split()
+    if _DIGIT.search(line):
+        masked = [WILDCARD if _DIGIT.search(w) else w for w in own]
+    if len(own) < MIN_WORDS or masked.count(WILDCARD) * 2 > len(own):
         return None
-    return _hash("\n".join(["", *line.split()] if WILDCARD in words else words))
+    return own, masked
 
 
-def _lines(docs: DataFrame, with_words: bool) -> DataFrame:
-    """One row for each different line of each document: k1, k2, leaf, deep, line, long, and the words if asked for.
+def _parsed(docs: DataFrame, with_words: bool) -> DataFrame:
+    """One row for each judged line: k1, k2, at (its index in the text), leaf, line (hash of the masked words) and own (hash of the words of long lines).
 
-    Long rows count unchanged lines.  Those of lines with digits come besides the masked lines' rows and have no leaf.
+    With words instead one row for each different masked line of a document: line and its words.
     """
-    names = ["k1", "k2", "leaf", "deep", "line", "long", *["words"] * with_words]
+    names = ["line", "words"] if with_words else ["k1", "k2", "at", "leaf", "line", "own"]
+    kinds = [pa.int64(), pa.binary()] if with_words else [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,198 +69,79 @@ def _lines(docs: DataFrame, with_words: bool) -> DataFrame:
 
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text")):
                 seen = set()
-                for raw in (text.as_py() or "").split("\n"):
+                for at, raw in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     if not (p := parse(raw)):
                         continue
-                    own = None if with_words else unchanged(raw, p[3])
-                    if p[2] not in seen:
-                        seen.add(p[2])
-                        put(k1, k2, *p[:3], own == p[2], "\n".join(p[3]) if with_words else None)
-                    if own is not None and own not in seen:
-                        seen.add(own)
-                        put(k1, k2, None, None, own, True)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.string()] * with_words
+                    own, masked = p
+                    line = _hash(masked)
+                    if not with_words:
+                        put(k1, k2, at, _hash([b"%d" % len(masked), *masked[:LEADING]]), line, _hash(own) if len(own) >= LONG_WORDS else None)
+                    elif line not in seen:
+                        seen.add(line)
+                        put(line, b"\n".join(masked))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return docs.select(*doc_key(), "text").mapInArrow(run, "k1 long, k2 long, leaf long, deep long, line long, long boolean" + ", words string" * with_words)
-
-
-def _coded(lines: list[list[str]]) -> np.ndarray:
-    codes: dict[str, int] = {WILDCARD: -1}
-    return np.array([[codes.setdefault(w, len(codes)) for w in words] for words in lines], np.int32)
-
-
-def merge(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
-    """For each line of a leaf (all of one length) the index of the line that began its template.
-
-    Lines join, in the order given, the template that agrees in the largest
-    share of positions (a wildcard agrees with wildcards alone), the earliest
-    of equals, if that share is ``similarity`` or more; else they begin one.
-    """
-    table = _coded(lines)
-    templates, began, out = np.empty_like(table), [], []
-    for i, row in enumerate(table):
-        if began:
-            share = (templates[: len(began)] == row).sum(axis=1) / table.shape[1]
-            best = int(share.argmax())
-            if share[best] >= similarity:
-                templates[best][templates[best] != row] = -1
-                out.append(began[best])
-                continue
-        templates[len(began)] = row
-        began.append(i)
-        out.append(i)
-    return out
-
-
-def earlier(lines: list[list[str]], similarity: float = SIMILARITY) -> list[tuple[int, int, float]]:
-    """Lines that agree with an earlier one in a share of ``similarity`` or more: their index, that of the best (the earliest of equals), and the share."""
-    table, out = _coded(lines), []
-    for i in range(1, len(table)):
-        share = (table[:i] == table[i]).sum(axis=1) / table.shape[1]
-        if share[best := int(share.argmax())] >= similarity:
-            out.append((i, best, float(share[best])))
-    return out
-
-
-def _grouped(batches: Iterator[pd.DataFrame], keys: list[str], made: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What ``made`` makes of whole groups; rows come sorted by ``keys``."""
-    rest = None
-    for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        values = rest[keys].to_numpy()
-        cut = int(np.flatnonzero((values != values[-1]).any(axis=1)).max(initial=-1)) + 1
-        if cut:
-            yield made(rest[:cut])
-            rest = rest[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield made(rest)
-
+    schema = "line long, words binary" if with_words else "k1 long, k2 long, at int, leaf long, line long, own long"
+    return docs.select(*doc_key(), "text").mapInArrow(run, schema)
 
-def _merged(words: DataFrame, similarity: float) -> DataFrame:
-    """Columns line and template of the lines of each node and part (columns node, part, line, docs and words)."""
 
-    def named(rows: pd.DataFrame) -> pd.DataFrame:
-        line, out = rows["line"].to_numpy(), np.empty(len(rows), np.int64)
-        for at in rows.groupby(["node", "part"], sort=False).indices.values():
-            out[at] = line[at][merge([rows["words"].iat[i].split("\n") for i in at], similarity)]
-        return pd.DataFrame({"line": line, "template": out})
+def _template(places: Column, similarity: float) -> Column:
+    """Hash of a line's words with wildcards at its least supported positions; ``places`` has (support, at, word) of each."""
+    allowed = F.floor(F.size(places) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+    least = F.array_sort(F.transform(places, lambda p: F.struct(p["support"], -p["at"])))
+    last = F.when(allowed > 0, F.element_at(least, F.greatest(allowed, F.lit(1))))
+    in_order = F.array_sort(F.transform(places, lambda p: F.struct(p["at"], p["support"], p["word"])))
+    dropped = lambda p: F.coalesce(F.struct(p["support"], -p["at"]) <= last, F.lit(False))
+    return F.xxhash64(F.transform(in_order, lambda p: F.when(dropped(p), F.lit(WILDCARD)).otherwise(p["word"])))
 
-    dealt = words.select("node", "part", "line", "docs", "words").repartition("node", "part").sortWithinPartitions("node", "part", F.desc("docs"), "line")
-    return dealt.mapInPandas(lambda batches: _grouped(batches, ["node", "part"], named), "line long, template long")
 
+def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """Columns line and template of the lines whose leaves hold ``min_docs`` lines or more.
 
-def _generalised(members: DataFrame) -> DataFrame:
-    """Columns line, node, docs and words of each template; ``members`` has template, node, docs and words. Positions that vary are wildcards."""
-    each = members.select("template", "node", "docs", F.posexplode(F.split("words", "\n")).alias("at", "word"))
-    places = each.groupBy("template", "at").agg(F.min("word").alias("lo"), F.max("word").alias("hi"), F.min("node").alias("node"), F.sum("docs").alias("docs"))
-    word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(WILDCARD)
-    whole = places.groupBy(F.col("template").alias("line")).agg(F.min("node").alias("node"), F.min("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("at", word.alias("word")))).alias("words"))
-    return whole.select("line", "node", "docs", F.array_join("words.word", "\n").alias("words"))
-
-
-def _merged_in_parts(words: DataFrame, similarity: float, split: int) -> DataFrame:
-    """Columns line and template of the lines of leaves of more than ``split`` lines (columns node, m, line, docs and words).
-
-    Parts of a leaf are merged each on its own.  Then every template is
-    compared with all earlier ones of its leaf (block by block) and joins the
-    best that itself agrees with no earlier one, round by round until none join.
+    A word's support at a position is the number of different lines of the leaf
+    with that word there.  A template has wildcards at floor((1 - similarity) *
+    words) positions, those of the least support, the later ones of equals, so
+    never the leading words.  A line that is alone in its leaf is a template by itself.
     """
-    dealt = words.withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("m") / split).cast("long")))
-    named = materialize(_merged(dealt, similarity))
-
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        line, out = rows["line"].to_numpy(), []
-        for at in rows.groupby(["node", "part"], sort=False).indices.values():
-            out += [(line[at[i]], line[at[j]], share, rows["docs"].iat[at[j]]) for i, j, share in earlier([rows["words"].iat[k].split("\n") for k in at], similarity)]
-        return pd.DataFrame(out, columns=["line", "to", "share", "docs"]).astype({"line": "int64", "to": "int64", "share": "float64", "docs": "int64"})
-
-    held = materialize(_generalised(words.join(named, "line")))
-    while True:
-        sizes = held.groupBy("node").agg(F.ceil(F.count("*") / max(1, split // 2)).cast("long").alias("blocks"))
-        mine = F.pmod(F.xxhash64("line"), F.col("blocks"))
-        # Block i meets block j (i <= j) in part i * blocks + j.
-        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
-        blocks = held.join(broadcast_if_small(sizes), "node").withColumn("part", F.explode(parts))
-        dealt = blocks.select("node", "part", "line", "docs", "words").repartition("node", "part").sortWithinPartitions("node", "part", F.desc("docs"), "line")
-        edges = materialize(dealt.mapInPandas(lambda batches: _grouped(batches, ["node", "part"], found), "line long, to long, share double, docs long"))
-        if edges.isEmpty():
-            return named
-        roots = edges.join(edges.select(F.col("line").alias("to")).distinct(), "to", "left_anti")
-        joins = materialize(roots.groupBy("line").agg(F.max_by("to", F.struct("share", "docs", -F.col("to"))).alias("to")))
-        target = F.coalesce("to", "line").alias("template")
-        held = materialize(_generalised(held.join(joins, "line", "left").select(target, "node", "docs", "words")))
-        named = materialize(named.join(joins.withColumnRenamed("line", "template"), "template", "left").select("line", F.coalesce("to", "template").alias("template")))
-
-
-def _deeper(known: DataFrame, max_leaf: int) -> DataFrame:
-    """Lines with the node of their leaf, or in leaves of more than ``max_leaf`` lines of the deeper leaf, and from there of whole lines."""
-
-    def oversize(level: str, frame: DataFrame) -> DataFrame:
-        return frame.groupBy(level).agg(F.count("*").alias("m")).filter(F.col("m") > max_leaf).select(level, F.lit(True).alias(f"{level}_over"))
-
-    over = materialize(oversize("leaf", known))
-    deeper = known.join(broadcast_if_small(over), "leaf", "left")
-    over_deep = materialize(oversize("deep", deeper.filter("leaf_over")))
-    node = F.when(F.col("leaf_over").isNull(), F.col("leaf")).when(F.col("deep_over").isNull(), F.col("deep")).otherwise(F.col("line"))
-    return deeper.join(broadcast_if_small(over_deep), "deep", "left").select(node.alias("node"), "line", "docs")
-
-
-def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
-    """Columns line and template of the lines whose leaves reach ``min_docs`` documents; a template is named by its first line.
-
-    ``split`` parts the work alone.  Only where ``max_leaf`` is given do larger leaves become several, which keeps templates apart.
+    known = materialize(lines.groupBy("leaf", "line").agg(F.count("*").alias("n")))
+    busy = known.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("m")).filter(F.col("all") >= min_docs)
+    placed = materialize(known.join(broadcast_if_small(busy), "leaf").select("leaf", "line", "m"))
+    discard(known)
+    several = materialize(placed.filter("m > 1").select("leaf", "line"))
+    words = materialize(_parsed(docs, True).join(broadcast_if_small(several), "line").groupBy("leaf", "line").agg(F.first("words").alias("words")))
+    each = words.select("leaf", "line", F.posexplode(F.transform(F.split(F.col("words").cast("string"), "\n"), lambda w: w.cast("binary"))).alias("at", "word"))
+    shared = each.groupBy("leaf", "at", "word").agg(F.count("*").alias("support")).filter("support > 1")
+    counted = each.join(materialize(shared), ["leaf", "at", "word"], "left").select("line", F.struct(F.coalesce("support", F.lit(1)).alias("support"), "at", "word").alias("place"))
+    named = counted.groupBy("line").agg(F.collect_list("place").alias("places")).select("line", _template(F.col("places"), similarity).alias("template"))
+    return placed.filter("m = 1").select("line", F.col("line").alias("template")).union(named)
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """Lines to drop: k1, k2 and at, for templates in ``min_docs`` documents or more and unchanged long lines in two or more, but for the first document of each.
+
+    The first document is that of the smallest id, and of those alike in id of the smallest text hash.
     """
-    known = materialize(lines.groupBy("leaf", "deep", "line").agg(F.count("*").alias("docs")))
-    placed = known.select(F.col("leaf").alias("node"), "line", "docs") if max_leaf is None else _deeper(known, max_leaf)
-    busy = placed.groupBy("node").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("m")).filter(F.col("all_docs") >= min_docs)
-    placed = materialize(placed.join(busy, "node").select("node", "line", "docs", "m"))
-    alone = placed.filter("m = 1").select("line", F.col("line").alias("template"))
-    several = placed.filter("m > 1")
-    words = _lines(docs, True).select("line", "words").join(broadcast_if_small(several), "line").dropDuplicates(["line"])
-    if placed.filter(F.col("m") > split).isEmpty():
-        return alone.union(_merged(words.withColumn("part", F.lit(0)), similarity))
-    words = materialize(words)
-    small, large = words.filter(F.col("m") <= split), words.filter(F.col("m") > split)
-    return alone.union(_merged(small.withColumn("part", F.lit(0)), similarity)).union(_merged_in_parts(large, similarity, split))
-
-
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
-    """Lines to drop: k1, k2 and line, for templates in ``min_docs`` documents or more and unchanged long lines in two or more, but for the first document of each."""
-    lines = materialize(_lines(docs, False))
-    named = materialize(templates(lines.filter("leaf IS NOT NULL"), docs, min_docs, similarity, max_leaf, split))
-    held = lines.filter("leaf IS NOT NULL").select("k1", "k2", "line").join(named, "line")
-    per_doc = held.select("template", "k1", "k2").distinct()
-    often = materialize(per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("first")).filter(F.col("n") >= min_docs))
-    copied = lines.filter("long").groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("first"), F.max(F.struct("k1", "k2")).alias("last"))
-    copied = materialize(copied.filter("first <> last").select("line", "first"))
+    lines = materialize(_parsed(docs, False))
+    held = materialize(lines.join(materialize(templates(lines, docs, min_docs, similarity)), "line").select("template", "k1", "k2", "at"))
+    often = held.select("template", "k1", "k2").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("first"))
+    copied = lines.filter("own IS NOT NULL").groupBy("own").agg(F.min(F.struct("k1", "k2")).alias("first"), F.max(F.struct("k1", "k2")).alias("last"))
     later = F.struct("k1", "k2") != F.col("first")
-    gone = held.join(broadcast_if_small(often), "template").filter(later).select("k1", "k2", "line")
-    return gone.union(lines.filter("long").join(broadcast_if_small(copied), "line").filter(later).select("k1", "k2", "line"))
+    gone = held.join(broadcast_if_small(often.filter(F.col("n") >= min_docs).select("template", "first")), "template").filter(later)
+    return gone.select("k1", "k2", "at").union(lines.join(broadcast_if_small(copied.filter("first <> last").select("own", "first")), "own").filter(later).select("k1", "k2", "at"))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, max_leaf: int | None = None, split: int = SPLIT) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with lines of recurring templates, and recurring long lines, removed from text; n_chars, where there is one, follows.
 
     Documents are told apart by id and text, so rows alike in both count as
     one document and change alike.  Lines of fewer than MIN_WORDS words, or of
     more wildcards than others, stay, as do all rows, also those left empty; null texts stay null.  Lines are
-    parted by line feeds.
+    parted by line feeds.  An empty table gives an empty one; other columns go along, whatever their names.
     """
-    gone = recurring(docs, min_docs, similarity, max_leaf, split).groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        out = []
-        for text, some in zip(texts, lines):
-            if some is not None and text is not None:
-                bad = set(some.tolist())
-                text = "\n".join(x for x in text.split("\n") if not ((p := parse(x)) and (p[2] in bad or unchanged(x, p[3]) in bad)))
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    joined = whole_rows(docs).join(gone, ["k1", "k2"], "left")
-    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without("text", "gone")))
+    gone = recurring(docs, min_docs, similarity).groupBy("k1", "k2").agg(F.collect_set("at").alias("gone"))
+    keyed = docs.select(F.struct("*").alias("row"), *doc_key()).join(materialize(gone), ["k1", "k2"], "left")
+    kept = F.filter(F.split(F.col("row")["text"], "\n", -1), lambda line, at: ~F.array_contains("gone", at))
+    joined = keyed.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row")["text"]).otherwise(F.array_join(kept, "\n")).alias("text"))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)

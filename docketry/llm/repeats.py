@@ -4,8 +4,8 @@ Documents are cut into overlapping fragments by content-defined anchors (see
 anchors).  Only fragments whose anchor gram occurs again can hold a repeat.
 Equal fragments collapse into one with a weight; groups of fragments with one
 anchor are then searched by a finder, and the spans it returns go back to all
-occurrences.  A group of too many different fragments is not gathered: its
-windows are counted one by one, which is exact as well.
+occurrences.  Groups of too many different fragments for one task are parted
+further by the operator's own splitter, until every part fits.
 """
 
 from __future__ import annotations
@@ -20,18 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import fragments
-from .common import broadcast_if_small, doc_key, materialize
+from .common import broadcast_if_small, discard, doc_key, materialize
 
 #: Symbols that are scanned at once, and fragments that a finder gets at once unless one anchor has more.
 SCAN_AT_ONCE = 1 << 20
 FRAGMENTS_AT_ONCE = 8192
-#: Most fragments of one anchor that a finder gets.
-MAX_GROUP = 65_536
+#: Groups of more fragments are parted further.
+GROUP = 16_384
 SPANS = "array<struct<`from`:int,`to`:int>>"
 _SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
-#: Fragments as bytes or words, anchors' places in them, their weights -> for each the windows (starts) that occur again.
-Finder = Callable[[list, np.ndarray, np.ndarray], list[np.ndarray]]
+#: Where repeats begin: index of the fragment, symbol in it (rising in each fragment), and how many symbols repeat from there, a window or more.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Fragments as bytes or words, anchors' places in them, their weights -> all places in them where strings begin that occur again.
+Finder = Callable[[list, np.ndarray, np.ndarray], Found]
+#: Fragments (akey, ckey, n, anchor, data) of large groups and the most of a group -> akey, ckey and spans.
+Splitter = Callable[[DataFrame, int], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -50,13 +54,18 @@ def encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal runs that windows with these (rising) starts cover."""
-    if not len(starts):
-        return []
-    new = np.flatnonzero(starts[1:] > starts[:-1] + window) + 1
-    first, last = np.concatenate(([0], new)), np.concatenate((new - 1, [len(starts) - 1]))
-    return list(zip(starts[first].tolist(), (starts[last] + window).tolist()))
+def runs(found: Found, n: int) -> list[list[dict[str, int]]]:
+    """Maximal runs of symbols that the repeats cover, for each of ``n`` fragments."""
+    owner, start, depth = (x.astype(np.int64) for x in found)
+    out: list[list[dict[str, int]]] = [[] for _ in range(n)]
+    if len(owner):
+        shift = owner * (int((start + depth).max()) + 2)  # keeps fragments apart
+        until = np.maximum.accumulate(start + depth + shift)
+        first = np.flatnonzero(np.concatenate(([True], start[1:] + shift[1:] > until[:-1])))
+        last = np.append(first[1:], len(owner)) - 1
+        for o, a, b in zip(owner[first].tolist(), start[first].tolist(), (until[last] - shift[last]).tolist()):
+            out[o].append({"from": a, "to": b})
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,102 +158,74 @@ def fetch(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     return texts.mapInArrow(run, "akey long, ckey long, n long, anchor int, data binary")
 
 
-def search(found: DataFrame, unit: Unit, finder: Finder) -> DataFrame:
-    """Run the finder over groups of fragments with one anchor: akey, ckey and the spans that are covered, if any."""
-
-    def batch_of(rows: pa.Table) -> pa.RecordBatch:
-        akey, ckey = (rows.column(c).to_numpy() for c in ("akey", "ckey"))
-        once = np.concatenate(([True], (akey[1:] != akey[:-1]) | (ckey[1:] != ckey[:-1])))  # repeated rows fetch a fragment twice
-        rows, akey, ckey = rows.filter(pa.array(once)), akey[once], ckey[once]
-        data = [unit.symbols(x) for x in rows.column("data").to_pylist()]
-        hits = finder(data, rows.column("anchor").to_numpy().astype(np.int64), rows.column("n").to_numpy())
-        spans = [covered(h, unit.window) for h in hits]
-        some = [i for i, s in enumerate(spans) if s]
-        made = pa.array([[{"from": a, "to": b} for a, b in spans[i]] for i in some], _SPANS)
-        return pa.RecordBatch.from_arrays([pa.array(akey[some]), pa.array(ckey[some]), made], ["akey", "ckey", "spans"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= FRAGMENTS_AT_ONCE:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                akey = rows.column("akey").to_numpy()
-                cut = int(np.flatnonzero(akey != akey[-1]).max(initial=-1)) + 1
-                for a, b in _slices(akey[:cut]):
-                    yield batch_of(rows.slice(a, b - a))
-                held = rows.slice(cut).combine_chunks().to_batches()
-        if sum(map(len, held)):
-            yield batch_of(pa.Table.from_batches(held).combine_chunks())
-
-    return found.repartition("akey").sortWithinPartitions("akey", "ckey").mapInArrow(run, f"akey long, ckey long, spans {SPANS}")
-
+def batches_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows_at_once: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of ``rows_at_once`` rows or more; rows come sorted by the ``keys``."""
 
-def _slices(akey: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts sorted keys where they change, after FRAGMENTS_AT_ONCE rows or more."""
-    begun = 0
-    for end in [*(np.flatnonzero(akey[1:] != akey[:-1]) + 1).tolist(), len(akey)]:
-        if end - begun >= FRAGMENTS_AT_ONCE or end == len(akey) > begun:
-            yield begun, end
-            begun = end
+    def changes(rows: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.any([(v := rows.column(k).to_numpy())[1:] != v[:-1] for k in keys], axis=0)) + 1
 
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows_at_once:
+            rows, begun = pa.Table.from_batches(held).combine_chunks(), 0
+            for end in changes(rows).tolist():
+                if end - begun >= rows_at_once:
+                    yield rows.slice(begun, end - begun)
+                    begun = end
+            held = rows.slice(begun).combine_chunks().to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks()
 
-def count_windows(found: DataFrame, unit: Unit) -> DataFrame:
-    """As ``search``, for groups too large to gather: every window is counted by its 128-bit hash."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for akey, ckey, n, data in zip(*(batch.column(c).to_pylist() for c in ("akey", "ckey", "n", "data"))):
-                symbols = unit.symbols(data)
-                for w in range(len(symbols) - unit.window + 1):
-                    piece = symbols[w : w + unit.window]
-                    for col, value in zip(out, (akey, ckey, n, w, xxhash.xxh3_128_digest(b" ".join(piece) if unit.words else piece))):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["akey", "ckey", "n", "w", "h"])
-
-    flat = found.dropDuplicates(["akey", "ckey"]).mapInArrow(windows, "akey long, ckey long, n long, w int, h binary")
-    often = flat.groupBy("h").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("h")
-    hits = flat.join(often, "h", "left_semi").groupBy("akey", "ckey").agg(F.sort_array(F.collect_list("w")).alias("starts"))
-    window = unit.window
+def search(found: DataFrame, unit: Unit, finder: Finder) -> DataFrame:
+    """Run the finder over groups of fragments with one anchor: akey, ckey and the spans that are covered, if any."""
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [[{"from": a, "to": b} for a, b in covered(np.array(s, np.int64), window)] for s in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("akey"), batch.column("ckey"), pa.array(made, _SPANS)], ["akey", "ckey", "spans"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches_of(batches, ["akey"], FRAGMENTS_AT_ONCE):
+            akey, ckey = (rows.column(c).to_numpy() for c in ("akey", "ckey"))
+            once = np.concatenate(([True], (akey[1:] != akey[:-1]) | (ckey[1:] != ckey[:-1])))  # repeated rows fetch a fragment twice
+            rows, akey, ckey = rows.filter(pa.array(once)), akey[once], ckey[once]
+            data = [unit.symbols(x) for x in rows.column("data").to_pylist()]
+            spans = runs(finder(data, rows.column("anchor").to_numpy().astype(np.int64), rows.column("n").to_numpy()), len(data))
+            some = [i for i, s in enumerate(spans) if s]
+            yield pa.RecordBatch.from_arrays([pa.array(akey[some]), pa.array(ckey[some]), pa.array([spans[i] for i in some], _SPANS)], ["akey", "ckey", "spans"])
 
-    return hits.mapInArrow(spans, f"akey long, ckey long, spans {SPANS}")
+    return found.repartition("akey").sortWithinPartitions("akey", "ckey").mapInArrow(run, f"akey long, ckey long, spans {SPANS}")
 
 
-def repeated_spans(docs: DataFrame, unit: Unit, finder: Finder, max_group: int = MAX_GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitter, group: int = GROUP) -> DataFrame:
     """Columns k1, k2 and found: a list of {at, spans}, spans counting from the fragment's start ``at``.
 
     Rows alike in id and text share a key but count as several documents.
     """
-    all_ = occurrences(docs, unit)
+    all_ = materialize(occurrences(docs, unit))
     again = materialize(all_.groupBy("akey").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("akey"))  # so that Spark can split hot keys of the join
     kept = materialize(all_.join(again, "akey", "left_semi"))
+    discard(all_, again)
     different = kept.groupBy("akey", "ckey").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "size", "anchor")).alias("rep"))
     wanted = materialize(different.select("akey", "ckey", "n", "rep.*"))
-    large = materialize(wanted.groupBy("akey").agg(F.count("*").alias("m")).filter(F.col("m") > max_group).select("akey"))
+    large = materialize(wanted.groupBy("akey").agg(F.count("*").alias("m")).filter(F.col("m") > group).select("akey"))
     if large.isEmpty():
-        spans = search(fetch(docs, wanted, unit), unit, finder)
+        spans = materialize(search(fetch(docs, wanted, unit), unit, finder))
     else:
         large = broadcast_if_small(large)
-        small = wanted.join(large, "akey", "left_anti")
-        spans = search(fetch(docs, small, unit), unit, finder).union(count_windows(materialize(fetch(docs, wanted.join(large, "akey", "left_semi"), unit)), unit))
-    spans = materialize(spans)
+        small = search(fetch(docs, wanted.join(large, "akey", "left_anti"), unit), unit, finder)
+        hot = materialize(fetch(docs, wanted.join(large, "akey", "left_semi"), unit).dropDuplicates(["akey", "ckey"]))
+        spans = materialize(small.union(splitter(hot, group)))
+    discard(wanted)
     return kept.select("akey", "ckey", "k1", "k2", "at").join(spans, ["akey", "ckey"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "spans")).alias("found"))
 
 
-def cut(docs: DataFrame, unit: Unit, finder: Finder, max_group: int = MAX_GROUP) -> DataFrame:
+def cut(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitter, group: int = GROUP) -> DataFrame:
     """One row per row of ``docs``: doc_id, n symbols long, spans removed (maximal runs, counted in symbols) and kept (binary).
 
     Null texts are empty.  Kept bytes are joined as they are, kept words by
-    one space.  Texts shorter than a window lose nothing, unless they are
-    empty there is nothing to lose; other columns of docs are ignored.
+    one space.  Texts shorter than a window, and empty ones, lose nothing; rows
+    alike in id and text are repeats of each other; an empty table gives an
+    empty one; other columns of docs are ignored.
     """
-    found = repeated_spans(docs, unit, finder, max_group)
+    found = repeated_spans(docs, unit, finder, splitter, group)
     names = ["doc_id", "n", "spans", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

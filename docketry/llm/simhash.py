@@ -2,24 +2,25 @@
 
 A fingerprint's 64 bits are cut into 32 segments of two.  The segments' bit
 counts embed it in a small integer space in which the Manhattan distance
-never exceeds the Hamming distance.  The 32 axes are dealt into GROUPS bands.
-If two fingerprints are ``distance`` or less apart, their embeddings agree
-exactly in all but ``distance`` bands, so they meet in a grid cell of one of
-the choices of the remaining bands.  Within a cell, the Manhattan distance of
-the counts per byte comes first as a cheap lower bound, then the exact
-Hamming distance.  Cells return links that span what they connect, not all
-pairs, so groups of copies cost no square.
+never exceeds the Hamming distance.  The axes make two halves.  Fingerprints
+``distance`` or less apart are at most distance // 2 apart in the first half
+or at most distance - distance // 2 - 1 in the second.  Each half is a grid of
+unit cells, in which a range-join brings together what lies so close: every
+fingerprint goes to its own cell and those one step away (upwards only, if the
+range is one), so that any two within the range share a cell.  Within a cell,
+the Manhattan distance of the whole embedding is the lower bound that comes
+first, then the exact Hamming distance decides.  Cells return links that span
+what they connect, not all pairs, so groups of copies cost no square.
 
 Where a least similarity of the shingles is asked for as well, MinHash bands
 find the candidates that lie further apart, and their exact Jaccard similarity
 decides.  (A pair that shares 0.8 of its shingles lies about 10 of 64 bits
-apart; a grid for so many bits fixes so few axes that any two documents meet.)
+apart; cells for so wide a range would hold any two documents.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, doc_key, materialize, whole_rows
+from .common import broadcast_if_small, discard, doc_key, materialize, whole_rows
 
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-#: Bands of embedding axes; cells fix all but DISTANCE of them.
-GROUPS = 7
+#: Ranges in a half of the axes are two steps at most, so distances are at most this.
+WIDEST = 4
 #: Fingerprints of a cell that one task compares at once; larger cells are compared in blocks.
 BLOCK = 4096
 SEGMENTS = 32
@@ -116,32 +117,32 @@ def segment_counts(fps: np.ndarray, bits: int) -> np.ndarray:
     return ones.reshape(len(fps), 64 // bits, bits).sum(axis=2, dtype=np.uint8)
 
 
-def bands(fps: np.ndarray, groups: int) -> np.ndarray:
-    """The embedding's bands as numbers in base three: one column for each band."""
-    axes = segment_counts(fps, 64 // SEGMENTS).astype(np.uint64)
-    powers = np.uint64(3) ** np.arange(SEGMENTS, dtype=np.uint64)
-    return np.stack([(axes[:, g::groups] * powers[: axes[:, g::groups].shape[1]]).sum(axis=1) for g in range(groups)], axis=1)
-
-
-def cells(fps: np.ndarray, groups: int, distance: int) -> np.ndarray:
-    """The grid cells of each fingerprint, one column for each choice of bands that must agree."""
-    values = bands(fps, groups)
-    out = []
-    for which, chosen in enumerate(combinations(range(groups), groups - distance)):
-        h = np.full(len(fps), which + 1, np.uint64)
-        for g in chosen:
-            h = (h ^ values[:, g]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append(h)
-    return np.stack(out, axis=1).view(np.int64)
-
-
-def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Which pairs link: the byte counts' Manhattan distance bounds, the Hamming distance decides."""
-    ones = lambda x: np.bitwise_count(x.view(np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)).astype(np.int16)
-    ok = np.abs(ones(a) - ones(b)).sum(axis=1) <= distance
-    ok[ok] = np.bitwise_count(a[ok].view(np.uint64) ^ b[ok].view(np.uint64)) <= distance
-    return ok
+def cells(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grid cells that the range-join puts fingerprints in: cell and index of the fingerprint."""
+    axes, n = segment_counts(fps, 64 // SEGMENTS), SEGMENTS // 2
+    steps = np.int64(3) ** np.arange(n)
+    cell, row = [], []
+    for half, reach in enumerate((distance // 2, distance - distance // 2 - 1)):
+        mine = axes[:, half * n : (half + 1) * n]
+        own = mine.astype(np.int64) @ steps
+        put = [(np.arange(len(fps)), 0)] if reach >= 0 else []
+        if reach >= 1:
+            i, axis = np.nonzero(mine < 2)
+            put.append((i, steps[axis]))
+        if reach >= 2:
+            i, axis = np.nonzero(mine > 0)
+            put.append((i, -steps[axis]))
+        for i, step in put:
+            cell.append((own[i] + step) * 2 + half)
+            row.append(i)
+    return np.concatenate(cell), np.concatenate(row)
+
+
+def unary(fps: np.ndarray) -> np.ndarray:
+    """The embedding with counts 0, 1, 2 spelled 00, 01, 11: Manhattan distances are numbers of differing bits."""
+    x, every = fps.view(np.uint64), np.uint64(0x5555555555555555)
+    low, high = x & every, x >> np.uint64(1) & every
+    return (low | high) | (low & high) << np.uint64(1)
 
 
 def spanning(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,15 +167,17 @@ def spanning(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
 def cell_links(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of rows sorted by cell, comparing the rows of each cell with each other."""
     left, right = [fp[:0]], [fp[:0]]
+    bits, counts = fp.view(np.uint64), unary(fp)
     gap, live = 1, np.arange(len(cell))
     while True:
         live = live[live + gap < len(cell)]
         live = live[cell[live] == cell[live + gap]]
         if not len(live):
             break
-        ok = near(fp[live], fp[live + gap], distance)
-        left.append(fp[live][ok])
-        right.append(fp[live + gap][ok])
+        close = live[np.bitwise_count(counts[live] ^ counts[live + gap]) <= distance]
+        close = close[np.bitwise_count(bits[close] ^ bits[close + gap]) <= distance]
+        left.append(fp[close])
+        right.append(fp[close + gap])
         if sum(map(len, left)) > 1 << 18:
             a, b = spanning(fp, np.concatenate(left), np.concatenate(right))
             left, right = [a], [b]
@@ -182,18 +185,20 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndar
     return spanning(fp, np.concatenate(left), np.concatenate(right))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all those at most ``distance`` bits apart.
+def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect all those at most ``distance`` (up to WIDEST) bits apart.
 
     Cells of more than ``block`` fingerprints are cut into blocks by hash, and
     each pair of blocks is compared on its own, so no task holds a whole cell.
     """
-    choices = len(list(combinations(range(groups), groups - distance)))
+    if not 0 <= distance <= WIDEST:
+        raise ValueError(f"distance must be 0 to {WIDEST}: {distance}")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(cells(fp, groups, distance).ravel()), pa.array(np.repeat(fp, choices))], ["cell", "fp"])
+            cell, row = cells(fp, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[row])], ["cell", "fp"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -225,7 +230,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block:
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "fp").mapInPandas(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): columns node, root (the smallest node), for every node that has a link.
 
     Alternates large-star and small-star rounds until nothing changes; every
@@ -234,18 +239,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(edges)
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
-        edges = materialize(small.filter("a <> b").distinct())
+        last, edges = edges, materialize(small.filter("a <> b").distinct())
+        discard(last)
         if (after := mark(edges)) == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -352,11 +356,14 @@ def deduplicate(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, s
     """``docs`` with one row of each component: that of the smallest key; equal rows count once.
 
     With ``similarity``, documents that share so many of their shingles (Jaccard) are near duplicates as well.
+    Of rows alike in id and text the one that comes first as JSON stays.  Null
+    and wordless texts have fingerprint zero, so one of them all stays.  An
+    empty table gives an empty one; other columns go along, whatever their names.
     """
     found = near_duplicates(docs, words, distance) if similarity is None else similar_documents(docs, words, distance, similarity)
     first = materialize(found.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2"))
     kept = whole_rows(docs).join(broadcast_if_small(first), ["k1", "k2"], "left_semi")
     twice = docs.select(*doc_key()).groupBy("k1", "k2").count().filter("count > 1")
     if not twice.isEmpty():  # repeated rows share a key
-        kept = kept.dropDuplicates(["k1", "k2"])
+        kept = kept.groupBy("k1", "k2").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
     return kept.select("row.*")

@@ -5,8 +5,10 @@ An item's sketch holds its smallest shingle hashes: with q shingles and a
 containment of t or more, a document lacks at most q - ceil(t q) of them, so
 one of the q - ceil(t q) + 1 smallest is always among the document's
 shingles.  The search hence loses nothing, however long the document is.
-Documents too small for a class (fewer than t times its least size) skip it.
-Candidates are then verified by the containment of the shingles' own texts.
+Each class has a search of its own: documents too small for it (fewer than t
+times its least size) skip it, and of the others it looks at the hashes up to
+the largest in its sketches.  Documents that are hit are then verified by the
+containment of the shingles' own texts.
 Everything runs as DataFrame operations.
 """
 
@@ -27,33 +29,39 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: w != "")
 
 
-def _each_shingle(words: Column, size: int, made) -> Column:
-    # Bound as a lambda's variable, the words are split once and not again for every shingle.
-    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
-    run = lambda w: F.when(F.size(w) > 0, F.transform(starts(w), lambda i: made(F.array_join(F.slice(w, i, size), " "))))
-    return F.flatten(F.filter(F.transform(F.array(words), run), F.isnotnull))
+def _bound(value: Column, made) -> Column:
+    """An array made of a value that is computed once, as a lambda's variable, and not again for every element."""
+    return F.flatten(F.filter(F.transform(F.array(value), made), F.isnotnull))
+
+
+def _starts(size: Column, n: int) -> Column:
+    return F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
 
 
 def shingles(words: Column, size: int = WORDS) -> Column:
     """Shingles joined by spaces; all words together if there are fewer; none without words."""
-    return _each_shingle(words, size, lambda s: s)
+    return _bound(words, lambda w: F.when(F.size(w) > 0, F.transform(_starts(F.size(w), size), lambda i: F.array_join(F.slice(w, i, size), " "))))
 
 
 def shingle_hashes(words: Column, size: int = WORDS) -> Column:
-    return _each_shingle(words, size, lambda s: F.xxhash64(s))
+    """A number for each of ``shingles``, made of its words' hashes (missing words hash as null), without building the texts."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    whole = lambda h: F.transform(_starts(F.size(h), size), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(size)]))
+    return _bound(hashed, lambda h: F.when(F.size(h) > 0, whole(h)))
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
-    """Columns item_id, shingles (distinct), q, size_class and sketch (the bottom hashes) of each item that has words."""
-    hashed = F.transform("shingles", lambda s: F.xxhash64(s))
+    """Columns item_id, key, shingles (distinct), q, least, size_class and sketch (the bottom hashes) of each different item that has words."""
+    words = words_of(F.col("text"))
     return (
-        items.select("item_id", F.array_distinct(shingles(words_of(F.col("text")), size)).alias("shingles"))
+        items.select("item_id", F.xxhash64("text").alias("key"), "text").dropDuplicates(["item_id", "key"])
+        .select("item_id", "key", F.array_distinct(shingles(words, size)).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(words, size))).alias("hashes"))
         .withColumn("q", F.size("shingles"))
         .filter("q > 0")
         .withColumn("size_class", F.floor(F.log2("q")).cast("int"))
         .withColumn("least", F.ceil(F.col("q") * threshold - 1e-9).cast("int"))
-        .withColumn("sketch", F.slice(F.array_sort(F.array_distinct(hashed)), F.lit(1), F.col("q") - F.col("least") + 1))
-    )
+        .select("item_id", "key", "shingles", "q", "least", "size_class", F.slice("hashes", F.lit(1), F.col("q") - F.col("least") + 1).alias("sketch"))
+    )
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
@@ -63,22 +71,24 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     n_shared and containment.  Words are runs of letters and digits,
     lower-cased; texts of fewer than ``size`` words form one shingle; null,
     empty and wordless texts match nothing.  Repeated documents share one key,
-    repeated items yield repeated pairs; extra columns are ignored.
+    items alike in id and text count once; extra columns are ignored.  Empty
+    tables give an empty one.
     """
-    known = sketches(items, threshold, size)
-    probe = known.select("item_id", "size_class", F.explode("sketch").alias("hash")).groupBy("hash").agg(F.min("size_class").alias("size_class"), F.collect_set("item_id").alias("items"))
-    hashed = docs.select(*doc_key(), F.array_distinct(shingle_hashes(words_of(F.col("text")), size)).alias("hashes"))
-    # A document of x shingles can't hold t * 2 ** class of an item of that class if it has fewer.
-    flat = hashed.select("k1", "k2", F.floor(F.log2(F.greatest(F.size("hashes") / threshold, F.lit(1.0)))).cast("int").alias("doc_class"), F.explode("hashes").alias("hash"))
-    hits = flat.join(broadcast_if_small(probe), "hash").filter("size_class <= doc_class")
-    pairs = hits.select("k1", "k2", F.explode("items").alias("item_id")).distinct()
-    found = materialize(pairs.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items")))
+    known = materialize(sketches(items, threshold, size))
+    probe = known.select("size_class", F.explode("sketch").alias("hash")).groupBy("hash").agg(F.min("size_class").alias("size_class"))
+    # What a document of some size looks for: the largest hash of the classes that it can hold an item of.
+    largest = {r["size_class"]: r["top"] for r in known.groupBy("size_class").agg(F.max(F.array_max("sketch")).alias("top")).collect()}  # one row a class
+    hashes = shingle_hashes(words_of(F.col("text")), size)
+    reach = F.greatest(*[F.when(F.size("hashes") >= threshold * 2**c - 1e-9, F.lit(top)) for c, top in largest.items()], F.lit(None).cast("long"), F.lit(None).cast("long"))
+    hashed = docs.select(*doc_key(), hashes.alias("hashes")).withColumn("reach", reach)
+    flat = hashed.select("k1", "k2", F.size("hashes").alias("n"), F.explode(F.filter("hashes", lambda h: h <= F.col("reach"))).alias("hash"))
+    hits = flat.join(broadcast_if_small(probe), "hash").filter(F.col("n") >= threshold * F.pow(F.lit(2.0), F.col("size_class")) - 1e-9)
+    found = materialize(hits.select("k1", "k2").distinct())
     texts = docs.select(*doc_key(), "text").join(broadcast_if_small(found), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    checked = texts.select("k1", "k2", "items", F.array_distinct(shingles(words_of(F.col("text")), size)).alias("own")).select("k1", "k2", "own", F.explode("items").alias("item_id"))
-    exact = checked.join(broadcast_if_small(known.select("item_id", "shingles", "q", "least"), 20_000), "item_id")
-    return exact.withColumn("n_shared", F.size(F.array_intersect("shingles", "own"))).filter("n_shared >= least").select(
-        "k1", "k2", "item_id", F.col("q").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment")
-    )
+    own = texts.select("k1", "k2", F.explode(F.array_distinct(shingles(words_of(F.col("text")), size))).alias("shingle"))
+    wanted = known.select("item_id", "key", "q", "least", F.explode("shingles").alias("shingle"))
+    shared = own.join(broadcast_if_small(wanted), "shingle").groupBy("k1", "k2", "item_id", "key").agg(F.first("q").alias("q"), F.first("least").alias("least"), F.count("*").cast("int").alias("n_shared"))
+    return shared.filter("n_shared >= least").select("k1", "k2", "item_id", F.col("q").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
 
 
 def holding_short_items(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame | None:
@@ -97,6 +107,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """The documents that contain no item; all their rows and columns stay as they are.
 
     Items of fewer than ``size`` words are searched inside documents as well.
+    Null, empty and wordless texts contain nothing and stay, as do repeated
+    rows that contain nothing; without items all rows stay.
     """
     bad = contaminated(docs, items, threshold, size).select("k1", "k2").distinct()
     if (short := holding_short_items(docs, items, size)) is not None:

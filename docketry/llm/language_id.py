@@ -8,7 +8,6 @@ nearest codewords lie close together are flagged ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,6 @@ BUCKETS = 1 << BUCKET_BITS
 #: Texts are ambiguous if the score is below this.
 AMBIGUOUS = 0.75
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 TOGETHER = 64
 
 
@@ -78,9 +76,9 @@ class Model:
         return counts.astype(np.float32) @ self.weights / np.maximum(1, counts.sum(axis=1, dtype=np.float64))[:, None]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        """Language, score and ambiguity; UNDETERMINED with score 0 for texts without a letter or if nothing was learned."""
+        """Language, score and ambiguity; UNDETERMINED with score 0 for texts without a letter (Unicode category L) or if nothing was learned."""
         out: list[tuple[str, float, bool]] = [(UNDETERMINED, 0.0, True)] * len(texts)
-        good = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        good = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.languages else []
         for at in range(0, len(good), TOGETHER):
             some = good[at : at + TOGETHER]
             z = self.margins(np.stack([gram_counts(texts[i]) for i in some])) * self.scale + self.offset
@@ -153,7 +151,8 @@ def identify(text: Column, model: Model) -> Column:
     """A struct lang, score, ambiguous for each whole text.
 
     Null and letterless texts are UNDETERMINED with score 0 and ambiguous;
-    only the text is looked at, so repeated rows agree.
+    only the text is looked at, so repeated rows agree.  Of languages equally
+    near the first by name is taken.
     """
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")

@@ -26,8 +26,6 @@ from .common import broadcast_if_small, held_out, materialize
 
 #: At most about so many labelled rows are learned from; beyond, a hash of the id picks a share.
 SAMPLE_ROWS = 40_000
-#: At most so many stems enter the lexicon, those with the most evidence first.
-MAX_TERMS = 2_000
 MIN_STEM = 3
 #: Stems shorter than this allow no misspelling.
 MIN_FUZZY = 5
@@ -116,7 +114,7 @@ class Lexicon:
 
 @dataclass
 class Model:
-    """A lexicon, the evidence of its hits and the weights of the score; picklable, its size bounded by MAX_TERMS."""
+    """A lexicon, the evidence of its hits and the weights of the score; picklable, its size bounded by the sample."""
 
     stems: list[str]
     evidence: dict[tuple[int, int], float] = field(default_factory=dict)
@@ -182,7 +180,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def choose_stems(sample: DataFrame, counts: dict[int, int], most: int = MAX_TERMS) -> list[str]:
+def choose_stems(sample: DataFrame, counts: dict[int, int]) -> list[str]:
     """Stems (word beginnings, or whole words marked by END) that mark toxic rows.
 
     Of stems that begin alike the shortest counts, made longer as long as that
@@ -196,8 +194,7 @@ def choose_stems(sample: DataFrame, counts: dict[int, int], most: int = MAX_TERM
     table = words.filter(F.length("word") >= MIN_STEM).select(F.explode(starts).alias("stem"), "bad", "n").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     ratio = ((F.col("bad") + 0.5) / positive) / ((F.col("n") - F.col("bad") + 0.5) / negative)
     good = table.filter((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * positive)) & (ratio >= MIN_RATIO))
-    ranked = good.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(10 * most).collect()  # bounded by the parameter
-    stats = {r["stem"]: (r["bad"], r["n"]) for r in ranked}
+    stats = {r["stem"]: (r["bad"], r["n"]) for r in good.collect()}  # of the bounded sample, each in MIN_SHARE of its toxic rows
     shortest: list[str] = []
     for stem in sorted(stats, key=lambda s: (len(s), s)):
         if not any(stem[:n] in shortest for n in range(MIN_STEM, len(stem))):
@@ -214,7 +211,7 @@ def choose_stems(sample: DataFrame, counts: dict[int, int], most: int = MAX_TERM
         while (longer := max(following.get(stem, []), key=lambda s: (worth(s), s), default=None)) and worth(longer) > worth(stem) * (1 if longer[-1] == END else 0.95):
             stem = longer
         out.append(stem)
-    return sorted(out, key=lambda s: (-stats[s][0], s))[:most]
+    return sorted(out, key=lambda s: (-stats[s][0], s))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> list[float]:
@@ -231,7 +228,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = MAX_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learn stems, evidence and weights from the labelled sample.
 
     Without toxic rows to learn from, the lexicon is empty and every score is
@@ -243,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int
         base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 0.0
         return Model([], {}, [math.log(base / (1 - base)) if base else -30.0] + [0.0] * FEATURES)
     distinct = sample.dropDuplicates(["text", "toxic"]).groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count()
-    model = Model(choose_stems(sample, {r["toxic"]: r["count"] for r in distinct.collect()}, most))
+    model = Model(choose_stems(sample, {r["toxic"]: r["count"] for r in distinct.collect()}))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -268,7 +265,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int
 
 
 def score(text: Column, model: Model) -> Column:
-    """Toxicity of each whole text, 0 to 1; null and empty texts score like texts without hits."""
+    """Toxicity of each whole text, 0 to 1; null and empty texts score like texts without hits.
+
+    A word that several stems match counts for the one of the most evidence,
+    then the fewest edits, then the first; equal texts score alike.
+    """
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -279,6 +280,10 @@ def score(text: Column, model: Model) -> Column:
 
 
 def rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: bool = True) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more (or only those, if not ``keep``); columns stay as they are."""
+    """``docs`` without the rows that score ``threshold`` or more (or only those, if not ``keep``); columns stay as they are.
+
+    Null and empty texts have no hits and stay; repeated rows fare alike.
+    Without labels all rows stay; an empty table gives an empty one.
+    """
     marked = docs.select(F.struct("*").alias("row"), score(F.col("text"), train(docs, labels)).alias("score"))
     return marked.filter(F.col("score") < threshold if keep else F.col("score") >= threshold).select("row.*")

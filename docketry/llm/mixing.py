@@ -26,12 +26,12 @@ def poisson_cdf(rate: Column, terms: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda s: s["cdf"])
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = 1.0) -> DataFrame:
     """Mean repetition rate of each source: weight share * budget * all rows / rows of the source.
 
     ``weights`` maps a source to its target share (normalised over the sources
     that exist); sources that it lacks get none.  None weighs all sources
-    alike.  The null source counts as one of its own, with the key ''.
+    alike.  The null source counts as one of its own, with the key None.
     """
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
@@ -40,22 +40,24 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
         bad = [k for k, v in weights.items() if not (v >= 0 and math.isfinite(v))]
         if bad:
             raise ValueError(f"weights must be finite and not negative: {bad}")
-        lookup = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else None
-        weight = F.coalesce(F.try_element_at(lookup, F.coalesce("source", F.lit(""))), F.lit(0.0)) if weights else F.lit(0.0)
+        named = [x for k, v in weights.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
+        known = F.coalesce(F.try_element_at(F.create_map(*named), F.col("source")), F.lit(0.0)) if named else F.lit(0.0)
+        weight = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(known)
     sizes = sizes.withColumn("weight", weight)
     whole = sizes.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).first()
     rate = F.coalesce(F.try_divide(F.col("weight"), F.lit(whole["weight"])) * F.lit(float(budget) * (whole["n"] or 0)) / F.col("n"), F.lit(0.0))
     return sizes.select("source", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = 1.0, seed: int = 0) -> DataFrame:
     """Replicate documents so that sources reach their target weights, in random order.
 
     A row with hash-seeded uniform number u gets k copies, k being the least
     count whose Poisson distribution function (mean: the rate of its source,
     see ``rates``) reaches u.  Copies are exploded, numbered ``copy`` from 0,
-    and shuffled globally by a hash of id, copy and seed.  Repeated rows draw
-    the same u.  A null id hashes as itself; null texts are kept; an empty
+    and shuffled globally by a hash of id, copy and seed.  u depends on id and
+    text, so rows alike in both draw the same u, also with null ids.  A null id
+    hashes as itself; null texts are kept; an empty
     table gives an empty one.  Other columns go along; a column named copy is
     replaced.
 
@@ -66,9 +68,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     table = rates(docs, weights, budget).withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part_rate", F.col("rate") / F.col("parts"))
     terms = F.ceil(F.col("part_rate") + 12 * F.sqrt("part_rate") + 40).cast("int")
     table = table.select(F.col("source").alias("of"), "parts", poisson_cdf(F.col("part_rate"), terms).alias("cdf"))
-    rows = docs.drop("copy").select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("digest"))
-    joined = rows.join(broadcast_if_small(table, 10_000), F.col("source").eqNullSafe(F.col("of")))
-    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(seed), F.col("doc_id"), i))
+    rows = docs.drop("copy").select(F.struct("*").alias("row"), "doc_id", "source", F.md5(F.col("text").cast("binary")).alias("digest"))
+    joined = rows.join(broadcast_if_small(table), F.col("source").eqNullSafe(F.col("of")))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(seed), F.col("doc_id"), F.col("digest"), i))
     count = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c < u)))
     kept = joined.select("row", "doc_id", "digest", count.alias("k")).filter("k > 0")
     copies = kept.select("row", "doc_id", "digest", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))

@@ -15,12 +15,14 @@ MIX_SEED = 7
 
 
 def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes outside 200-byte strings that start anywhere else as well, as digests. Null text is empty."""
     cut = bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n") - F.length("kept")
     return cut.select("doc_id", F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words outside windows of 35 that start anywhere else as well, as digests. Null text has no words."""
     cut = suffix_tree_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return cut.select("doc_id", F.col("n").alias("n_words"), removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,7 +39,7 @@ r AS (SELECT source, (1.0::DOUBLE / sources::DOUBLE) * total::DOUBLE / n::DOUBLE
 terms AS (SELECT source, rate, unnest(range(0, 1 + ceil(rate + 12 * sqrt(rate) + 40)::BIGINT)) AS k FROM r),
 p AS (SELECT source, k, exp(-rate) * coalesce(product(rate / nullif(k, 0)) OVER (PARTITION BY source ORDER BY k), 1.0) AS p FROM terms),
 cdf AS (SELECT source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p) GROUP BY source),
-d AS (SELECT d.*, cdf.cdf, (('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, chr(0)) || '|1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+d AS (SELECT d.*, cdf.cdf, (('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, chr(0)) || '|' || coalesce(md5(text), chr(0)) || '|1'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
       FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, len(list_filter(cdf, lambda c: c < u))))::INTEGER AS copy FROM d
 """
@@ -62,6 +64,7 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host and path, the longest rule that fits, and its verdict. Null urls have empty parts."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
@@ -79,12 +82,14 @@ SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.action, 'allow') AS verdict
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; learned from rows that are not held out. Texts without a letter are und."""
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", held_out().alias("held_out"), language_id.identify(F.col("text"), language_id.train(docs)).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.ambiguous").alias("ambiguous"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a WAV: digests of what is read back and of the stored form, and of its peak pairs. Null text is empty."""
     made = media.media_column(table(spark, sf_dir, "documents"))
     return made.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
@@ -94,6 +99,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component of fingerprints at most four bits apart. Null text has fingerprint zero."""
     return simhash.component_ids(table(spark, sf_dir, "documents"))
 
 
@@ -102,7 +108,28 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+parted AS (SELECT doc_id, pos, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS own FROM raw),
+masked AS (SELECT *, list_transform(own, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM parted),
+judged AS (SELECT * FROM masked WHERE len(w) >= 3 AND 2 * len(list_filter(w, lambda x: x = '<*>')) <= len(w)),
+lines AS (SELECT DISTINCT w FROM judged),
+each AS (SELECT w, len(w) AS n, w[1:3] AS head, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM lines),
+ranked AS (SELECT w, n, pos, word, row_number() OVER (PARTITION BY w ORDER BY support, pos DESC) AS r FROM (SELECT *, count(*) OVER (PARTITION BY n, head, pos, word) AS support FROM each)),
+named AS (SELECT w, string_agg(CASE WHEN r <= (3 * n) // 10 THEN '<*>' ELSE word END, ' ' ORDER BY pos) AS template FROM ranked GROUP BY w),
+often AS (SELECT template, min(doc_id) AS f FROM judged JOIN named USING (w) GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+copied AS (SELECT own, min(doc_id) AS f FROM judged WHERE len(own) >= 10 GROUP BY own HAVING count(DISTINCT doc_id) >= 2),
+gone AS (SELECT doc_id, pos FROM judged JOIN named USING (w) JOIN often USING (template) WHERE doc_id <> f UNION SELECT doc_id, pos FROM judged JOIN copied USING (own) WHERE doc_id <> f),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM raw ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+hit AS (SELECT DISTINCT doc_id FROM gone)
+SELECT d.doc_id, CASE WHEN hit.doc_id IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, d.lang, d.source,
+  CASE WHEN hit.doc_id IS NULL THEN d.n_chars ELSE length(coalesce(kept.text, '')) END AS n_chars
+FROM documents d LEFT JOIN hit USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; learned from labelled rows that are not held out. Null and empty texts score like texts without hits."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
@@ -121,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}

@@ -1,15 +1,18 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import binascii
+import functools
 import hashlib
 import io
 import math
 import random
+import re
 import wave
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -72,29 +75,51 @@ def brute_repeats(texts, window, as_words):
 
 
 @pytest.mark.parametrize(("module", "as_words", "window", "gram"), [(bwt_dedup, False, 200, 32), (suffix_tree_dedup, True, 35, 4), (bwt_dedup, False, 40, 8), (suffix_tree_dedup, True, 6, 2)])
-@pytest.mark.parametrize("max_group", [repeats.MAX_GROUP, 1])
-def test_repeats_match_brute_force(spark, planted, module, as_words, window, gram, max_group):
+@pytest.mark.parametrize("group", [repeats.GROUP, 1])
+def test_repeats_match_brute_force(spark, planted, module, as_words, window, gram, group):
     docs = frame(spark, [*planted, (None, planted[0][1], None, None), (1000, None, None, None), (1001, "", None, None), (1002, "short", None, None)])
-    got = module.remove_repeats(docs, window, gram, max_group).collect()
+    got = module.remove_repeats(docs, window, gram, group).collect()
     rows = docs.collect()
     want = Counter((r["doc_id"], n, kept, removed, spans) for r, (n, kept, removed, spans) in zip(rows, brute_repeats([r["text"] for r in rows], window, as_words)))
     assert Counter((r["doc_id"], r["n"], bytes(r["kept"]), sum(s["to"] - s["from"] for s in r["spans"]), len(r["spans"])) for r in got) == want
 
 
-def test_column_transform_finds_all_windows():
-    r = random.Random(3)
-    core = bytes(r.choices(b"ab", k=12))
-    data = [bytes(r.choices(b"ab", k=r.randrange(0, 6))) for _ in range(200)]
-    full, anchors = [d + core + bytes(r.choices(b"ab", k=r.randrange(0, 6))) for d in data], np.array([len(d) for d in data])
-    weights = np.array([r.choice([1, 1, 2]) for _ in full])
-    window = 14
-    got = bwt_dedup.repeated_windows(full, anchors, weights, window)
-    seen = Counter()
-    for f, a, w in zip(full, anchors, weights):
-        for s in range(len(f) - window + 1):
-            seen[s - a, f[s : s + window]] += w
-    for f, a, starts in zip(full, anchors, got):
-        assert starts.tolist() == [s for s in range(min(a, len(f) - window) + 1) if seen[s - a, f[s : s + window]] > 1]
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijkl"])
+@pytest.mark.parametrize("window", [14, 16, 24])
+def test_finders_find_all_repeats(letters, window):
+    r = random.Random(window)
+    core, some = r.choices("ab", k=12), lambda: r.choices(letters, k=r.randrange(20))
+    made = [(head := some()) and head + core + some() or core + some() for _ in range(300)]
+    data = ["".join(x).encode() for x in made if len(x) >= window]
+    anchors, weights = np.array([d.index("".join(core).encode()) for d in data]), np.array([r.choice([1, 1, 1, 2]) for _ in data])
+    width = next(w for w in (8, 4, 2, 1) if window % w == 0)
+    for find, parts, aligned in ((bwt_dedup.repeated, data, width), (suffix_tree_dedup.repeated, [[bytes([c]) for c in d] for d in data], 1)):
+        owner, start, depth = find(parts, anchors, weights, window)
+        n, far = Counter(), Counter()
+        for d, a, w in zip(data, anchors, weights):
+            for i in range(len(d) - window + 1):
+                for j in range(i + window, len(d) + 1):
+                    far[(i - a) % aligned, d[i:j]] += w
+                n[(i - a) % aligned, d[i : i + window]] += w
+        assert list(zip(owner, start)) == [(k, i) for k, (d, a) in enumerate(zip(data, anchors)) for i in range(len(d) - window + 1) if n[(i - a) % aligned, d[i : i + window]] > 1]
+        for k, i, m in zip(owner.tolist(), start.tolist(), depth.tolist()):  # no longer string repeats from there
+            key = lambda m: far[(i - anchors[k]) % aligned, data[k][i : i + m]]  # noqa: E731, B023
+            assert key(m) > 1
+            assert i + m + aligned > len(data[k]) or key(m + aligned) == 1
+
+
+def test_transform_and_common_prefixes(tmp_path):
+    r = random.Random(4)
+    texts = [r.choices(range(3), k=r.randrange(9)) for _ in range(60)]
+    counts = np.array([len(t) for t in texts])
+    files = bwt_dedup.Columns(str(tmp_path), {"transform": np.int32, "common": np.uint8})
+    text, length = bwt_dedup.build(np.array([x for t in texts for x in t], np.int32), np.cumsum(counts), counts, files)
+    suffixes = [texts[t][len(texts[t]) - n :] for t, n in zip(text, length)]
+    assert suffixes == sorted(t[i:] for t in texts for i in range(len(t)))
+    assert files.read("transform").tolist() == [texts[t][-n - 1] if n < len(texts[t]) else -1 for t, n in zip(text, length)]
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert files.read("common").tolist() == [0] + [shared(a, b) for a, b in zip(suffixes, suffixes[1:])]
+    files.close()
 
 
 def test_repeats_on_odd_and_empty_tables(odd, none):
@@ -109,12 +134,12 @@ def test_repeats_on_odd_and_empty_tables(odd, none):
 def test_mixing_matches_brute_force(spark):
     rows = [(i, f"t{i}", "en", s) for i, s in enumerate(["a"] * 200 + ["b"] * 40 + [None] * 10)]
     docs = frame(spark, rows)
-    weights, budget, seed = {"a": 1.0, "b": 3.0, "": 1.0, "gone": 5.0}, 2.0, 3
+    weights, budget, seed = {"a": 1.0, "b": 3.0, None: 1.0, "gone": 5.0}, 2.0, 3
     got = Counter(r["doc_id"] for r in mixing.mix(docs, weights, budget, seed).collect())
-    size = Counter(r[3] or "" for r in rows)
+    size = Counter(r[3] for r in rows)
     for i, _, _, s in rows:
-        rate = weights[s or ""] / 5 * budget * len(rows) / size[s or ""]
-        u = (int(hashlib.md5(f"{seed}|{i}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        rate = weights[s] / 5 * budget * len(rows) / size[s]
+        u = (int(hashlib.md5(f"{seed}|{i}|{hashlib.md5(f't{i}'.encode()).hexdigest()}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         k, p, total = 0, math.exp(-rate), math.exp(-rate)
         while total < u:
             k += 1
@@ -185,6 +210,33 @@ def test_language_id_odd_tables(odd, none):
     assert {r["p"]["lang"] for r in odd.select(language_id.identify(F.col("text"), empty).alias("p")).collect()} == {"und"}
 
 
+def test_only_letters_have_a_language(spark):
+    docs = frame(spark, [(i, words(i, 30).replace("w", "wa" if i % 2 else "ko"), "en" if i % 2 else "de", "a") for i in range(60)])
+    model = language_id.train(docs)
+    signs = ["²", "½ 12", "①₃", "Ⅷ", "\u0301\u0302", "_-_", "12", "٣", None, ""]
+    assert {x[0] for x in model.predict(signs)} == {"und"}
+    assert "und" not in {x[0] for x in model.predict(["a", "É", "ª", "中", "ʰ", "ǅ"])}
+
+
+def test_language_query_matches_the_model(spark, sf_dir):
+    """The query's rows against a decoder in plain Python."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    for r in queries.op4_language_id(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert r["held_out"] == (binascii.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        grams = Counter(b[i : i + n] for b in [r["text"].lower().encode()] for n in (1, 2, 3) for i in range(len(b) - n + 1))
+        bucket = lambda g: ((int.from_bytes(g) + (len(g) << 26)) * 2654435761 & 0xFFFFFFFF) >> 18
+        total = sum(grams.values())
+        z = [sum(n * float(model.weights[bucket(g), b]) for g, n in grams.items()) / total * model.scale[b] + model.offset[b] for b in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-x * c)) * v if x * c > -30 else -x * c * v for x, c, v in zip(z, code, model.vote)) for code in model.code.tolist()]
+        odds = [math.exp(min(loss) - x) for x in loss]
+        assert r["lang_pred"] == model.languages[loss.index(min(loss))]
+        assert abs(r["score"] - 1 / sum(odds)) < 1e-3
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 40])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
@@ -246,6 +298,44 @@ def test_links_connect_all_near_fingerprints(spark, block):
     assert all(roots.get(f, f) <= f for f in fps)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4])
+def test_near_fingerprints_share_a_cell(distance):
+    r = random.Random(distance)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a ^ sum(1 << i for i in r.sample(range(64), distance))
+        fps = np.array([a, b], np.uint64).view(np.int64)
+        cell, row = simhash.cells(fps, distance)
+        assert set(cell[row == 0]) & set(cell[row == 1])
+        counts = simhash.segment_counts(fps, 2).astype(int)
+        u = simhash.unary(fps)
+        assert np.bitwise_count(u[0] ^ u[1]) == abs(counts[0] - counts[1]).sum() <= distance
+
+
+def test_component_ids_match_brute_force(spark):
+    r, rows = random.Random(9), []
+    for i in range(40):
+        base = words(i, 12, 40).split()
+        for j in range(5):
+            edited = list(base)
+            for _ in range(j // 2):
+                edited[r.randrange(len(edited))] = f"e{r.randrange(5)}"
+            rows.append((1000 - 10 * i - j, None if i == 3 else "" if i == 4 else " ".join(edited).upper(), "en", "a"))
+    got = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash.component_ids(frame(spark, rows)).collect()}
+    fps = []
+    for _, t, *_ in rows:
+        tokens = (t or "").lower().split()
+        shingles = [" ".join(tokens[i : i + 4]) for i in range(max(1, len(tokens) - 3))] if tokens else []
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    group = groups(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for (i, *_), g in zip(rows, group):
+        least[g] = min(i, least.get(g, i))
+    assert got == {i: (f"{f:016x}", least[g]) for (i, *_), f, g in zip(rows, fps, group)}
+    assert 5 < len(set(least.values())) < 170
+
+
 def test_fingerprint_matches_sql_hash(spark):
     text = "The quick  BROWN fox\tjumps över the lazy dog\x0bagain"
     tokens = [bytes(c + 32 if 65 <= c <= 90 else c for c in w).decode() for w in text.encode().split()]
@@ -302,11 +392,45 @@ def test_media_round_trip(odd, none):
             assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
             assert w.readframes(w.getnframes()) == payload
         assert (r["n_bytes"], bytes(r["payload"])) == (len(data), payload)
-        assert binascii.crc32(payload[-64:]) >= 0
         assert r["codes"] == sorted(r["codes"])
     assert len({tuple(r["codes"]) for r in got if r["doc_id"] == 3}) == 1
 
 
+def test_media_query_matches_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, sf_dir, "documents").collect()}
+    got = queries.op7_media(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        data = texts[r["doc_id"]]
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(payload)
+        codes = media.fingerprint(payload).tolist()
+        feature = f"{len(codes)}:{hashlib.sha256(','.join(f'{c:X}' for c in codes).encode()).hexdigest()}"
+        want = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-64:]), len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest(), feature)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"], r["feature"]) == want
+
+
+def test_media_peaks_match_a_plain_transform():
+    """Every frame's strongest bins against a Fourier sum written out, and the pairs' codes against loops."""
+    r = random.Random(6)
+    samples = bytes(r.randrange(256) for _ in range(2600))
+    frames = [(samples + bytes([128] * 4096))[i * media.HOP : i * media.HOP + media.FRAME] for i in range(5)]
+    found = media.peaks(samples)
+    assert len(found) == 5
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / (media.FRAME - 1)) for k in range(media.FRAME)]
+    k = np.arange(media.FRAME)
+    for f, frame_ in enumerate(frames):
+        x = (np.frombuffer(frame_, np.uint8).astype(float) - 128) * window
+        for b, (low, high) in enumerate(zip(media.BANDS, media.BANDS[1:])):
+            power = {i: abs((x * np.exp(-2j * np.pi * i * k / media.FRAME)).sum()) for i in range(low, high)}
+            assert power[int(found[f, b])] >= max(power.values()) - 0.01
+    want = sorted((f << 32) | (int(found[f, b]) << 22) | (int(found[f + d, b]) << 12) | (b << 4) | d for d in range(1, media.AHEAD + 1) for f in range(5 - d) for b in range(4))
+    assert media.fingerprint(samples).tolist() == want
+
+
 def test_media_finds_a_tone():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 100 * t / media.FRAME)).astype(np.uint8).tobytes()
@@ -334,20 +458,52 @@ def test_line_templates_generalise_positions(spark):
     names = ["anna", "bert", "carl", "dora", "emil"]
     docs = frame(spark, [(i, f"the night shift of {n} ended early without any notice", "en", "a") for i, n in enumerate(names)])
     assert [r["doc_id"] for r in line_dedup.drop_lines(docs).collect() if r["text"]] == [0]
-    # a leaf that holds too many lines goes deeper; here even whole lines stay apart
-    assert all(r["text"] for r in line_dedup.drop_lines(docs, max_leaf=1).collect())
 
 
-@pytest.mark.parametrize(("n", "split"), [(5100, line_dedup.SPLIT), (120, 6)])
-def test_large_leaves_are_merged_whole(spark, n, split):
+@pytest.mark.parametrize("n", [4_999, 5_001])
+def test_leaves_of_any_size_have_the_same_templates(spark, n):
     name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
     rows = [(i, f"the night shift of {name(i)} ended early without any notice", "en", "a") for i in range(n)]
     rows += [(n + i, f"the night shift {name(i)} x{name(i)} y{name(i)} z{name(i)} u{name(i)} v{name(i)} w{name(i)}", "en", "a") for i in range(40)]
-    left = [r["doc_id"] for r in line_dedup.drop_lines(frame(spark, rows), split=split).collect() if r["text"]]
+    left = [r["doc_id"] for r in line_dedup.drop_lines(frame(spark, rows)).collect() if r["text"]]
     assert len([i for i in left if i < n]) == 1
     assert sorted(i for i in left if i >= n) == list(range(n, n + 40))
 
 
+def brute_lines(rows, min_docs=3):
+    """Texts by id, by the rules of line_dedup in plain Python; ids are unique."""
+    judged, leaves = [], {}
+    for i, text in rows:
+        for at, line in enumerate((text or "").split("\n")):
+            own = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in own)
+            if len(own) >= 3 and masked.count("<*>") * 2 <= len(own):
+                judged.append((i, at, tuple(own), masked))
+                leaves.setdefault((len(own), masked[:3]), set()).add(masked)
+    named = {}
+    for leaf, lines in leaves.items():
+        support = Counter((at, w) for line in lines for at, w in enumerate(line))
+        for line in lines:
+            gone = sorted(range(len(line)), key=lambda at: (support[at, line[at]], -at))[: 3 * len(line) // 10]  # noqa: B023
+            named[line] = leaf, tuple("<*>" if at in gone else w for at, w in enumerate(line))
+    by_template, by_line = {}, {}
+    for i, _, own, masked in judged:
+        by_template.setdefault(named[masked], set()).add(i)
+        by_line.setdefault(own, set()).add(i)
+    gone = {(i, at) for i, at, own, masked in judged if len(s := by_template[named[masked]]) >= min_docs and i != min(s) or len(own) >= 10 and i != min(by_line[own])}
+    return {i: text if text is None else "\n".join(x for at, x in enumerate(text.split("\n")) if (i, at) not in gone) for i, text in rows}
+
+
+def test_line_dedup_matches_brute_force(spark):
+    r = random.Random(8)
+    pick = lambda n: [r.choice(["aa", "bb", "cc", "dd", "7x", "ä9"]) for _ in range(n)]
+    lines = [" ".join(["one", r.choice("xy"), "two", *pick(r.randrange(0, 12))]) for _ in range(150)] + ["", " ", "a b", "1 2 3 x", "\ttab\x0bsep one two three four five six seven eight"]
+    rows = [(i, None if i % 30 == 7 else "\n".join(r.choices(lines, k=r.randrange(6)))) for i in range(120)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.drop_lines(frame(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == brute_lines(rows)
+    assert sum(got[i] != t for i, t in rows) > 40
+
+
 def test_long_lines_recur_from_two_documents_on(spark):
     long = "the committee will publish its full report on the matter before the end of spring"
     dated = "in 2019 the committee did publish its full report on the matter before page 40 was read"
@@ -358,12 +514,6 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert got == {1: f"{long}\n{short}\n{dated}", 2: f"{short}\n{other}", 3: "nothing to see"}
 
 
-def test_merge_is_greedy_in_order():
-    a, b, c = "x y z u v w".split(), "x y z u v q".split(), "x y z p q r".split()
-    assert line_dedup.merge([a, b, c]) == [0, 0, 2]
-    assert line_dedup.merge([a, b, "x y z u v other".split()], 0.8) == [0, 0, 0]
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -393,6 +543,44 @@ def test_automaton_matches_edit_distance():
         assert list(lexicon.match(word)) == want, word
 
 
+def test_toxicity_query_matches_the_model(spark, sf_dir):
+    """The query's rows against hits by edit distance and features in plain loops."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stems = [(i, s.rstrip(toxicity.END), s.endswith(toxicity.END)) for i, s in enumerate(model.stems)]
+
+    @functools.cache
+    def weight(word):
+        best = (0.0, 0, 0)
+        for i, s, whole in stems:
+            least = min(edits(s, word[:n]) for n in ([len(word)] if whole else range(max(0, len(s) - 1), min(len(word), len(s) + 1) + 1)))  if len(word) >= len(s) - 1 else 9
+            if least == 0 or least == 1 and len(s) >= toxicity.MIN_FUZZY:
+                best = max(best, (model.evidence.get((i, least), 0.0), -least, -i))
+        return best[0]
+
+    some = sorted(texts)[::4]
+    got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, sf_dir).collect()}
+    assert sorted(got) == sorted(texts)
+    for i in some:
+        at, opened, hits = 0, False, []
+        for token in toxicity.TOKEN.findall((texts[i] or "").lower()):
+            if token in toxicity.QUOTES:
+                opened = not opened
+                continue
+            at += 1
+            if (w := weight(token)) > 0:
+                hits.append((at, w, opened))
+        free, quoted = [w for _, w, q in hits if not q], [w for _, w, q in hits if q]
+        densest = max((sum(w for a, w, q in hits if not q and b - toxicity.WINDOW <= a <= b) for b, *_ in hits), default=0.0)
+        features = [max(free, default=0), max(quoted, default=0), *map(math.log1p, (sum(free), sum(quoted), densest))]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], features))
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+    for i, r in got.items():
+        assert r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (binascii.crc32(str(i).encode()) % 4 == 2)
+
+
 def toxic_rows(n=400):
     rows, labels = [], []
     for i in range(n):

@@ -82,9 +82,10 @@ def build(symbols: np.ndarray, ends: np.ndarray, counts: np.ndarray, files: Colu
     Text d is ``symbols[ends[d] - counts[d]:ends[d]]``, symbols are small numbers.
     A round's arrays: ``keys`` has first symbol << 32 | place of the suffix without it + 1
     (0 for the empty one) of all suffixes, and rises; ``suffix`` their texts and lengths.
+    Texts have fewer than 256 symbols, and there are fewer than 2 ** 23.
     """
     low_half = np.int64(0xFFFFFFFF)
-    keys, suffix = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, suffix = np.zeros(0, np.int64), np.zeros(0, np.int32)
     text = np.flatnonzero(counts > 0)
     place = np.full(len(text), -1, np.int64)
     length = 0
@@ -122,11 +123,12 @@ def build(symbols: np.ndarray, ends: np.ndarray, counts: np.ndarray, files: Colu
 
         files.write(transform=inserted(before, following), common=inserted(common, shared[: len(at)]))
         # Places move up by the new suffixes before them.
-        moved = np.append(0, old + 1)
-        keys, mine = (k & ~low_half | moved[k & low_half] for k in (keys, mine))
-        keys, suffix = inserted(keys, mine), inserted(suffix, text << 16 | length)
+        more = np.append(0, old - np.arange(len(old)))
+        for k in (keys, mine):
+            k += more[k & low_half]
+        keys, suffix = inserted(keys, mine), inserted(suffix, text << 8 | length)
         text, place = text[alive], spot[alive]
-    return suffix >> 16, suffix & 0xFFFF
+    return suffix >> 8, suffix & 0xFF
 
 
 def repeated(data: list[bytes], anchors: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> repeats.Found:
@@ -134,7 +136,8 @@ def repeated(data: list[bytes], anchors: np.ndarray, weights: np.ndarray, window
     width = next(w for w in (8, 4, 2, 1) if w <= SYMBOL and window % w == 0)
     sizes = np.array([len(d) for d in data], np.int64)
     begin = np.cumsum(sizes) - sizes
-    whole = np.frombuffer(b"".join(data), np.uint8)
+    joined = b"".join(data)
+    whole = np.ndarray(max(0, len(joined) - width + 1), f">u{width}", joined, strides=(1,))  # the symbol at each byte
     found = []
     for shift in range(width):
         first = (anchors + shift) % width
@@ -142,10 +145,7 @@ def repeated(data: list[bytes], anchors: np.ndarray, weights: np.ndarray, window
         ends = np.cumsum(counts)
         step = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
         at = np.repeat(begin + first, counts) + step * width
-        symbols = np.zeros(len(at), np.uint64)
-        for k in range(width):
-            symbols = symbols << np.uint64(8) | whole[at + k]
-        symbols = np.unique(symbols, return_inverse=True)[1].astype(np.int32)
+        symbols = np.unique(whole[at], return_inverse=True)[1].astype(np.int32)
         with tempfile.TemporaryDirectory() as folder, contextlib.closing(Columns(folder, {"transform": np.int32, "common": np.uint8})) as files:
             text, length = build(symbols, ends, counts, files)
             common = files.read("common").astype(np.int64)

@@ -68,15 +68,13 @@ def runs(found: Found, n: int) -> list[list[dict[str, int]]]:
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of spans as maximal runs; runs that touch become one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def united(starts: np.ndarray, stops: np.ndarray) -> tuple[list[int], list[int]]:
+    """Runs in the order of starts as maximal runs; runs that touch become one."""
+    if not len(starts):
+        return [], []
+    until = np.maximum.accumulate(stops)
+    new = np.flatnonzero(starts[1:] > until[:-1]) + 1
+    return starts[np.append(0, new)].tolist(), until[np.append(new - 1, len(starts) - 1)].tolist()
 
 
 class _Scanned:
@@ -195,7 +193,7 @@ def search(found: DataFrame, unit: Unit, finder: Finder) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitter, group: int = GROUP) -> DataFrame:
-    """Columns k1, k2 and found: a list of {at, spans}, spans counting from the fragment's start ``at``.
+    """Columns k1, k2, starts and stops of runs of symbols that repeats cover, in the order of starts; runs may overlap.
 
     Rows alike in id and text share a key but count as several documents.
     """
@@ -214,7 +212,9 @@ def repeated_spans(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitt
         hot = materialize(fetch(docs, wanted.join(large, "akey", "left_semi"), unit).dropDuplicates(["akey", "ckey"]))
         spans = materialize(small.union(splitter(hot, group)))
     discard(wanted)
-    return kept.select("akey", "ckey", "k1", "k2", "at").join(spans, ["akey", "ckey"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "spans")).alias("found"))
+    placed = kept.select("akey", "ckey", "k1", "k2", "at").join(spans, ["akey", "ckey"]).select("k1", "k2", "at", F.explode("spans").alias("s"))
+    all_runs = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct((F.col("at") + F.col("s.from")).alias("from"), (F.col("at") + F.col("s.to")).alias("to")))).alias("runs"))
+    return all_runs.select("k1", "k2", F.col("runs.from").alias("starts"), F.col("runs.to").alias("stops"))
 
 
 def cut(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitter, group: int = GROUP) -> DataFrame:
@@ -226,20 +226,28 @@ def cut(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitter, group:
     empty one; other columns of docs are ignored.
     """
     found = repeated_spans(docs, unit, finder, splitter, group)
-    names = ["doc_id", "n", "spans", "kept"]
+    names = ["doc_id", "n", "starts", "stops", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, spans, kept = [], [], []
-            for text, some in zip(batch.column("text"), batch.column("found")):
+            starts, stops = batch.column("starts"), batch.column("stops")
+            first, last = starts.values.to_numpy(), stops.values.to_numpy()
+            n, froms, tos, kept = [], [], [], []
+            for i, text in enumerate(batch.column("text")):
                 symbols = unit.symbols(encode(text.as_py()))
-                gone = merged([(f["at"] + s["from"], f["at"] + s["to"]) for f in some.as_py() or [] for s in f["spans"]])
-                edges = [0, *(x for span in gone for x in span), len(symbols)]
-                pieces = [symbols[a:b] for a, b in zip(edges[::2], edges[1::2])]
                 n.append(len(symbols))
-                spans.append([{"from": a, "to": b} for a, b in gone])
+                low, high = starts.offsets[i].as_py(), starts.offsets[i + 1].as_py()
+                a, b = united(first[low:high], last[low:high])
+                froms.append(a)
+                tos.append(b)
+                if not a:
+                    kept.append(b" ".join(symbols) if unit.words else symbols)
+                    continue
+                pieces = [symbols[x:y] for x, y in zip([0, *b], [*a, len(symbols)])]
                 kept.append(b" ".join(w for p in pieces for w in p) if unit.words else b"".join(pieces))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names)
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (froms, tos)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *lists, pa.array(kept, pa.binary())], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), "text").join(found, ["k1", "k2"], "left").select("doc_id", "text", "found")
-    return rows.mapInArrow(run, f"doc_id long, n long, spans {SPANS}, kept binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(), "text").join(found, ["k1", "k2"], "left").select("doc_id", "text", "starts", "stops")
+    made = rows.mapInArrow(run, "doc_id long, n long, starts array<int>, stops array<int>, kept binary")
+    return made.select("doc_id", "n", F.arrays_zip(F.col("starts").alias("from"), F.col("stops").alias("to")).alias("spans"), "kept")

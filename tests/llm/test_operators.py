@@ -427,7 +427,7 @@ def test_media_peaks_match_a_plain_transform():
         for b, (low, high) in enumerate(zip(media.BANDS, media.BANDS[1:])):
             power = {i: abs((x * np.exp(-2j * np.pi * i * k / media.FRAME)).sum()) for i in range(low, high)}
             assert power[int(found[f, b])] >= max(power.values()) - 0.01
-    want = sorted((f << 32) | (int(found[f, b]) << 22) | (int(found[f + d, b]) << 12) | (b << 4) | d for d in range(1, media.AHEAD + 1) for f in range(5 - d) for b in range(4))
+    want = sorted((f << 32) | (int(found[f, b]) << 22) | (int(found[f + d, (b + 1) % 4]) << 12) | (b << 4) | d for d in range(1, media.AHEAD + 1) for f in range(5 - d) for b in range(4))
     assert media.fingerprint(samples).tolist() == want
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import broadcast_if_small, materialize
+from .common import materialize
 
 WINDOW = 35
 GRAM = 4
@@ -92,7 +92,7 @@ def prefix_lengths(window: int, gram: int) -> list[int]:
 def by_prefixes(hot: DataFrame, group: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The splitter: suffixes of ``hot`` fragments in groups of one prefix, the shortest with at most ``group`` suffixes.
 
-    Groups whose prefix is as long as a window are one node; its weight is summed and it is never gathered.
+    Suffixes that share their prefix with no other repeat nothing and are left out.  Groups whose prefix is as long as a window are one node; its weight is summed and it is never gathered.
     """
     lengths = prefix_lengths(window, gram)
     names = ["akey", "ckey", "n", "w", *[f"p{n}" for n in lengths]]
@@ -109,15 +109,15 @@ def by_prefixes(hot: DataFrame, group: int, window: int = WINDOW, gram: int = GR
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "w" else pa.int64()) for k, c in zip(names, cols)], names)
 
     left = materialize(hot.mapInArrow(suffixes, "akey long, ckey long, n long, w int, " + ", ".join(f"p{n} long" for n in lengths)))
-    parts = []
+    placed = None
     for n in lengths[:-1]:
         key = f"p{n}"
-        over = broadcast_if_small(left.groupBy(key).agg(F.count("*").alias("m")).filter(F.col("m") > group).select(key))
-        parts.append(left.join(over, key, "left_anti").select("akey", "ckey", "n", "w", F.col(key).alias("prefix")))
-        left = left.join(over, key, "left_semi")
-    whole, placed = f"p{lengths[-1]}", parts[0]
-    for more in parts[1:]:
-        placed = placed.union(more)
+        sizes = left.groupBy(key).agg(F.count("*").alias("m"), F.sum("n").alias("leaves")).filter("leaves > 1")  # a single leaf has no inner node above it
+        counted = materialize(left.join(sizes, key).drop("leaves"))
+        part = counted.filter(F.col("m") <= group).select("akey", "ckey", "n", "w", F.col(key).alias("prefix"))
+        placed = part if placed is None else placed.union(part)
+        left = counted.filter(F.col("m") > group).drop("m")
+    whole = f"p{lengths[-1]}"
     texts = placed.join(hot.select("akey", "ckey", "data"), ["akey", "ckey"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

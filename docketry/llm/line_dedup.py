@@ -91,8 +91,13 @@ def _template(places: Column, similarity: float) -> Column:
     least = F.array_sort(F.transform(places, lambda p: F.struct(p["support"], -p["at"])))
     last = F.when(allowed > 0, F.element_at(least, F.greatest(allowed, F.lit(1))))
     in_order = F.array_sort(F.transform(places, lambda p: F.struct(p["at"], p["support"], p["word"])))
-    dropped = lambda p: F.coalesce(F.struct(p["support"], -p["at"]) <= last, F.lit(False))
-    return F.xxhash64(F.transform(in_order, lambda p: F.when(dropped(p), F.lit(WILDCARD)).otherwise(p["word"])))
+    dropped = lambda p, v: F.coalesce(F.struct(p["support"], -p["at"]) <= v["last"], F.lit(False))
+    # Bound as a lambda's variable, the least supported places are sorted once and not again for every word.
+    made = F.transform(
+        F.array(F.struct(in_order.alias("places"), last.alias("last"))),
+        lambda v: F.xxhash64(F.transform(v["places"], lambda p: F.when(dropped(p, v), F.lit(WILDCARD)).otherwise(p["word"]))),
+    )
+    return F.get(made, 0)
 
 
 def templates(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:

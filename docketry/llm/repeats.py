@@ -207,10 +207,11 @@ def repeated_spans(docs: DataFrame, unit: Unit, finder: Finder, splitter: Splitt
     if large.isEmpty():
         spans = materialize(search(fetch(docs, wanted, unit), unit, finder))
     else:
-        large = broadcast_if_small(large)
-        small = search(fetch(docs, wanted.join(large, "akey", "left_anti"), unit), unit, finder)
-        hot = materialize(fetch(docs, wanted.join(large, "akey", "left_semi"), unit).dropDuplicates(["akey", "ckey"]))
+        large, fetched = broadcast_if_small(large), materialize(fetch(docs, wanted, unit))  # texts are shuffled once
+        small = search(fetched.join(large, "akey", "left_anti"), unit, finder)
+        hot = materialize(fetched.join(large, "akey", "left_semi").dropDuplicates(["akey", "ckey"]))
         spans = materialize(small.union(splitter(hot, group)))
+        discard(fetched, hot)
     discard(wanted)
     placed = kept.select("akey", "ckey", "k1", "k2", "at").join(spans, ["akey", "ckey"]).select("k1", "k2", "at", F.explode("spans").alias("s"))
     all_runs = placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct((F.col("at") + F.col("s.from")).alias("from"), (F.col("at") + F.col("s.to")).alias("to")))).alias("runs"))

@@ -12,8 +12,11 @@ from ..streaming import queue
 
 
 def _scratch(spark) -> str:
+    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset and the session is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared or tempfile.mkdtemp(prefix="docketry-")  # a folder of this machine only where no shared one is named
+    if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or tempfile.mkdtemp(prefix="docketry-")
 
 
 def _shown(df):

@@ -71,3 +71,28 @@ def safe_name(text: Column, most: int = 80) -> Column:
 def clean_cell(text: Column) -> Column:
     """Without the control characters that spreadsheets reject (STR-23)."""
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+
+
+def strip_label(value: Column, label: str) -> Column:
+    """The text without a leading label and colon, and without blanks, underscores and colons at its ends (STR-06)."""
+    return F.btrim(F.regexp_replace(value, rf"^\s*\Q{label}\E\s*[:：]?", ""), F.lit(" _：:"))
+
+
+def sample_number(name: Column) -> tuple[Column, Column]:
+    """The ten digits of the order in a file's name, and the name of its page: digits, page suffix, extension (STR-16)."""
+    pattern = r"(?<![0-9])([0-9]{10})(?![0-9])"
+    digits = F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
+    return digits, F.concat(digits, F.regexp_extract(name, r"((?:_[0-9]{2})?\.[^.]+)$", 1))
+
+
+def differing_places(a: Column, b: Column) -> Column:
+    """Places, from zero, at which two texts have different characters, to the end of the longer (ARR-03)."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    same = F.zip_with(chars(a), chars(b), lambda x, y: x.eqNullSafe(y))
+    return F.filter(F.transform(same, lambda ok, i: F.when(~ok, i)), lambda i: i.isNotNull())
+
+
+def same_decimal(a: Column, b: Column) -> Column:
+    """Whether two texts are the same number, blanks aside; false where one isn't a number (MAT-11)."""
+    number = lambda c: F.regexp_replace(c, r"(?U)\s", "").try_cast("double")
+    return F.coalesce(number(a) == number(b), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CORRECT, ERROR, MATCH, MISMATCH, NOT_RUN, NO_TRUTH, PARTIAL, SCORED, TESTING, UNREAD, UNTESTED, WRONG
 from ..functions.measures import safe_ratio
+from .latest import newest_by
 
 
 def cell_state(job: Column, planned: Column, expected: Column, value: Column, decision: Column, failed: Column) -> Column:
@@ -66,3 +67,59 @@ def field_accuracy(truth: DataFrame, results: DataFrame, keys: list[str], fields
     joined = truth.join(results, keys)
     cells = joined.select(F.explode(F.array(*[F.struct(F.lit(name).alias("field"), ok.alias("ok")) for name, ok in fields.items()])).alias("c")).select("c.*")
     return cells.groupBy("field").agg(F.count_if("ok").alias("correct"), F.count("ok").alias("evaluated"), safe_ratio(F.count_if("ok"), F.count("ok")).alias("accuracy"))
+
+
+def against_truth(truth: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Truth with the result of the same key, and whether there is one (JOIN-10)."""
+    return truth.join(results.withColumn("tested", F.lit(True)), key, "left").withColumn("tested", F.coalesce("tested", F.lit(False)))
+
+
+def date_metrics(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """Accuracy, detection and abstention of dates, coverage and accuracy of reliable decisions (AGG-12, AGG-13).
+
+    Takes ``present``, ``day``, ``required`` of the truth and ``actual``,
+    ``status``, ``reliable`` of the result; untested samples count nowhere.
+    """
+    present, read = F.coalesce("present", F.lit(True)), F.coalesce("actual", F.lit("")) != ""
+    expected = F.when(F.col("day") == F.col("required"), MATCH).otherwise(MISMATCH)
+    decided = present & F.coalesce("reliable", F.lit(False)) & F.coalesce(F.col("status").isin(MATCH, MISMATCH), F.lit(False))
+    n = F.count_if
+    right = F.coalesce(F.coalesce("actual", F.lit("")) == F.coalesce("day", F.lit("")), F.lit(False))
+    return joined.filter("tested").groupBy(*keys).agg(
+        F.count("*").alias("samples"), safe_ratio(n(right), F.count("*")).alias("accuracy"), safe_ratio(n(present & read), n(present)).alias("detection"),
+        safe_ratio(n(~present & ~read), n(~present)).alias("abstention"), safe_ratio(n(decided), F.count("*")).alias("decision_coverage"),
+        safe_ratio(n(decided & (F.col("status") == expected)), n(decided)).alias("decision_accuracy"),
+    )
+
+
+def backend_metrics(truth: DataFrame, results: DataFrame, key: str, backend: str, order: str) -> DataFrame:
+    """The same for each backend over its newest result of each sample, with mean seconds (AGG-15)."""
+    rest = [c for c in results.columns if c not in (key, backend, order)]
+    own = newest_by(results.filter(F.trim(backend) != ""), [backend, key], rest, [order])
+    tested = against_truth(truth, own, key).filter("tested")
+    timing = tested.groupBy(backend).agg(F.coalesce(F.round(F.avg("seconds"), 2), F.lit(0.0)).alias("mean_seconds"), F.count("seconds").alias("timed"))
+    return date_metrics(tested, [backend]).join(timing, backend)
+
+
+def coverage(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Images, labelled ones and the share that is labelled (AGG-17)."""
+    both = images.select(key).distinct().join(labels.select(key).distinct().withColumn("labelled", F.lit(True)), key, "left")
+    n, k = F.count("*"), F.count("labelled")
+    return both.agg(n.alias("images"), k.alias("labelled"), (n - k).alias("unlabelled"), safe_ratio(k, n).alias("ratio"))
+
+
+def coverage_card(cells: DataFrame) -> DataFrame:
+    """Samples that are labelled, tested, can be evaluated, or went wrong in one channel or more (AGG-20)."""
+    s = F.col("state")
+    samples = cells.groupBy("sample").agg(F.bool_or(s != NO_TRUTH).alias("l"), F.bool_or(~s.isin(UNTESTED, NOT_RUN)).alias("t"), F.bool_or(is_scored(s)).alias("e"), F.bool_or(s.isin(WRONG, UNREAD, ERROR)).alias("a"))
+    return samples.agg(F.count_if("l").alias("labelled"), F.count_if("t").alias("tested"), F.count_if(~F.col("t")).alias("untested"), F.count_if("e").alias("evaluable"), F.count_if("a").alias("abnormal"))
+
+
+def label_counts(rows: DataFrame, explicit: str, reasons: str, place: str) -> DataFrame:
+    """How often each label occurs, a row counting once; an explicit label stands for the row's reasons (AGG-16, SRT-06).
+
+    ``first_place`` is the least ``place``: lists go by count, ties by it.
+    """
+    named = F.filter(F.transform(F.coalesce(reasons, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    label = F.when(F.trim(explicit) != "", F.array(F.trim(explicit))).otherwise(F.array_distinct(named))
+    return rows.select(place, F.explode(label).alias("label")).groupBy("label").agg(F.count("*").alias("n"), F.min(place).alias("first_place"))

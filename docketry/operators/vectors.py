@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import cosine_distance
@@ -11,15 +11,15 @@ from ..functions.measures import cosine_distance
 def two_nearest(queries: DataFrame, gallery: DataFrame, id_: str, key: str, vector: str, ratio: float) -> DataFrame:
     """The two nearest of the gallery with the same key for each query, itself left out, and the ratio test (JOIN-15, JOIN-16).
 
-    The two are kept by aggregates that combine before the shuffle, so a hot
-    key's candidates are never gathered.  Ties go to the smaller id.
+    Spark limits a rank to its first two before the shuffle, so a hot key's
+    candidates are never gathered.  Ties go to the smaller id.
     """
     q = queries.select(F.col(id_).alias("__q"), F.col(key).alias("__key"), F.col(vector).alias("__v"))
     pairs = q.join(gallery, F.col(key) == F.col("__key")).filter(F.col(id_) != F.col("__q"))
     near = pairs.select("__q", "__key", F.struct(cosine_distance(F.col("__v"), F.col(vector)).alias("d"), F.col(id_).alias("id")).alias("n"))
-    first = near.groupBy("__q", "__key").agg(F.min("n").alias("a"))
-    second = near.join(first, ["__q", "__key"]).filter(F.col("n") > F.col("a")).groupBy("__q").agg(F.min("n").alias("b"))
-    return first.join(second, "__q", "left").select(
+    rank = F.row_number().over(Window.partitionBy("__q", "__key").orderBy("n"))
+    two = near.withColumn("__rank", rank).filter("__rank <= 2").groupBy("__q", "__key").agg(F.min("n").alias("a"), F.when(F.count("*") == 2, F.max("n")).alias("b"))
+    return two.select(
         F.col("__q").alias(id_), F.col("__key").alias(key), F.col("a.id").alias("nearest"), F.col("b.id").alias("second"), F.round("a.d", 6).alias("distance"), F.coalesce(F.col("a.d") < ratio * F.col("b.d"), F.lit(False)).alias("accepted")
     )
 

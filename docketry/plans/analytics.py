@@ -248,7 +248,7 @@ def column_consensus(spark, sf_dir):
 
 def content_dedupe(spark, sf_dir):
     """Documents by the digest of their text; the smallest id of equal texts is kept (SNK-20)."""
-    return content_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", [F.col("doc_id")]).select("doc_id", "digest", "is_first")
+    return content_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", "digest", "is_first")
 
 
 def retention(spark, sf_dir):

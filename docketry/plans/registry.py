@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, matching, pages, queue, receipts, records
+from . import analytics, matching, pages, queue, readmodel, receipts, records
 
-_MODULES = [receipts, analytics, queue, pages, matching, records]
+_MODULES = [receipts, analytics, queue, pages, matching, records, readmodel]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

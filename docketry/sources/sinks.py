@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,11 +29,15 @@ def expired(rows: DataFrame, at: Column, days: int, now: Column, active: DataFra
     return rows.filter(at < now - F.make_interval(days=F.lit(days))).join(active.select(key), key, "left_anti")
 
 
-def content_groups(rows: DataFrame, content: str, kept_order: list[Column]) -> DataFrame:
-    """Add the content's digest and ``is_first``: whether the row is the one that is kept of equal contents (SNK-20)."""
-    digest = F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256)
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy(*kept_order))
-    return rows.withColumn("digest", digest).withColumn("is_first", rank == 1)
+def content_groups(rows: DataFrame, content: str, kept_order: list[str]) -> DataFrame:
+    """Add the content's digest and ``is_first``: whether the row is the least by ``kept_order`` of equal contents (SNK-20).
+
+    The least is an aggregate that combines before the shuffle, and AQE splits
+    the join back, so a content of very many rows isn't one task's work.
+    """
+    digested = rows.withColumn("digest", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256))
+    first = digested.groupBy("digest").agg(F.min(F.struct(*kept_order)).alias("__first"))
+    return digested.join(first, "digest").withColumn("is_first", F.struct(*kept_order) == F.col("__first")).drop("__first")
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Seconds of the polling schedule.
 DEADLINE, EARLY, SOON, LATER = 300, 60, 2, 30
-JOB = "job long, events long, attempts long, last_at timestamp, last_id long, last_type string"
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -22,26 +18,13 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """The same state, kept by Structured Streaming; a job is emitted whenever it changes.
+    """The same state, kept by Structured Streaming in update mode; a job is emitted whenever it changes.
 
     Events may come in any order: late ones count, but never displace a newer
-    one (STM-05, STM-17).
+    one (STM-05, STM-17).  State is one row a job; it must outlive any pause of the job, so it has no time-out.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, attempts, at, id_, kind = state.get if state.exists else (0, 0, None, None, None)
-        newest = (pd.Timestamp(at), id_, kind) if at is not None else None
-        for batch in batches:
-            n += len(batch)
-            attempts += int((batch["type"] == "signup").sum())
-            top = batch.sort_values(["at", "id"]).iloc[-1]
-            if newest is None or (top["at"], top["id"]) > newest[:2]:
-                newest = (top["at"], int(top["id"]), top["type"])
-        state.update((n, attempts, newest[0].to_pydatetime(), newest[1], newest[2]))
-        yield pd.DataFrame({"job": [key[0]], "events": [n], "attempts": [attempts], "last_at": [newest[0]], "last_id": [newest[1]], "last_type": [newest[2]]})
-
-    kept = "events long, attempts long, last_at timestamp, last_id long, last_type string"
-    return events.groupBy("job").applyInPandasWithState(run, JOB, kept, "update", GroupStateTimeout.NoTimeout)
+    return fold(events)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", length: str = "1 day") -> DataFrame:

@@ -109,3 +109,43 @@ def test_late_events_do_not_displace(spark, tmp_path):
     rows = queue.drain(queue.fold_stream(stream), str(tmp_path))
     last = latest.newest_by(rows, ["job"], ["events", "attempts", "last_type"], ["batch"])
     assert sorted(tuple(r) for r in last.collect()) == [(1, 2, 1, "purchase"), (2, 1, 0, "error")]
+
+
+REQUIRED = "2016-09-05"
+
+
+@pytest.mark.parametrize(
+    ("raw", "day"),
+    [
+        ("2016-9-16", "2016-09-16"), ("2017-9-16", None), ("20168月16日", "2016-08-16"), ("8月16日", "2016-08-16"), ("月16日", "2016-09-16"),
+        ("1105年2月23日", None), ("21127年9月5日", None), ("8月16曰", "2016-08-16"), ("8月T", None), ("2016年8月16", "2016-08-16"), ("8月32日", None),
+        ("2019月16日", "2016-09-16"), ("2011月16日", None), ("2O16年8月1 6日", "2016-08-01"), ("2O16 年8月1 6日", "2016-08-16"), ("16日", None), ("", None), (None, None),
+    ],
+)
+def test_receipt_date(spark, raw, day):
+    assert value(spark, dates.receipt_date(F.col("x"), F.lit(REQUIRED).cast("date")).cast("string"), x=raw) == day
+
+
+def test_receipt_date_without_requirement(spark):
+    none = F.lit(None).cast("date")
+    assert value(spark, dates.receipt_date(F.col("x"), none).cast("string"), x="20258月16日") == "2025-08-16"
+    assert value(spark, dates.receipt_date(F.col("x"), none).cast("string"), x="8月16日") is None
+
+
+@pytest.mark.parametrize(("raw", "out"), [("2025年3月4日", "2025-03-04"), ("2025-02-30", "2025-02-30"), ("about 2025-3-4", "about 2025-3-4"), (None, None)])
+def test_loose_date(spark, raw, out):
+    assert value(spark, dates.loose_date(F.col("x")), x=raw) == out
+
+
+@pytest.mark.parametrize(("a", "b", "ok"), [("1 .50", "1.5", True), ("1", "2", False), ("x", "x", False), (None, None, False)])
+def test_same_decimal(spark, a, b, ok):
+    assert value(spark, text.same_decimal(F.col("a"), F.col("b")), a=a, b=b) is ok
+
+
+def test_two_nearest_of_few(spark):
+    from docketry.operators import vectors
+
+    v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.1]), (3, "a", [0.0, 1.0]), (4, "b", [1.0, 0.0]), (5, "b", [1.0, 0.0])], "id long, k string, v array<double>")
+    rows = {r["id"]: r for r in vectors.two_nearest(v, v, "id", "k", "v", 0.9).collect()}
+    assert (rows[1]["nearest"], rows[1]["second"], rows[1]["accepted"]) == (2, 3, True)
+    assert (rows[4]["nearest"], rows[4]["second"], rows[4]["accepted"]) == (5, None, False)  # no second one

@@ -80,12 +80,12 @@ def build(symbols: np.ndarray, ends: np.ndarray, counts: np.ndarray, files: Colu
     """Transform and common prefixes of all suffixes of a collection, as files; returns each suffix's text and length, in order.
 
     Text d is ``symbols[ends[d] - counts[d]:ends[d]]``, symbols are small numbers.
-    A round's arrays: ``keys`` has first symbol << 32 | place of the suffix without it + 1
-    (0 for the empty one) of all suffixes, and rises; ``suffix`` their texts and lengths.
-    Texts have fewer than 256 symbols, and there are fewer than 2 ** 23.
+    ``keys`` has first symbol << 32 | place of the suffix without it + 1 (0 for the empty one)
+    of all suffixes, and rises.  Before a whole text the transform has -1 - d; from these
+    rows the places lead through all suffixes of the text.  At the end it has -1 there.
     """
     low_half = np.int64(0xFFFFFFFF)
-    keys, suffix = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    keys = np.zeros(0, np.int64)
     text = np.flatnonzero(counts > 0)
     place = np.full(len(text), -1, np.int64)
     length = 0
@@ -94,13 +94,13 @@ def build(symbols: np.ndarray, ends: np.ndarray, counts: np.ndarray, files: Colu
         before, common = files.read("transform"), files.read("common")
         symbol = (before[place] if length > 1 else symbols[ends[text] - 1]).astype(np.int64)
         mine = symbol << 32 | place + 1
-        turn = np.argsort(mine, kind="stable")
+        turn = np.argsort(mine)  # equal ones are empty but for a symbol, in any order
         text, mine = text[turn], mine[turn]
         at = np.searchsorted(keys, mine, side="right")
         spot = at + np.arange(len(at))
         new = np.zeros(len(keys) + len(at), bool)
         new[spot] = True
-        old = np.flatnonzero(~new)
+        old = ~new
         # Neighbours: each new suffix with the one before it, each old one after a new one with the last new one.
         follows = np.concatenate(([False], at[1:] == at[:-1]))
         prior = np.where(follows, np.roll(mine, 1), keys[at - 1] if len(keys) else 0)
@@ -114,21 +114,32 @@ def build(symbols: np.ndarray, ends: np.ndarray, counts: np.ndarray, files: Colu
             shared[deeper] += minima(common, low[deeper] + 1, high[deeper])
         common[at[next_]] = shared[len(at) :]
         alive = counts[text] > length
-        following = np.where(alive, symbols[ends[text] - np.minimum(length + 1, counts[text])], -1)
+        following = np.where(alive, symbols[ends[text] - np.minimum(length + 1, counts[text])], -1 - text)
 
         def inserted(values: np.ndarray, some: np.ndarray) -> np.ndarray:
             merged = np.empty(len(new), values.dtype)
-            merged[old], merged[spot] = values, some
+            merged[old] = values
+            merged[spot] = some
             return merged
 
         files.write(transform=inserted(before, following), common=inserted(common, shared[: len(at)]))
         # Places move up by the new suffixes before them.
-        more = np.append(0, old - np.arange(len(old)))
+        more = np.repeat(np.arange(len(at) + 1), np.diff(at, prepend=-1, append=len(keys)))
         for k in (keys, mine):
-            k += more[k & low_half]
-        keys, suffix = inserted(keys, mine), inserted(suffix, text << 8 | length)
+            k += more.take(k & low_half)
+        keys = inserted(keys, mine)
         text, place = text[alive], spot[alive]
-    return suffix >> 8, suffix & 0xFF
+    transform = files.read("transform")
+    place = np.flatnonzero(transform < 0)
+    text = -1 - transform[place]
+    files.write(transform=np.maximum(transform, -1), common=files.read("common"))
+    length = counts[text]
+    texts, lengths = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    while len(place):
+        texts[place], lengths[place] = text, length
+        rest = np.flatnonzero(length > 1)
+        place, text, length = (keys[place[rest]] & low_half) - 1, text[rest], length[rest] - 1
+    return texts, lengths
 
 
 def repeated(data: list[bytes], anchors: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> repeats.Found:

@@ -32,6 +32,8 @@ from .common import broadcast_if_small, discard, materialize
 
 WINDOW = 200
 GRAM = 32
+#: Fragments of a collection, unless one anchor has more; a round passes over all its suffixes, which should fit a core's cache.
+AT_ONCE = 4096
 #: Most bytes of a symbol; a window has to be a whole number of them.
 SYMBOL = 8
 
@@ -226,7 +228,7 @@ def search_pieces(pieces: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def unit(window: int = WINDOW, gram: int = GRAM) -> repeats.Unit:
-    return repeats.Unit(words=False, window=window, gram=gram)
+    return repeats.Unit(words=False, window=window, gram=gram, at_once=AT_ONCE)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = repeats.GROUP) -> DataFrame:

@@ -40,11 +40,15 @@ Splitter = Callable[[DataFrame, int], DataFrame]
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window counts: ``window`` bytes or words, anchored by grams of ``gram`` of them (a power of two)."""
+    """What a window counts: ``window`` bytes or words, anchored by grams of ``gram`` of them (a power of two).
+
+    A finder gets whole groups, of ``at_once`` fragments or more together.
+    """
 
     words: bool
     window: int
     gram: int
+    at_once: int = FRAGMENTS_AT_ONCE
 
     def symbols(self, text: bytes) -> list[bytes] | bytes:
         return text.split() if self.words else text
@@ -180,7 +184,7 @@ def search(found: DataFrame, unit: Unit, finder: Finder) -> DataFrame:
     """Run the finder over groups of fragments with one anchor: akey, ckey and the spans that are covered, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches_of(batches, ["akey"], FRAGMENTS_AT_ONCE):
+        for rows in batches_of(batches, ["akey"], unit.at_once):
             akey, ckey = (rows.column(c).to_numpy() for c in ("akey", "ckey"))
             once = np.concatenate(([True], (akey[1:] != akey[:-1]) | (ckey[1:] != ckey[:-1])))  # repeated rows fetch a fragment twice
             rows, akey, ckey = rows.filter(pa.array(once)), akey[once], ckey[once]

@@ -85,6 +85,7 @@ def build(symbols: np.ndarray, ends: np.ndarray, counts: np.ndarray, files: Colu
     ``keys`` has first symbol << 32 | place of the suffix without it + 1 (0 for the empty one)
     of all suffixes, and rises.  Before a whole text the transform has -1 - d; from these
     rows the places lead through all suffixes of the text.  At the end it has -1 there.
+    Texts have fewer than 256 symbols.
     """
     low_half = np.int64(0xFFFFFFFF)
     keys = np.zeros(0, np.int64)

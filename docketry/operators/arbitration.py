@@ -18,37 +18,39 @@ def choose(readings: DataFrame, keys: list[str], preferred: str | None = None) -
     """One row per key: value, rule and disputed (MCH-21, WIN-11, AGG-32).
 
     ``readings`` has the keys and pos, value, method, provider, conf and low.
-    Rules, in order: all agree; the preferred provider; two or more methods
-    for one value and fewer for all others; the best is good and all others
-    are flagged low; the best is confident and leads; else the best, disputed.
+    A null value is a value like others.  Rules, in order: all agree; the
+    preferred provider; two or more methods for one value and fewer for all
+    others (readings of quality 0 and without a method don't vote); the best is
+    good and all others are flagged low; the best is confident and leads all
+    others, whose confidences are known; else the best, disputed.
     """
     q = quality(F.col("conf"), F.col("low"))
     rank = F.struct(q.alias("q"), F.coalesce("conf", F.lit(-1.0)).alias("c"), (-F.col("pos")).alias("p"))
     own = F.col("provider") == F.lit(preferred) if preferred is not None else F.lit(False)
+    votes = (F.col("__q") > 0) & (F.coalesce("method", F.lit("")) != "")
     values = (
         readings.withColumns({"__rank": rank, "__own": F.coalesce(own, F.lit(False)), "__q": q})
         .groupBy(*keys, "value")
         .agg(
-            F.max("__rank").alias("rank"), F.max(F.when(F.col("__own"), F.col("__rank"))).alias("own"), F.count_distinct(F.when(F.col("__q") > 0, F.col("method"))).alias("support"),
+            F.max("__rank").alias("rank"), F.max(F.when(F.col("__own"), F.col("__rank"))).alias("own"), F.count_distinct(F.when(votes, F.col("method"))).alias("support"),
             F.bool_and(F.coalesce("low", F.lit(False))).alias("all_low"), F.max("conf").alias("conf"), F.bool_and(F.col("conf").isNotNull()).alias("known"),
         )
     )
     best = values.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.max(F.struct("rank", "value", "conf", "known")).alias("best"), F.max(F.when(F.col("own").isNotNull(), F.struct("own", "value"))).alias("own"), F.count("own").alias("owns"),
-        F.max(F.struct("support", "rank", "value")).alias("voted"), F.max_by("support", F.struct("support", "rank"), ).alias("most"),
-        F.sort_array(F.collect_list("support"), False).alias("supports"), F.sum((~F.col("all_low")).cast("int")).alias("high"), F.max_by("all_low", "rank").alias("best_low"),
-        F.sort_array(F.collect_list("conf"), False).alias("confs"), F.bool_and("known").alias("all_known"),
+        F.count("*").alias("n"), F.max(F.struct("rank", "value")).alias("best"), F.max(F.when(F.col("own").isNotNull(), F.struct("own", "value"))).alias("own"), F.count("own").alias("owns"),
+        F.max("support").alias("most"), F.max(F.struct("support", "rank", "value")).alias("voted"), F.collect_list(F.struct("value", "support", "all_low", "conf", "known")).alias("each"),
     )
-    second = F.coalesce(F.try_element_at("confs", F.lit(2)), F.lit(-1.0))
-    others_low = F.col("high") - (~F.col("best_low")).cast("int") == 0
+    others = F.filter("each", lambda v: ~v["value"].eqNullSafe(F.col("best.value")))
+    sure = F.col("best.rank.c")
     rules = [
-        ("unanimous", F.col("n") == 1, F.col("best.value"), F.lit(False)),
-        ("preferred", F.col("owns") > 0, F.col("own.value"), F.col("owns") > 1),
-        ("vote", (F.col("supports")[0] >= 2) & (F.col("supports")[0] > F.col("supports")[1]), F.col("voted.value"), F.lit(False)),
-        ("others_low", others_low & (F.col("best.rank.q") >= 2), F.col("best.value"), F.lit(False)),
-        ("confidence", F.col("all_known") & (F.col("best.conf") >= HIGH) & (F.col("best.conf") - second >= LEAD) & (F.size("confs") > 1), F.col("best.value"), F.lit(False)),
-        ("rank", F.lit(True), F.col("best.value"), F.lit(True)),
+        ("unanimous", F.col("n") == 1, "best.value", F.lit(False)),
+        ("preferred", F.col("owns") > 0, "own.value", F.col("owns") > 1),
+        ("vote", (F.col("most") >= 2) & (F.size(F.filter("each", lambda v: v["support"] == F.col("most"))) == 1), "voted.value", F.lit(False)),
+        ("others_low", (F.col("best.rank.q") >= 2) & F.forall(others, lambda v: v["all_low"]), "best.value", F.lit(False)),
+        ("confidence", (F.col("best.rank.q") > 0) & (sure >= HIGH) & F.forall(others, lambda v: v["known"] & (sure - v["conf"] >= LEAD)), "best.value", F.lit(False)),
+        ("rank", F.lit(True), "best.value", F.lit(True)),
     ]
-    pick = lambda i: F.coalesce(*[F.when(r[1], r[i]) for r in rules])
-    name = F.coalesce(*[F.when(r[1], F.lit(r[0])) for r in rules])
-    return best.select(*keys, pick(2).alias("value"), name.alias("rule"), pick(3).alias("disputed"))
+    ruled = best.withColumn("rule", F.coalesce(*[F.when(holds, F.lit(name)) for name, holds, _, _ in rules]))
+    of = lambda i: F.coalesce(*[F.when(F.col("rule") == r[0], i(r)) for r in rules])
+    value = F.when(F.col("rule") == "preferred", F.col("own.value")).when(F.col("rule") == "vote", F.col("voted.value")).otherwise(F.col("best.value"))
+    return ruled.select(*keys, value.alias("value"), "rule", of(lambda r: r[3]).alias("disputed"))

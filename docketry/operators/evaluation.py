@@ -78,13 +78,15 @@ def date_metrics(joined: DataFrame, keys: list[str]) -> DataFrame:
     """Accuracy, detection and abstention of dates, coverage and accuracy of reliable decisions (AGG-12, AGG-13).
 
     Takes ``present``, ``day``, ``required`` of the truth and ``actual``,
-    ``status``, ``reliable`` of the result; untested samples count nowhere.
+    ``status``, ``reliable`` of the result; untested samples count nowhere.  A
+    label without a day (null) is never right; one that says there is none (an
+    empty text) is, where nothing was read.
     """
     present, read = F.coalesce("present", F.lit(True)), F.coalesce("actual", F.lit("")) != ""
     expected = F.when(F.col("day") == F.col("required"), MATCH).otherwise(MISMATCH)
     decided = present & F.coalesce("reliable", F.lit(False)) & F.coalesce(F.col("status").isin(MATCH, MISMATCH), F.lit(False))
     n = F.count_if
-    right = F.coalesce(F.coalesce("actual", F.lit("")) == F.coalesce("day", F.lit("")), F.lit(False))
+    right = F.coalesce(F.coalesce("actual", F.lit("")) == F.col("day"), F.lit(False))
     return joined.filter("tested").groupBy(*keys).agg(
         F.count("*").alias("samples"), safe_ratio(n(right), F.count("*")).alias("accuracy"), safe_ratio(n(present & read), n(present)).alias("detection"),
         safe_ratio(n(~present & ~read), n(~present)).alias("abstention"), safe_ratio(n(decided), F.count("*")).alias("decision_coverage"),

@@ -110,25 +110,24 @@ def strict_sums(spark, sf_dir):
 
 
 def candidate_arbitration(spark, sf_dir):
-    """The event type that stands for each user and day, events being readings of two methods and three providers (MCH-21)."""
+    """The event type that stands for each user and day, events being readings of three methods and nine providers, some without a value, method or confidence (MCH-21)."""
     e = table(spark, sf_dir, "events").select(
-        "user_id", F.col("ts").cast("date").cast("string").alias("day"), F.col("event_id").alias("pos"), F.col("event_type").alias("value"), (F.col("event_id") % 2).cast("string").alias("method"), F.concat(F.lit("p"), (F.col("event_id") % 9).cast("string")).alias("provider"),
+        "user_id", F.col("ts").cast("date").cast("string").alias("day"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 13 != 0, F.col("event_type")).alias("value"), F.when(F.col("event_id") % 8 == 0, "").otherwise((F.col("event_id") % 3).cast("string")).alias("method"), F.concat(F.lit("p"), (F.col("event_id") % 9).cast("string")).alias("provider"),
         F.when(F.col("event_id") % 5 != 0, (F.col("event_id") * 37 % 100) / 100.0).alias("conf"), (F.col("event_id") % 7 == 0).alias("low"),
     )
     return arbitration.choose(e, ["user_id", "day"], "p4")
 
 
 _ARBITRATION = """
-WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, event_id AS pos, event_type AS value, event_id % 2 AS method, event_id % 9 AS provider, CASE WHEN event_id % 5 <> 0 THEN (event_id * 37 % 100) / 100.0::DOUBLE END AS conf, event_id % 7 = 0 AS low FROM events),
+WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, event_id AS pos, CASE WHEN event_id % 13 <> 0 THEN event_type END AS value, CASE WHEN event_id % 8 = 0 THEN '' ELSE (event_id % 3)::VARCHAR END AS method, event_id % 9 AS provider, CASE WHEN event_id % 5 <> 0 THEN (event_id * 37 % 100) / 100.0::DOUBLE END AS conf, event_id % 7 = 0 AS low FROM events),
 q AS (SELECT *, CASE WHEN low OR conf < 0.65 THEN 0 WHEN conf >= 0.85 THEN 3 ELSE 2 END AS q FROM e),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY q DESC, coalesce(conf, -1) DESC, pos) AS r FROM q),
-v AS (SELECT user_id, day, value, min(r) AS r, arg_min(q, r) AS q, min(r) FILTER (provider = 4) AS own, count(DISTINCT method) FILTER (q > 0) AS support, bool_and(low) AS all_low, max(conf) AS conf, bool_and(conf IS NOT NULL) AS known FROM o GROUP BY 1, 2, 3),
-w AS (SELECT *, count(*) OVER k AS n, count(own) OVER k AS owns, min(own) OVER k AS best_own, max(support) OVER k AS top, bool_and(known) OVER k AS all_known, min(r) OVER k AS best FROM v WINDOW k AS (PARTITION BY user_id, day)),
-x AS (SELECT user_id, day, any_value(n) AS n, any_value(owns) AS owns, arg_min(value, own) AS own_value, any_value(top) AS top, count(*) FILTER (support = top) AS tops, arg_max(value, support) AS voted, any_value(all_known) AS all_known,
-  arg_min(value, r) AS best_value, arg_min(q, r) AS best_q, arg_min(conf, r) AS best_conf, bool_and(all_low OR r = best) AS others_low, max(conf) FILTER (r <> best) AS other FROM w GROUP BY 1, 2)
-SELECT user_id, day, CASE WHEN n = 1 THEN best_value WHEN owns > 0 THEN own_value WHEN top >= 2 AND tops = 1 THEN voted ELSE best_value END AS value,
-  CASE WHEN n = 1 THEN 'unanimous' WHEN owns > 0 THEN 'preferred' WHEN top >= 2 AND tops = 1 THEN 'vote' WHEN others_low AND best_q >= 2 THEN 'others_low' WHEN all_known AND best_conf >= 0.85 AND best_conf - other >= 0.15 THEN 'confidence' ELSE 'rank' END AS rule,
-  CASE WHEN n = 1 THEN false WHEN owns > 0 THEN owns > 1 WHEN top >= 2 AND tops = 1 THEN false WHEN others_low AND best_q >= 2 THEN false WHEN all_known AND best_conf >= 0.85 AND best_conf - other >= 0.15 THEN false ELSE true END AS disputed FROM x
+v AS (SELECT user_id, day, value, min(r) AS r, arg_min(q, r) AS q, min(r) FILTER (provider = 4) AS own, count(DISTINCT method) FILTER (q > 0 AND method <> '') AS support, bool_and(low) AS all_low, max(conf) AS conf, bool_and(conf IS NOT NULL) AS known, first(conf ORDER BY r) AS sure FROM o GROUP BY 1, 2, 3),
+w AS (SELECT *, count(*) OVER k AS n, count(own) OVER k AS owns, max(support) OVER k AS top FROM v WINDOW k AS (PARTITION BY user_id, day)),
+x AS (SELECT user_id, day, any_value(n) AS n, any_value(owns) AS owns, first(value ORDER BY own NULLS LAST) AS own_value, any_value(top) AS top, count(*) FILTER (support = top) AS tops, first(value ORDER BY support DESC) AS voted,
+  first(value ORDER BY r) AS best_value, first(q ORDER BY r) AS best_q, first(sure ORDER BY r) AS sure, bool_and(all_low OR r = 1) AS others_low, bool_and(known OR r = 1) AS others_known, max(conf) FILTER (r > 1) AS other FROM w GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN n = 1 THEN 'unanimous' WHEN owns > 0 THEN 'preferred' WHEN top >= 2 AND tops = 1 THEN 'vote' WHEN others_low AND best_q >= 2 THEN 'others_low' WHEN others_known AND best_q > 0 AND sure >= 0.85 AND sure - other >= 0.15 THEN 'confidence' ELSE 'rank' END AS rule FROM x)
+SELECT user_id, day, CASE rule WHEN 'preferred' THEN own_value WHEN 'vote' THEN voted ELSE best_value END AS value, rule, rule = 'rank' OR rule = 'preferred' AND owns > 1 AS disputed FROM y
 """
 
 

@@ -11,11 +11,11 @@ from ..sources.tables import table
 
 
 def _truth(spark, sf_dir):
-    """Orders as labelled receipts: every fifth without a date, those of priorities 1 and 2 due on their day, others a day later."""
+    """Orders as labelled receipts: every fifth without a date (half of them say so), those of priorities 1 and 2 due on their day, others a day later."""
     day = F.col("o_orderdate").cast("date")
     due = F.when(F.col("o_orderpriority") < "3", day).otherwise(F.date_add(day, 1))
     present = F.col("o_orderkey") % 5 != 0
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt"), present.alias("present"), F.when(present, day.cast("string")).alias("day"), due.cast("string").alias("required"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt"), present.alias("present"), F.when(present, day.cast("string")).when(F.col("o_orderkey") % 10 == 0, "").alias("day"), due.cast("string").alias("required"))
 
 
 def _results(spark, sf_dir):
@@ -147,11 +147,11 @@ _FNS = [backend_dates, label_coverage, label_counts, json_summaries, heads, json
 QUERIES = {f.__name__: f for f in _FNS}
 ORACLE_SQL = {
     "backend_dates": """
-WITH truth AS (SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS present, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE::VARCHAR END AS day,
+WITH truth AS (SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS present, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE::VARCHAR WHEN o_orderkey % 10 = 0 THEN '' END AS day,
         (o_orderdate::DATE + CASE WHEN o_orderpriority < '3' THEN 0 ELSE 1 END)::VARCHAR AS required, o_orderdate::DATE AS d FROM orders),
   items AS (SELECT l_orderkey AS k, l_linenumber AS id, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
   newest AS (SELECT * FROM items WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY k, id % 3 ORDER BY id DESC) = 1),
-  r AS (SELECT CASE id % 3 WHEN 1 THEN 'a' ELSE 'b' END AS backend, present, coalesce(day, '') AS day, required,
+  r AS (SELECT CASE id % 3 WHEN 1 THEN 'a' ELSE 'b' END AS backend, present, day, required,
         CASE p % 4 WHEN 0 THEN '' WHEN 1 THEN (d + 1)::VARCHAR ELSE d::VARCHAR END AS actual, p, CASE WHEN day = required THEN 1 ELSE 0 END AS due FROM newest JOIN truth USING (k)),
   m AS (SELECT *, present AND p % 2 = 0 AND p % 3 < 2 AS decided FROM r)
 SELECT backend, count(*) AS samples, round(count(*) FILTER (actual = day) / count(*), 4) AS accuracy, round(count(*) FILTER (present AND actual <> '') / count(*) FILTER (present), 4) AS detection,

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, matching, pages, queue, readmodel, receipts, records, review
+from . import analytics, matching, pages, queue, readmodel, receipts, records, review, structures
 
-_MODULES = [receipts, analytics, queue, pages, matching, records, readmodel, review]
+_MODULES = [receipts, analytics, queue, pages, matching, records, readmodel, review, structures]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -69,9 +69,13 @@ def test_rules_of_choice(spark):
         ("one", 1, "x", "a", "p", 0.1, True), ("pref", 1, "x", "a", "p", 0.99, False), ("pref", 2, "y", "b", "q", 0.2, True), ("vote", 1, "x", "a", "p", 0.7, False), ("vote", 2, "x", "b", "p", 0.7, False),
         ("vote", 3, "y", "c", "p", 0.9, False), ("low", 1, "x", "a", "p", 0.7, None), ("low", 2, "y", "b", "p", 0.6, True), ("lead", 1, "x", "a", "p", 0.95, None), ("lead", 2, "y", "b", "p", 0.7, None),
         ("open", 1, "x", "a", "p", 0.7, None), ("open", 2, "y", "b", "p", 0.71, None),
+        ("null", 1, None, "a", "p", 0.7, None), ("null", 2, None, "b", "p", 0.7, None), ("nulls", 1, None, "a", "p", 0.9, None), ("nulls", 2, "y", "b", "p", 0.7, None), ("mine", 1, None, "a", "q", 0.1, None), ("mine", 2, "y", "b", "p", 0.9, None),
+        ("own", 1, "x", "a", "p", 0.95, None), ("own", 2, "x", "a", "p", None, None), ("own", 3, "y", "b", "p", 0.7, None), ("unknown", 1, "x", "a", "p", 0.95, None), ("unknown", 2, "y", "b", "p", None, None),
+        ("empty", 1, "x", "", "p", 0.7, None), ("empty", 2, "x", "m", "p", 0.7, None), ("empty", 3, "y", "c", "p", 0.72, None), ("weak", 1, "x", "a", "p", 0.95, True), ("weak", 2, "y", "b", "p", 0.1, None), ("two", 1, "x", "a", "q", 0.7, None), ("two", 2, "y", "a", "q", 0.9, None),
     ]
     got = {r["k"]: (r["value"], r["rule"], r["disputed"]) for r in arbitration.choose(spark.createDataFrame(rows, ddl), ["k"], "q").collect()}
-    assert got == {"one": ("x", "unanimous", False), "pref": ("y", "preferred", False), "vote": ("x", "vote", False), "low": ("x", "others_low", False), "lead": ("x", "confidence", False), "open": ("y", "rank", True)}
+    assert got == {"one": ("x", "unanimous", False), "pref": ("y", "preferred", False), "vote": ("x", "vote", False), "low": ("x", "others_low", False), "lead": ("x", "confidence", False), "open": ("y", "rank", True),
+                   "null": (None, "unanimous", False), "nulls": (None, "confidence", False), "mine": (None, "preferred", False), "own": ("x", "confidence", False), "unknown": ("x", "rank", True), "empty": ("y", "rank", True), "weak": ("x", "rank", True), "two": ("y", "preferred", True)}
 
 
 def test_intervals(spark):
@@ -149,3 +153,28 @@ def test_two_nearest_of_few(spark):
     rows = {r["id"]: r for r in vectors.two_nearest(v, v, "id", "k", "v", 0.9).collect()}
     assert (rows[1]["nearest"], rows[1]["second"], rows[1]["accepted"]) == (2, 3, True)
     assert (rows[4]["nearest"], rows[4]["second"], rows[4]["accepted"]) == (5, None, False)  # no second one
+
+
+def test_dates_without_a_label_are_never_right(spark):
+    from docketry.operators import evaluation
+
+    rows = [("a", True, None, "2025-01-01", None), ("b", True, "", "2025-01-01", None), ("c", True, "2025-01-01", "2025-01-01", "2025-01-01"), ("d", None, None, None, "")]
+    joined = spark.createDataFrame([(*r, True, "", False) for r in rows], "k string, present boolean, day string, required string, actual string, tested boolean, status string, reliable boolean")
+    assert {r["k"]: r["accuracy"] for r in evaluation.date_metrics(joined, ["k"]).collect()} == {"a": 0.0, "b": 1.0, "c": 1.0, "d": 0.0}
+
+
+def test_greedy_pairs(spark):
+    import random
+
+    from docketry.operators import pairing
+
+    r = random.Random(4)
+    edges = [(a, b, r.randrange(3)) for a in range(60) for b in range(a + 1, 60) if r.random() < 0.1] + [(100 + i, 101 + i, 40 - i) for i in range(12)] + [(200, 200, 1), (3, 1, 0), (1, 3, 0), (None, 5, 0)]
+    want, used = [], set()
+    for a, b, w in sorted((e for e in edges if None not in e), key=lambda e: (e[2], min(e[:2]), max(e[:2]))):
+        if a != b and not {a, b} & used:
+            used |= {a, b}
+            want.append((min(a, b), max(a, b), w))
+    got = pairing.greedy_pairs(spark.createDataFrame(edges, "a int, b int, w int"), "a", "b", ["w"]).collect()
+    assert sorted({(min(x["a"], x["b"]), max(x["a"], x["b"]), x["w"]) for x in got}) == sorted(want)
+    assert pairing.greedy_pairs(spark.createDataFrame([], "a int, b int, w int"), "a", "b", ["w"]).count() == 0

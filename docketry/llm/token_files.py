@@ -3,8 +3,8 @@
 Documents are dealt by ranges of doc_id and sorted, so the files, in order of
 their number, hold the ids of all documents in ascending doc_id order.  A file
 is an Arrow file of record batches with two columns of fixed-size lists: ids
-(the narrowest unsigned type for the vocabulary) and mask (1 for an id, 0 for
-the padding after a file's last one).  All batches but the last hold equally
+(the narrowest unsigned type for the vocabulary) and mask (a bit for each id,
+false for the padding after a file's last one).  All batches but the last hold equally
 many sequences, so a sequence's place follows from its number and a mapped
 file gives it without a copy.  An index table has each document's file, first
 place and number of ids.
@@ -32,7 +32,7 @@ END_ID = 2
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 1024, 64
 #: A worker keeps the ids of so many words and of so many parts of words; then it forgets them and begins anew.
-WORDS_KEPT, PARTS_KEPT = 200_000, 400_000
+WORDS_KEPT, PARTS_KEPT = 400_000, 600_000
 _INDEX = "doc_id long, part int, path string, start long, n_tokens long"
 _PUNCTUATION = r"[!-&(-/:-@\[-`{-~]*"
 
@@ -107,7 +107,7 @@ class SequenceWriter:
 
     def __init__(self, sink, kind: np.dtype, length: int, batch: int):
         value = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"length": str(length), "batch": str(batch)})
+        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"length": str(length), "batch": str(batch)})
         self.file, self.kind, self.length, self.size = pa.ipc.new_file(sink, self.schema), kind, length, length * batch
         self.held, self.n_held, self.n = [], 0, 0
 
@@ -123,8 +123,7 @@ class SequenceWriter:
             self.held, self.n_held = [rest], len(rest)
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(flat)) < real
         self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)], schema=self.schema))
 
     def close(self) -> None:
@@ -136,7 +135,7 @@ class SequenceWriter:
 
 
 class Sequences:
-    """Random access to one file's sequences: ``self[k]`` is (ids, mask), views of the file where it can be mapped."""
+    """Random access to one file's sequences: ``self[k]`` is (ids, mask), an array and an Arrow array, views of the file where it can be mapped."""
 
     def __init__(self, path: str):
         files, at = _place(path)
@@ -148,20 +147,20 @@ class Sequences:
         n = self.file.num_record_batches
         return (n - 1) * self.batch + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def _flat(self, batch: int, column: int) -> np.ndarray:
-        return self.file.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
+    def _flat(self, batch: int) -> np.ndarray:
+        return self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= k < len(self):
             raise IndexError(k)
-        at = k % self.batch * self.length
-        return tuple(self._flat(k // self.batch, c)[at : at + self.length] for c in (0, 1))
+        batch, at = k // self.batch, k % self.batch * self.length
+        return self._flat(batch)[at : at + self.length], self.file.get_batch(batch).column(1).flatten().slice(at, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a place in the file on, across sequences and batches."""
         size, out = self.length * self.batch, []
         while n > 0:
-            part = self._flat(start // size, 0)[start % size : start % size + n]
+            part = self._flat(start // size)[start % size : start % size + n]
             out.append(part)
             start, n = start + len(part), n - len(part)
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)

@@ -52,7 +52,7 @@ def test_sequences_are_views_of_equal_length(spark, tmp_path, odd):
     index = token_files.write(frame(spark, odd).repartition(3), folder(tmp_path), None, 2, 16, 4)
     for row in index.groupBy("path").agg({"n_tokens": "sum"}).collect():
         held = token_files.Sequences(row["path"])
-        flat, masks = zip(*(held[k] for k in range(len(held))))
+        flat, masks = zip(*((ids, mask.to_numpy(zero_copy_only=False)) for ids, mask in (held[k] for k in range(len(held)))))
         assert {len(x) for x in (*flat, *masks)} == {16} and len(held) == -(-row[1] // 16)
         assert sum(int(m.sum()) for m in masks) == row[1] and all((np.diff(m.astype(int)) <= 0).all() for m in masks)
         assert np.array_equal(np.concatenate(flat)[: row[1]], held.ids(0, row[1])) and not flat[0].flags.owndata

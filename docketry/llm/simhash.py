@@ -241,12 +241,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
+        # The smallest neighbours are held before the joins, so that those can be split at a node of very many links.
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
+        large = materialize(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct())
+        down = materialize(large.groupBy("a").agg(F.min("b").alias("low")))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         last, edges = edges, materialize(small.filter("a <> b").distinct())
-        discard(last)
+        discard(last, low, large, down)
         if (after := mark(edges)) == before:
             break
         before = after

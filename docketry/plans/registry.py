@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, control, matching, pages, queue, readmodel, receipts, records, review, structures
+from . import analytics, control, matching, pages, queue, readmodel, receipts, records, review, stamps, structures
 
-_MODULES = [receipts, analytics, queue, control, pages, matching, records, readmodel, review, structures]
+_MODULES = [receipts, analytics, queue, control, pages, matching, records, readmodel, review, structures, stamps]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

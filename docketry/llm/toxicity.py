@@ -30,11 +30,13 @@ MIN_STEM = 3
 #: Stems shorter than this allow no misspelling.
 MIN_FUZZY = 5
 #: Least number of toxic documents with a stem, and how much more frequent it is in them.
-MIN_TOXIC, MIN_RATIO = 5, 20.0
+MIN_TOXIC, MIN_RATIO = 3, 20.0
 #: The same as a share of the toxic documents.
 MIN_SHARE = 0.01
+#: As many stems at most, of all that are as frequent, as chance alone may make as telling.
+BY_CHANCE = 0.5
 #: Hits with smaller log-odds than this count for nothing.
-MIN_EVIDENCE = 2.0
+MIN_EVIDENCE = 1.5
 #: Words on either side that make a hit's context.
 WINDOW = 8
 THRESHOLD = 0.3
@@ -180,11 +182,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
+def chance(bad: int, n: int, share: float) -> float:
+    """How likely ``bad`` or more of n rows are toxic if each is with the probability ``share``."""
+    if n > 2000:  # then nothing that passes the other bounds is left to chance
+        return 0.0
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)) for k in range(bad, n + 1))
+
+
 def choose_stems(sample: DataFrame, counts: dict[int, int]) -> list[str]:
     """Stems (word beginnings, or whole words marked by END) that mark toxic rows.
 
     Of stems that begin alike the shortest counts, made longer as long as that
-    keeps 0.95 of its toxic documents times their log-odds.  Texts count once,
+    keeps 0.95 of its toxic documents times their log-odds.  A stem must be too
+    telling for chance, given how many words are as frequent, so a small sample
+    asks for more of its documents, not for a fixed number.  Texts count once,
     in ``counts`` (of distinct texts by label) as well.
     """
     positive, negative = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
@@ -194,7 +205,11 @@ def choose_stems(sample: DataFrame, counts: dict[int, int]) -> list[str]:
     table = words.filter(F.length("word") >= MIN_STEM).select(F.explode(starts).alias("stem"), "bad", "n").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     ratio = ((F.col("bad") + 0.5) / positive) / ((F.col("n") - F.col("bad") + 0.5) / negative)
     good = table.filter((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * positive)) & (ratio >= MIN_RATIO))
-    stats = {r["stem"]: (r["bad"], r["n"]) for r in good.collect()}  # of the bounded sample, each in MIN_SHARE of its toxic rows
+    often = [(r["n"], r["count"]) for r in words.filter(F.col("n") >= MIN_TOXIC).groupBy("n").count().collect()]  # a row for each frequency in the bounded sample
+    tried = lambda bad: sum(count for n, count in often if n >= bad)
+    share = positive / (positive + negative)
+    found = [(r["stem"], r["bad"], r["n"]) for r in good.collect()]  # of the bounded sample, each in MIN_SHARE of its toxic rows
+    stats = {stem: (bad, n) for stem, bad, n in found if chance(bad, n, share) * tried(bad) <= BY_CHANCE}
     shortest: list[str] = []
     for stem in sorted(stats, key=lambda s: (len(s), s)):
         if not any(stem[:n] in shortest for n in range(MIN_STEM, len(stem))):

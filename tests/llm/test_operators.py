@@ -626,3 +626,8 @@ def test_toxicity_odd_tables(spark, odd, none):
     assert all(0 <= s <= 1 for s in scores)
     assert toxicity.rejected(none, truth).count() == 0
     assert toxicity.rejected(odd, truth.limit(0)).count() == 10
+
+
+def test_stems_must_be_too_telling_for_chance():
+    for bad, n, share in [(3, 3, 0.1), (4, 9, 0.3), (1, 50, 0.01), (7, 7, 0.5)]:
+        assert toxicity.chance(bad, n, share) == pytest.approx(sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(bad, n + 1)))

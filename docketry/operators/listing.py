@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import REVIEW
@@ -36,10 +36,16 @@ def hydrate(narrow: DataFrame, wide: DataFrame, key: str, order: list[Column], o
 
 
 def within(inner: DataFrame, outer: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Spans that lie inside a span of the same key in ``outer`` (JOIN-24)."""
-    o = outer.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    inside = (F.col(key) == F.col("__key")) & (F.col(start) >= F.col("__start")) & (F.col(end) <= F.col("__end"))
-    return inner.join(o, inside, "left_semi")
+    """Spans that lie inside a span of the same key in ``outer`` (JOIN-24).
+
+    One sorted pass over a key's spans: of the outer ones that began by then,
+    the latest end decides.  No pair of spans is formed.
+    """
+    rows = inner.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"), F.struct(*inner.columns).alias("__row"))
+    spans = outer.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
+    begun = Window.partitionBy("__key").orderBy("__start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(F.col("__row").isNull(), F.col("__end"))).over(begun)
+    return rows.union(spans).withColumn("__last", last).filter(F.col("__row").isNotNull() & (F.col("__end") <= F.col("__last"))).select("__row.*")
 
 
 # Least gap, greatest distance of the centres and least share of the height for two regions side by side.

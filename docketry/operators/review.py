@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import FAILED, MATCH, MISMATCH, PASS, REJECT, REVIEW, WAITING
 
 # Name of receipts with an active job, and the statuses that the work list counts.
-PROCESSING = "处理中"
+PROCESSING, CONFIRMED = "处理中", "确认通过"
 COUNTED = [PROCESSING, PASS, REVIEW, REJECT, FAILED]
 
 
@@ -29,20 +29,32 @@ def signature_mode(checks: DataFrame, keys: list[str], every: bool) -> DataFrame
     return found.select(*keys, status.alias("status"), (F.col("matched") | F.col("against")).alias("reliable"))
 
 
-def date_variant(variants: DataFrame, keys: list[str]) -> DataFrame:
-    """The chosen date reading of each key, and whether usable readings differ (MCH-23, SET-08).
+def date_variant(variants: DataFrame, keys: list[str], mode: str | None = None) -> DataFrame:
+    """The date reading of each key that stands, with its status, and whether usable readings differ (MCH-23, SET-08).
 
-    ``variants`` has pos, usable, status, reliable, actual and required (dates).
+    ``variants`` has pos, usable, status, reliable, actual and required (dates);
+    required is the key's, taken from the first usable reading that has one.
     The first reliable match goes before the date nearest to the required one,
-    that before the first usable reading, that before the first of all.
+    that before the first usable reading, that before the first of all.  With
+    the policy ``all`` every reading must be usable and a reliable match, else
+    it is up for review; with ``any`` and ``none`` the chosen one stands; with
+    others, readings that differ are up for review, and unreliable ones make
+    the chosen one unreliable.  A group is one key's readings.
     """
-    usable, dated = F.coalesce("usable", F.lit(False)), F.col("actual").isNotNull()
-    days = F.abs(F.datediff("actual", "required"))
-    group = F.when(usable & dated & _sure(F.col("status"), F.col("reliable"), MATCH), 0).when(usable & days.isNotNull(), 1).when(usable, 2).otherwise(3)
-    rank = F.struct(group.alias("g"), F.when(group == 1, days).otherwise(0).alias("d"), "pos", "actual", "status")
-    seen = F.count_distinct(F.when(usable, F.struct(F.coalesce(F.col("actual").cast("string"), F.lit("")), F.coalesce("status", F.lit("")))))
-    chosen = variants.groupBy(*keys).agg(F.min(rank).alias("b"), (seen > 1).alias("conflict"))
-    return chosen.select(*keys, "b.pos", "b.actual", "b.status", "conflict")
+    own = F.struct("pos", F.coalesce("usable", F.lit(False)).alias("usable"), "status", F.coalesce("reliable", F.lit(False)).alias("reliable"), "actual", "required")
+    read = variants.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("all"), F.first(F.col(mode) if mode else F.lit(None).cast("string"), ignorenulls=True).alias("mode"))
+    read = read.withColumn("used", F.filter("all", lambda v: v["usable"]))
+    read = read.withColumn("due", F.get(F.filter(F.transform("used", lambda v: v["required"]), F.isnotnull), F.lit(0)))
+    sure = lambda v: F.coalesce(v["status"] == MATCH, F.lit(False)) & v["reliable"]
+    first = lambda found: F.get(found, F.lit(0))
+    dated = F.transform(F.filter("used", lambda v: v["actual"].isNotNull() & F.col("due").isNotNull()), lambda v: F.struct(F.abs(F.datediff(v["actual"], F.col("due"))).alias("days"), v["pos"].alias("pos"), v.alias("v")))
+    chosen = F.coalesce(first(F.filter("used", lambda v: sure(v) & v["actual"].isNotNull())), first(F.array_sort(dated))["v"], first(F.col("used")), first(F.col("all")))
+    differ = F.size(F.array_distinct(F.transform("used", lambda v: F.struct(F.coalesce(v["actual"].cast("string"), F.lit("")), F.coalesce(v["status"], F.lit("")))))) > 1
+    held = read.select(*keys, "mode", chosen.alias("b"), differ.alias("conflict"), (F.size("used") > 0).alias("some"), ((F.size("used") == F.size("all")) & F.forall("used", sure)).alias("every"), F.forall("used", lambda v: v["reliable"]).alias("firm"))
+    policy = F.coalesce("mode", F.lit(""))
+    review = F.col("some") & F.when(policy == "all", ~F.col("every")).when(policy.isin("any", "none"), False).otherwise(F.col("conflict"))
+    firm = F.when(review, False).when(F.col("some") & ~policy.isin("all", "any", "none") & ~F.col("firm"), False).otherwise(F.col("b.reliable"))
+    return held.select(*keys, "b.pos", "b.actual", F.when(review, REVIEW).otherwise(F.col("b.status")).alias("status"), firm.alias("reliable"), "conflict")
 
 
 def confirmation_gaps(standard: Column, date: Column, seal: Column, signature: Column, verdict: Column) -> Column:
@@ -55,6 +67,27 @@ def confirmation_gaps(standard: Column, date: Column, seal: Column, signature: C
     return F.when((F.size(missing) == 0) & (F.coalesce(verdict, F.lit("")) != PASS), F.array(F.lit("verdict"))).otherwise(missing)
 
 
+def confirmation_missing(c: dict[str, Column]) -> Column:
+    """What a review that would confirm a receipt lacks, by the gate's own rules; empty where nothing is to be confirmed (MCH-44).
+
+    ``c`` names review_status, final_result, overall; the policies seal_mode,
+    date_mode and signature_mode; standard_requirement, standard_status and
+    human_match of the standard stamp; date_actual, date_status, date_reliable;
+    seal_read, seal_status, seal_reliable; signature_status, signature_reliable.
+    """
+    said = lambda name, value: F.coalesce(c[name] == value, F.lit(False))
+    there = lambda name: F.coalesce(c[name], F.lit("")) != ""
+    true = lambda name: F.coalesce(c[name], F.lit(False))
+    seal, date = ~said("seal_mode", "none"), ~said("date_mode", "none")
+    gaps = confirmation_gaps(
+        F.when(seal & there("standard_requirement"), said("standard_status", "matched") | true("human_match")),
+        F.when(date, there("date_actual") & said("date_status", MATCH) & true("date_reliable")),
+        F.when(seal, there("seal_read") & said("seal_status", MATCH) & true("seal_reliable")),
+        F.when(said("signature_mode", "any") | said("signature_mode", "all"), said("signature_status", MATCH) & true("signature_reliable")), c["overall"],
+    )
+    return F.when(said("review_status", CONFIRMED) | said("final_result", PASS), gaps).otherwise(F.array().cast("array<string>"))
+
+
 def list_status(active: Column, final: Column, overall: Column) -> Column:
     """Status in the work list: processing, else the final or overall verdict; waiting ones are up for review (FLT-10)."""
     verdict = F.coalesce(F.nullif(final, F.lit("")), overall)

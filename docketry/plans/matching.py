@@ -107,6 +107,6 @@ ORACLE_SQL = {
     "pending": f"SELECT CASE WHEN o_orderstatus = 'P' AND (o_totalprice <= 250000 OR o_orderpriority LIKE '1%') THEN '{WAITING}' WHEN o_totalprice > 250000 THEN '{PASS}' ELSE '{MISMATCH}' END AS shown, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2",
     "newest_readings": "SELECT user_id, event_type, event_id, CASE WHEN event_id % 4 <> 0 THEN props END AS reading FROM events WHERE value >= 2 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "traces": "WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, epoch_us(ts) AS a, CASE WHEN event_id % 31 <> 0 THEN epoch_us(ts) + 5000000 END AS b, CASE WHEN event_id % 29 <> 0 THEN event_id % 50 END AS secs, event_id % 2 AS branch FROM events) SELECT user_id, day, min(a) AS start, max(b) AS \"end\", CASE WHEN count(*) = count(secs) THEN sum(secs)::BIGINT END AS sum, CASE WHEN count(*) = count(b) THEN max(b) - min(a) END AS wall, count(DISTINCT branch) >= 2 AS complete FROM e GROUP BY 1, 2",
-    "order_digests": "SELECT o_custkey, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT o_custkey, sha256(o_orderkey || chr(1) || o_orderstatus) AS h FROM orders) GROUP BY 1",
+    "order_digests": "SELECT o_custkey, count(*) AS n, sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT) || ':' || bit_xor(('0x' || substr(h, 17, 15))::BIGINT)) AS digest FROM (SELECT o_custkey, md5(o_orderkey || chr(1) || o_orderstatus) AS h FROM orders) GROUP BY 1",
     "company_coverage": "WITH k AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1) SELECT c_nationkey, count(*) AS customers, count(*) FILTER (kinds = 3) AS matched, count(*) FILTER (kinds IS NULL) AS unlabeled, bool_and(coalesce(kinds = 3, false)) AS complete FROM customer LEFT JOIN k ON c_custkey = o_custkey GROUP BY 1",
 }

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators.latest import newest_by
+from ..scratch import scratch_dir
 from ..sources.tables import table
 from ..streaming import queue
 
 
-def _scratch(spark) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset and the session is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return shared or tempfile.mkdtemp(prefix="docketry-")
-
-
 def _shown(df):
     return df.select("job", "events", "attempts", "last_id", "last_type")
 
@@ -29,13 +20,13 @@ def job_fold_batch(spark, sf_dir):
 
 def job_fold_stream(spark, sf_dir):
     """The same states by Structured Streaming: the last that each job emitted."""
-    rows = queue.drain(queue.fold_stream(queue.event_stream(spark, sf_dir)), _scratch(spark))
+    rows = queue.drain(queue.fold_stream(queue.event_stream(spark, sf_dir)), scratch_dir(spark))
     return newest_by(rows, ["job"], ["events", "attempts", "last_id", "last_type"], ["batch"])
 
 
 def daily_windows(spark, sf_dir):
-    """Events by day and type in windows of a stream that is run to its end; complete mode keeps the open ones."""
-    rows = queue.drain(queue.windowed_counts(queue.event_stream(spark, sf_dir)), _scratch(spark), "complete")
+    """Events by day and type in windows of a stream that is run to its end: the last that each emitted, so the watermark can drop closed ones."""
+    rows = queue.drain(queue.windowed_counts(queue.event_stream(spark, sf_dir)), scratch_dir(spark))
     return newest_by(rows.withColumn("day", F.col("start").cast("date").cast("string")), ["day", "type"], ["n"], ["batch"])
 
 

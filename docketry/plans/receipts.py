@@ -117,8 +117,9 @@ def semi_live(spark, sf_dir):
 
 
 def anti_orphan(spark, sf_dir):
-    """Customers without an order (JOIN-07)."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_acctbal")
+    """Customers without an urgent order (JOIN-07)."""
+    urgent = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_acctbal")
 
 
 def left_residual(spark, sf_dir):
@@ -181,7 +182,7 @@ def newest_per_nation(spark, sf_dir):
     """The customer of the highest balance in each nation, with names (JOIN-20, WIN-01)."""
     best = latest(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"])
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return best.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "c_custkey", "c_acctbal")  # nation and region have a fixed size
+    return best.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "c_custkey", "c_acctbal")
 
 
 _FNS = [receipt_listing, receipt_status_counts, receipt_page_2, pending_filter_then_limit, pending_limit_then_filter, latest_order_preferring, latest_event, latest_completed, contains_search, prefix_search, exact_filters, group_day_expansion,
@@ -202,7 +203,7 @@ ORACLE_SQL = {
     "exact_filters": f"WITH {_RECEIPTS} SELECT o_orderkey, ordered FROM receipts WHERE ordered LIKE '1995%' AND date_status = '{MISMATCH}' AND overall = '{REJECT}'",
     "group_day_expansion": "SELECT l_orderkey, l_linenumber, l_shipdate::DATE::VARCHAR AS day FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate::DATE = (SELECT min(l_shipdate)::DATE FROM lineitem))",
     "semi_live": "SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')",
-    "anti_orphan": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_orphan": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "left_residual": "SELECT c_custkey, count(o_orderkey) AS urgent, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority LIKE '1%' GROUP BY 1",
     "id_scope": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)",
     "overlay_full_outer": "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(c_acctbal, s_acctbal) AS balance, s_nationkey AS nation FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = s_suppkey WHERE coalesce(c_nationkey, -1) <> 3",

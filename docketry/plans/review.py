@@ -45,13 +45,19 @@ def signature_modes(spark, sf_dir):
 
 def date_variants(spark, sf_dir):
     """The chosen date of each order (MCH-23, SET-08)."""
-    return review.date_variant(_readings(spark, sf_dir), ["l_orderkey"]).withColumn("actual", F.col("actual").cast("string"))
+    k = F.col("l_orderkey")
+    readings = _readings(spark, sf_dir).withColumns({"mode": F.when(k % 4 == 0, "any").when(k % 4 == 1, "all").when(k % 4 == 2, "none"), "required": F.when(F.col("pos") % 3 != 0, F.col("required"))})
+    return review.date_variant(readings, ["l_orderkey"], "mode").withColumn("actual", F.col("actual").cast("string"))
 
 
 def confirmations(spark, sf_dir):
     """What the confirmation of each order lacks (MCH-44)."""
     k = F.col("o_orderkey")
-    gaps = review.confirmation_gaps(F.when(k % 3 != 0, k % 2 == 0), k % 5 != 0, k % 7 != 0, F.when(k % 4 == 0, k % 8 == 0), F.when(k % 11 != 0, PASS))
+    gaps = review.confirmation_missing({
+        "review_status": F.when(k % 13 != 0, "确认通过"), "final_result": F.when(k % 26 == 0, PASS), "overall": F.when(k % 11 != 0, PASS), "seal_mode": F.when(k % 3 == 0, "none"), "date_mode": F.when(k % 10 == 3, "none"), "signature_mode": F.when(k % 4 == 0, F.when(k % 8 == 0, "any").otherwise("all")),
+        "standard_requirement": F.when(k % 7 != 1, "x"), "standard_status": F.when(k % 2 == 0, "matched"), "human_match": k % 5 == 1, "date_actual": F.when(k % 5 != 0, "2025-01-01"), "date_status": F.when(k % 9 != 0, MATCH), "date_reliable": k % 17 != 0,
+        "seal_read": F.when(k % 7 != 0, "x").otherwise(""), "seal_status": F.lit(MATCH), "seal_reliable": k % 19 != 0, "signature_status": F.when(k % 16 == 0, MATCH), "signature_reliable": F.lit(True),
+    })
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(gaps, ",").alias("missing"))
 
 
@@ -153,16 +159,18 @@ m AS (SELECT l_orderkey, one AS matched, none, false AS every FROM g UNION ALL S
 SELECT l_orderkey, CASE WHEN matched THEN '{MATCH}' WHEN none THEN '{MISMATCH}' ELSE '{REVIEW}' END AS status, matched OR none AS reliable, every FROM m""",
     "date_variants": f"""
 WITH {_READINGS},
-g AS (
-  SELECT *, CASE WHEN usable AND actual IS NOT NULL AND status = '{MATCH}' AND reliable THEN 0 WHEN usable AND actual IS NOT NULL THEN 1 WHEN usable THEN 2 ELSE 3 END AS grp FROM r),
-n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY grp, CASE grp WHEN 1 THEN abs(actual - required) ELSE 0 END, pos) AS place FROM g),
-c AS (SELECT l_orderkey, count(DISTINCT coalesce(CAST(actual AS VARCHAR), '') || '|' || coalesce(status, '')) FILTER (usable) > 1 AS conflict FROM r GROUP BY l_orderkey)
-SELECT l_orderkey, pos, CAST(actual AS VARCHAR) AS actual, status, conflict FROM n JOIN c USING (l_orderkey) WHERE place = 1""",
-    "confirmations": """
+q AS (SELECT * REPLACE (CASE WHEN pos % 3 <> 0 THEN required END AS required), CASE l_orderkey % 4 WHEN 0 THEN 'any' WHEN 1 THEN 'all' WHEN 2 THEN 'none' ELSE '' END AS mode FROM r),
+d AS (SELECT *, first_value(CASE WHEN usable THEN required END) OVER (PARTITION BY l_orderkey ORDER BY (usable AND required IS NOT NULL) DESC, pos) AS due, status = '{MATCH}' AND reliable IS TRUE AS sure FROM q),
+g AS (SELECT * REPLACE (coalesce(sure, false) AS sure), CASE WHEN usable AND actual IS NOT NULL AND coalesce(sure, false) THEN 0 WHEN usable AND actual IS NOT NULL AND due IS NOT NULL THEN 1 WHEN usable THEN 2 ELSE 3 END AS grp FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY grp, CASE grp WHEN 1 THEN abs(actual - due) ELSE 0 END, pos) AS place FROM g),
+c AS (SELECT l_orderkey, count(DISTINCT coalesce(CAST(actual AS VARCHAR), '') || '|' || coalesce(status, '')) FILTER (usable) > 1 AS conflict, bool_or(usable) AS found_any, bool_and(usable AND sure) AS every, bool_and(reliable) FILTER (usable) AS firm FROM g GROUP BY l_orderkey),
+z AS (SELECT *, found_any AND CASE mode WHEN 'all' THEN NOT every WHEN 'any' THEN false WHEN 'none' THEN false ELSE conflict END AS up FROM n JOIN c USING (l_orderkey) WHERE place = 1)
+SELECT l_orderkey, pos, CAST(actual AS VARCHAR) AS actual, CASE WHEN up THEN '{REVIEW}' ELSE status END AS status, NOT up AND reliable AND (NOT found_any OR mode <> '' OR firm) AS reliable, conflict FROM z""",
+    "confirmations": f"""
 WITH g AS (
-  SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0 THEN 'standard' END, CASE WHEN o_orderkey % 5 = 0 THEN 'date' END,
-    CASE WHEN o_orderkey % 7 = 0 THEN 'seal' END, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 <> 0 THEN 'signature' END) AS missing FROM orders)
-SELECT o_orderkey, CASE WHEN missing = '' AND o_orderkey % 11 = 0 THEN 'verdict' ELSE missing END AS missing FROM g""",
+  SELECT o_orderkey AS k, o_orderkey, concat_ws(',', CASE WHEN k % 3 <> 0 AND k % 7 <> 1 AND k % 2 <> 0 AND k % 5 <> 1 THEN 'standard' END, CASE WHEN k % 10 <> 3 AND (k % 5 = 0 OR k % 9 = 0 OR k % 17 = 0) THEN 'date' END,
+    CASE WHEN k % 3 <> 0 AND (k % 7 = 0 OR k % 19 = 0) THEN 'seal' END, CASE WHEN k % 4 = 0 AND k % 16 <> 0 THEN 'signature' END) AS missing FROM orders)
+SELECT o_orderkey, CASE WHEN k % 13 = 0 AND k % 26 <> 0 THEN '' WHEN missing = '' AND k % 11 = 0 THEN 'verdict' ELSE missing END AS missing FROM g""",
     "work_counts": f"""
 WITH g AS (
   SELECT CASE WHEN o_orderkey % 7 = 0 THEN '{review.PROCESSING}' WHEN o_orderkey % 9 = 0 THEN '{REJECT}' WHEN o_orderstatus = 'F' THEN '{PASS}' WHEN o_orderstatus = 'O' THEN '{REVIEW}' ELSE '?' END AS status

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Held
+
 
 def merge_rows(current: DataFrame, changes: DataFrame, keys: list[str], order: str, guard: Column | None = None) -> DataFrame:
     """Current rows with changes upserted, the greatest ``order`` of a key winning (SNK-02, SNK-06, SNK-07, STM-17).
@@ -30,12 +32,13 @@ def expired(rows: DataFrame, at: Column, days: int, now: Column, active: DataFra
 
 
 def content_groups(rows: DataFrame, content: str, kept_order: list[str]) -> DataFrame:
-    """Add the content's digest and ``is_first``: whether the row is the least by ``kept_order`` of equal contents (SNK-20).
+    """Of each row ``kept_order``, the content's digest and ``is_first``: whether it is the least of equal contents (SNK-20).
 
-    The least is an aggregate that combines before the shuffle, and AQE splits
-    the join back, so a content of very many rows isn't one task's work.
+    Contents are read and digested once; only digests and ``kept_order`` are
+    shuffled.  The least is an aggregate that combines before the shuffle, and
+    AQE splits the join back, so a content of very many rows isn't one task's work.
     """
-    digested = rows.withColumn("digest", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256))
+    digested = Held(rows.select(*kept_order, F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("digest"))).rows
     first = digested.groupBy("digest").agg(F.min(F.struct(*kept_order)).alias("__first"))
     return digested.join(first, "digest").withColumn("is_first", F.struct(*kept_order) == F.col("__first")).drop("__first")
 

@@ -6,9 +6,11 @@ containment of t or more, a document lacks at most q - ceil(t q) of them, so
 one of the q - ceil(t q) + 1 smallest is always among the document's
 shingles.  The search hence loses nothing, however long the document is.
 Each class has a search of its own: documents too small for it (fewer than t
-times its least size) skip it, and of the others it looks at the hashes up to
-the largest in its sketches.  Documents that are hit are then verified by the
-containment of the shingles' own texts.
+times its least size) skip it.  Up to LOOKED_FOR sketch hashes are a set that
+each of a document's hashes is looked up in, so only hits leave the array; of
+more, the hashes up to the largest of the classes in question are joined with
+them.  Documents that are hit are then verified by the containment of the
+shingles' own texts.
 Everything runs as DataFrame operations.
 """
 
@@ -21,6 +23,8 @@ from .common import broadcast_if_small, doc_key, materialize, whole_rows
 
 WORDS = 5
 THRESHOLD = 0.8
+#: So many different sketch hashes at most are looked for inside the documents' arrays; more are joined.
+LOOKED_FOR = 20_000
 #: Anything but letters and digits parts words.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -76,12 +80,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """
     known = materialize(sketches(items, threshold, size))
     probe = known.select("size_class", F.explode("sketch").alias("hash")).groupBy("hash").agg(F.min("size_class").alias("size_class"))
-    # What a document of some size looks for: the largest hash of the classes that it can hold an item of.
-    largest = {r["size_class"]: r["top"] for r in known.groupBy("size_class").agg(F.max(F.array_max("sketch")).alias("top")).collect()}  # one row a class
+    probe = materialize(probe)
     hashes = shingle_hashes(words_of(F.col("text")), size)
-    reach = F.greatest(*[F.when(F.size("hashes") >= threshold * 2**c - 1e-9, F.lit(top)) for c, top in largest.items()], F.lit(None).cast("long"), F.lit(None).cast("long"))
-    hashed = docs.select(*doc_key(), hashes.alias("hashes")).withColumn("reach", reach)
-    flat = hashed.select("k1", "k2", F.size("hashes").alias("n"), F.explode(F.filter("hashes", lambda h: h <= F.col("reach"))).alias("hash"))
+    hashed = docs.select(*doc_key(), hashes.alias("hashes"))
+    wanted_hashes = probe.select("hash").limit(LOOKED_FOR + 1).collect()  # bounded; beyond it they aren't used
+    if 0 < len(wanted_hashes) <= LOOKED_FOR:
+        own = F.expr(f"filter(hashes, h -> h IN ({', '.join(f'{r.hash}L' if r.hash > -(2**63) else '-9223372036854775807L - 1L' for r in wanted_hashes)}))")
+    else:
+        # What a document of some size looks for: the largest hash of the classes that it can hold an item of.
+        largest = {r["size_class"]: r["top"] for r in known.groupBy("size_class").agg(F.max(F.array_max("sketch")).alias("top")).collect()}  # one row a class
+        reach = F.greatest(*[F.when(F.size("hashes") >= threshold * 2**c - 1e-9, F.lit(top)) for c, top in largest.items()], F.lit(None).cast("long"), F.lit(None).cast("long"))
+        own = F.filter("hashes", lambda h: h <= reach)
+    flat = hashed.select("k1", "k2", F.size("hashes").alias("n"), F.explode(own).alias("hash"))
     hits = flat.join(broadcast_if_small(probe), "hash").filter(F.col("n") >= threshold * F.pow(F.lit(2.0), F.col("size_class")) - 1e-9)
     found = materialize(hits.select("k1", "k2").distinct())
     texts = docs.select(*doc_key(), "text").join(broadcast_if_small(found), ["k1", "k2"]).dropDuplicates(["k1", "k2"])

@@ -162,7 +162,9 @@ def test_mixing_large_rates_weights_and_odd_tables(spark, odd, none):
     assert {r["doc_id"] for r in mixed.select("doc_id").distinct().collect()} == {1, 2, 3, None, 5, 6, 7, 8}
 
 
-def test_decontamination(spark, odd, none):
+@pytest.mark.parametrize("looked_for", [decontamination.LOOKED_FOR, 0])
+def test_decontamination(spark, odd, none, monkeypatch, looked_for):
+    monkeypatch.setattr(decontamination, "LOOKED_FOR", looked_for)
     item = words(900, 40)
     edited = item.split()
     edited[20] = "other"
@@ -187,7 +189,9 @@ def test_short_items_are_found_inside_documents(spark):
     assert sorted(r["doc_id"] for r in decontamination.decontaminate(docs, items).collect()) == [1, 2, 4, 5, 6]
 
 
-def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
+@pytest.mark.parametrize("looked_for", [decontamination.LOOKED_FOR, 0])
+def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch, looked_for):
+    monkeypatch.setattr(decontamination, "LOOKED_FOR", looked_for)
     monkeypatch.setattr(decontamination, "broadcast_if_small", lambda df, *a: df)
     item = words(900, 40)
     docs = frame(spark, [(i, words(i, 30) + " " + (item if i % 2 else words(50 + i, 20)), "en", "a") for i in range(10)])

@@ -125,3 +125,22 @@ def label_counts(rows: DataFrame, explicit: str, reasons: str, place: str) -> Da
     named = F.filter(F.transform(F.coalesce(reasons, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     label = F.when(F.trim(explicit) != "", F.array(F.trim(explicit))).otherwise(F.array_distinct(named))
     return rows.select(place, F.explode(label).alias("label")).groupBy("label").agg(F.count("*").alias("n"), F.min(place).alias("first_place"))
+
+
+# Labels of groups without a name.
+UNNAMED, NO_REQUIREMENT = "未分类", "未标注签章要求"
+
+
+def group_statistics(samples: DataFrame, by: str, unnamed: str = UNNAMED) -> DataFrame:
+    """Samples of each group, and how many are annotated, can be evaluated and went wrong (AGG-21); nameless ones are one group.
+
+    ``samples`` has ``by`` and the flags annotated, evaluable and anomalous.
+    """
+    key = F.trim(F.coalesce(F.col(by), F.lit("")))
+    n = lambda flag: F.count_if(F.coalesce(F.col(flag), F.lit(False)))
+    return samples.groupBy(F.when(key == "", unnamed).otherwise(key).alias("label")).agg(F.count("*").alias("total"), n("annotated").alias("annotated"), n("evaluable").alias("evaluable"), n("anomalous").alias("anomalies"))
+
+
+def group_order() -> list[Column]:
+    """Groups with the most anomalies first, then the largest, then by their labels in Chinese order: digits, Han by sound, Latin (SRT-07)."""
+    return [F.desc("anomalies"), F.desc("total"), F.collate(F.col("label"), "zh").asc(), F.col("label").asc()]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation, fragments
 from ..operators import references as ref
 from ..sources.tables import table
 
@@ -48,7 +50,45 @@ def reference_routes(spark, sf_dir):
     return ref.decide(_checks(spark, sf_dir), _evidence(spark, sf_dir), "receipt")
 
 
-_FNS = [reference_votes, reference_routes]
+CENTRE = "天地玄黄宇宙洪荒服务中心"
+_LABELS, _BEGINS, _SIZES = (fragments.UNWRAPPED, fragments.SAFE_READINGS[1], "原图"), (0, 4, 8, 0, 6, 4), (4, 4, 4, 6, 6, 8)
+
+
+def fragment_paths(spark, sf_dir):
+    """Orders whose lines, as fragments of a service organization, cover it in order (MCH-15)."""
+    p = F.col("p")
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    text = F.substring(F.lit(CENTRE), at(_BEGINS, p) + 1, at(_SIZES, p))
+    return fragments.joined_organization(i.select("l_orderkey", F.lit(CENTRE).alias("requirement"), at(_LABELS, F.floor(p / 6)).alias("label"), text.alias("text")), ["l_orderkey"])
+
+
+def fragment_texts(spark, sf_dir):
+    """Parts' stamps from readings of their company, kind and ends, some missing or doubtful (MCH-15)."""
+    k, brand = F.col("p_partkey"), F.translate("p_brand", "#B0123456789", "号乙子丑寅卯辰巳午未申酉")
+    company = F.concat(F.lit("天地玄黄"), F.regexp_replace(brand, "[a-z]", ""), F.lit("有限公司"))
+    kind = F.when(k % 2 == 0, "收货专用章").otherwise("三星检测专用章")
+    read = F.array(F.when(k % 5 != 0, company).otherwise(F.lit("x")), F.when(k % 7 != 0, kind), F.when(k % 3 == 0, F.concat(company, F.lit("12345678"))))
+    doubtful = F.array(F.struct(F.when(k % 2 == 0, "收贷专用章").otherwise("检册专用章").alias("text"), (0.7 + (k % 10) / 100.0).alias("confidence")))
+    need, none = F.concat(company, kind), F.lit(False)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", fragments.company_stamp(need, read, k % 11 == 0).alias("stamp"), fragments.type_band_stamp(F.concat(company, F.regexp_replace(kind, "三星", "")), read, doubtful, none).alias("repaired"),
+        fragments.band_company(F.concat(company, F.lit("业务受理"), (k % 3).cast("string"), F.lit("专用章")), F.array(company), F.array(F.concat(F.lit("业务受理"), (k % 4).cast("string")))).alias("accepted"),
+        fragments.acceptance_stamp(F.concat(company, F.lit("业务受理")), F.array(F.substring(company, F.lit(1), (k % 4).cast("int") + 1), F.substring(company, (k % 4).cast("int") + 2, F.lit(99)), F.lit("业务受理")), none).alias("joined"),
+        fragments.shared_suffix(F.lit(CENTRE), F.array(F.substring(F.lit(CENTRE), (k % 6).cast("int") + 1, F.lit(99))), F.array(F.lit("x"), F.lit(CENTRE))).alias("suffix"),
+    )
+
+
+def group_listing(spark, sf_dir):
+    """Groups of parts with names in Han, Latin and digits, in the order of their listing (SRT-07, AGG-21)."""
+    size = F.col("p_size")
+    name = F.when(size % 5 == 0, F.concat(F.lit("张"), "p_brand")).when(size % 5 == 1, F.concat(F.lit("阿"), "p_brand")).when(size % 5 == 2, F.lower("p_brand")).when(size % 5 == 3, size.cast("string"))
+    p = table(spark, sf_dir, "part").select(name.alias("company"), (F.col("p_partkey") % 2 == 0).alias("annotated"), (F.col("p_partkey") % 3 == 0).alias("evaluable"), (F.col("p_partkey") % 400 == 0).alias("anomalous"))
+    g = evaluation.group_statistics(p, "company")
+    return g.withColumn("place", F.row_number().over(Window.orderBy(*evaluation.group_order())))  # one row a group
+
+
+_FNS = [reference_votes, reference_routes, fragment_paths, fragment_texts, group_listing]
 QUERIES = {f.__name__: f for f in _FNS}
 
 
@@ -115,4 +155,19 @@ SELECT receipt, coalesce(CASE gate {names} END, 'rejected') AS route, gate IS NO
 ORACLE_SQL = {
     "reference_votes": f"{_votes_sql()} SELECT receipt, kind, candidate, \"references\", round(top, 6) AS top, round(second, 6) AS second, accepted FROM best_vote",
     "reference_routes": _routes_sql(),
+    "fragment_paths": f"""
+WITH i AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+f AS (SELECT DISTINCT l_orderkey, (p // 6) % 3 AS label, {list(_BEGINS)}[1 + p % 6] AS a, {list(_BEGINS)}[1 + p % 6] + {list(_SIZES)}[1 + p % 6] AS b FROM i WHERE (p // 6) % 3 <> 2),
+w AS (SELECT x.l_orderkey, [x.label, y.label] AS labels FROM f x JOIN f y ON x.l_orderkey = y.l_orderkey AND x.a = 0 AND x.b = y.a AND y.b = 12
+  UNION ALL SELECT x.l_orderkey, [x.label, y.label, z.label] FROM f x JOIN f y ON x.l_orderkey = y.l_orderkey AND x.a = 0 AND x.b = y.a JOIN f z ON x.l_orderkey = z.l_orderkey AND y.b = z.a AND z.b = 12)
+SELECT DISTINCT l_orderkey, '{CENTRE}' AS text FROM w WHERE len(list_distinct(labels)) >= 2""",
+    "fragment_texts": f"""
+WITH b AS (SELECT p_partkey AS k, '天地玄黄' || regexp_replace(translate(p_brand, '#B0123456789', '号乙子丑寅卯辰巳午未申酉'), '[a-z]', '', 'g') || '有限公司' AS c, CASE WHEN p_partkey % 2 = 0 THEN '收货专用章' ELSE '检测专用章' END AS kind FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 11 <> 0 AND k % 7 <> 0 AND (k % 5 <> 0 OR k % 3 = 0) THEN c || CASE WHEN k % 2 = 0 THEN '' ELSE '三星' END || kind ELSE '' END AS stamp,
+  CASE WHEN (k % 5 <> 0 OR k % 3 = 0) AND k % 10 >= 5 THEN c || kind ELSE '' END AS repaired, CASE WHEN k % 3 = k % 4 THEN c || '业务受理' || (k % 3) ELSE '' END AS accepted,
+  CASE WHEN k % 4 >= 1 AND k % 4 + 1 <= length(c) - 8 THEN c || '业务受理' ELSE '' END AS joined, CASE WHEN k % 6 <= 3 THEN substr('{CENTRE}', 1 + k % 6) ELSE '' END AS suffix FROM b""",
+    "group_listing": """
+WITH p AS (SELECT CASE p_size % 5 WHEN 0 THEN '张' || p_brand WHEN 1 THEN '阿' || p_brand WHEN 2 THEN lower(p_brand) WHEN 3 THEN p_size::VARCHAR ELSE '未分类' END AS label, p_partkey AS k FROM part),
+g AS (SELECT label, count(*) AS total, count(*) FILTER (k % 2 = 0) AS annotated, count(*) FILTER (k % 3 = 0) AS evaluable, count(*) FILTER (k % 400 = 0) AS anomalies FROM p GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY anomalies DESC, total DESC, label COLLATE zh, label)::INTEGER AS place FROM g""",
 }

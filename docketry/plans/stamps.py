@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, fragments
+from ..operators import evaluation, fragments, seal_grammar
 from ..operators import references as ref
 from ..sources.tables import table
 
@@ -88,7 +88,26 @@ def group_listing(spark, sf_dir):
     return g.withColumn("place", F.row_number().over(Window.orderBy(*evaluation.group_order())))  # one row a group
 
 
-_FNS = [reference_votes, reference_routes, fragment_paths, fragment_texts, group_listing]
+def stamp_terms(spark, sf_dir):
+    """The typed fields of wordings that are made of a company, branch, purpose, code and number (STR-18)."""
+    k, brand = F.col("p_partkey"), F.regexp_replace(F.translate("p_brand", "#B0123456789", "号乙子丑寅卯辰巳午未申酉"), "[a-z]", "")
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
+    text = F.concat(F.lit("甲乙 "), brand, F.lit("有限公司"), of(_BRANCHES, k), of(_PURPOSES, F.floor(k / 3)), of(("", "站代码：123456"), F.floor(k / 12)), of(("", "（3）", "①"), F.floor(k / 24)))
+    t = seal_grammar.with_terms(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text")
+    return t.select("p_partkey", "terms.company", "terms.branch", "terms.purpose", "terms.number", F.size("terms.identity_fields").alias("fields"), "terms.unclassified", "terms.parse_status", "terms.groupable")
+
+
+def station_checks(spark, sf_dir):
+    """Readings of a service station against the required one: other codes, names and contacts (MCH-08)."""
+    k = F.col("p_partkey")
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
+    text = F.concat(F.lit("三星电子服务中心"), of(_STATIONS, k), of(("站代码6237106", "站代码:6237106", "站代码6237107"), F.floor(k / 3)), of(("", "TEL:021-51035898", "电话021-51035898上海市南京西路819号", "电话021-51035898公司"), F.floor(k / 9)))
+    c = seal_grammar.compare_stations(F.lit("三星电子服务中心上海信站代码6237106"), text)
+    return table(spark, sf_dir, "part").select("p_partkey", c["read_name"].alias("name"), F.size(c["matched"]).alias("matched"), F.array_join(c["additional"], ",").alias("additional")).filter("name is not null")
+
+
+_BRANCHES, _PURPOSES, _STATIONS = ("", "福州仓库", "北京"), ("收货专用章", "公章", "手机售后专用章", ""), ("上海信", "上海信威", "上海新威")
+_FNS = [reference_votes, reference_routes, fragment_paths, fragment_texts, group_listing, stamp_terms, station_checks]
 QUERIES = {f.__name__: f for f in _FNS}
 
 
@@ -170,4 +189,11 @@ SELECT k AS p_partkey, CASE WHEN k % 11 <> 0 AND k % 7 <> 0 AND (k % 5 <> 0 OR k
 WITH p AS (SELECT CASE p_size % 5 WHEN 0 THEN '张' || p_brand WHEN 1 THEN '阿' || p_brand WHEN 2 THEN lower(p_brand) WHEN 3 THEN p_size::VARCHAR ELSE '未分类' END AS label, p_partkey AS k FROM part),
 g AS (SELECT label, count(*) AS total, count(*) FILTER (k % 2 = 0) AS annotated, count(*) FILTER (k % 3 = 0) AS evaluable, count(*) FILTER (k % 400 = 0) AS anomalies FROM p GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY anomalies DESC, total DESC, label COLLATE zh, label)::INTEGER AS place FROM g""",
+    "stamp_terms": f"""
+WITH b AS (SELECT p_partkey AS k, '甲乙' || regexp_replace(translate(p_brand, '#B0123456789', '号乙子丑寅卯辰巳午未申酉'), '[a-z]', '', 'g') || '有限公司' AS c, {list(_BRANCHES)}[1 + p_partkey % 3] AS b, {list(_PURPOSES)}[1 + (p_partkey // 3) % 4] AS p,
+  (p_partkey // 12) % 2 AS f, ['', '(3)', '①'][1 + (p_partkey // 24) % 3] AS n FROM part), u AS (SELECT *, b = '北京' AND p = '' AS u FROM b)
+SELECT k AS p_partkey, c AS company, CASE WHEN u THEN '' ELSE b END AS branch, p AS purpose, n AS number, f::INTEGER AS fields, CASE WHEN u THEN b ELSE '' END AS unclassified, CASE WHEN u THEN 'partial' ELSE 'parsed' END AS parse_status, NOT u AND f = 0 AS groupable FROM u""",
+    "station_checks": f"""
+SELECT p_partkey, {list(_STATIONS)}[1 + p_partkey % 3] AS name, CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END AS matched, ['', '电话', '电话,地址'][1 + (p_partkey // 9) % 4] AS additional
+FROM part WHERE p_partkey % 3 < 2 AND (p_partkey // 3) % 3 < 2 AND (p_partkey // 9) % 4 < 3""",
 }

@@ -14,8 +14,8 @@ def quality(conf: Column, low: Column) -> Column:
     return F.when(F.coalesce(low, F.lit(False)) | (conf < LOW), 0).when(conf >= HIGH, 3).when((low == F.lit(False)) | conf.isNotNull(), 2).otherwise(1)
 
 
-def choose(readings: DataFrame, keys: list[str], preferred: str | None = None) -> DataFrame:
-    """One row per key: value, rule and disputed (MCH-21, WIN-11, AGG-32).
+def choose(readings: DataFrame, keys: list[str], preferred: str | None = None, with_pos: bool = False) -> DataFrame:
+    """One row per key: value, rule and disputed, and the chosen reading's pos if asked for (MCH-21, WIN-11, AGG-32).
 
     ``readings`` has the keys and pos, value, method, provider, conf and low.
     A null value is a value like others.  Rules, in order: all agree; the
@@ -53,4 +53,5 @@ def choose(readings: DataFrame, keys: list[str], preferred: str | None = None) -
     ruled = best.withColumn("rule", F.coalesce(*[F.when(holds, F.lit(name)) for name, holds, _, _ in rules]))
     of = lambda i: F.coalesce(*[F.when(F.col("rule") == r[0], i(r)) for r in rules])
     value = F.when(F.col("rule") == "preferred", F.col("own.value")).when(F.col("rule") == "vote", F.col("voted.value")).otherwise(F.col("best.value"))
-    return ruled.select(*keys, value.alias("value"), "rule", of(lambda r: r[3]).alias("disputed"))
+    pos = F.when(F.col("rule") == "preferred", F.col("own.own.p")).when(F.col("rule") == "vote", F.col("voted.rank.p")).otherwise(F.col("best.rank.p"))
+    return ruled.select(*keys, value.alias("value"), "rule", of(lambda r: r[3]).alias("disputed"), *[(-pos).alias("pos")] * with_pos)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, control, history, matching, pages, queue, readmodel, receipts, records, replay, review, stamps, structures
+from . import analytics, control, history, matching, pages, providers, queue, readmodel, receipts, records, replay, review, stamps, structures
 
-_MODULES = [receipts, analytics, queue, control, history, pages, matching, records, readmodel, review, replay, structures, stamps]
+_MODULES = [receipts, analytics, queue, control, history, pages, matching, providers, records, readmodel, review, replay, structures, stamps]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,8 +44,9 @@ def lines(boxes: DataFrame, page: str, tolerance: float = 0.0075, share: float =
                 out.append(line)
             yield batch.assign(line=pd.Series(out, dtype="int32", index=batch.index))
 
-    # Pages lie together and in order, so one pass with a little state is enough.
-    ordered = boxes.repartition(page).sortWithinPartitions(page, F.col("y") + F.col("height") / 2, "x", "text")
+    # Pages lie together and in order, so one pass with a little state is enough.  They are dealt by a hash of the page:
+    # where boxes are a union of tables that are dealt by page already, adaptive execution would leave out the exchange.
+    ordered = boxes.repartition(F.xxhash64(page)).sortWithinPartitions(page, F.col("y") + F.col("height") / 2, "x", "text")
     return ordered.mapInPandas(number, boxes.withColumn("line", F.lit(0)).schema)
 
 

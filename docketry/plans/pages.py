@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..operators import boxes
+from ..operators import boxes, products
 from ..sources.tables import table
 
 EDGES = [("number", 0.05), ("part", 0.2), ("quantity", 0.5), ("price", 0.7)]
@@ -68,7 +68,24 @@ def similarities(spark, sf_dir):
     return p.join(q, "p_partkey").select("p_partkey", r(similarity.sequence_ratio(a, b)).alias("ratio"), r(similarity.windowed_ratio(a, b)).alias("windowed"), r(similarity.lcs_coverage(a, b)).alias("lcs"), similarity.longest_common_run(a, b).alias("run"))
 
 
-_FNS = [product_rows, label_fields, page_types, band_join, overlaps, similarities]
+def merged_tables(spark, sf_dir):
+    """Product tables of tilted pages, one an order, with boxes that span two columns and misread cells (TBF-03, TBF-04, TBF-13, STR-12, STR-22, AGG-30)."""
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    n, p = F.col("l_linenumber"), F.col("p")
+    tilt = (F.col("l_orderkey") % 5 - 2) * 0.01
+    kind = F.element_at(F.array(F.lit("A1"), F.lit("BI"), F.lit(";C2")), (p % 3).cast("int") + 1)
+    cells = [
+        ((n * 10).cast("string"), 0.05, 0.02), (kind, 0.15, 0.03), (F.concat(F.lit("SM-"), F.lpad((p % 10000).cast("string"), 4, "0"), F.lit("128G"), F.when(p % 2 == 0, "B").otherwise("")), 0.3, 0.16), (F.when(p % 2 == 1, "A"), 0.45, 0.02), (F.when(p % 7 != 0, F.lit("wo12")), 0.52, 0.03),
+        (F.lit("0.4880.001"), 0.70, 0.1),
+    ]
+    box = lambda text, x, width, y: F.struct(text.alias("text"), F.lit(x).alias("x"), (y + tilt * (x + width / 2)).alias("y"), F.lit(width).alias("width"), F.lit(0.008).alias("height"), F.lit(0.5).alias("confidence"))
+    body = i.select(F.col("l_orderkey").alias("page"), F.explode(F.array(*[box(t, x, w, 0.35 + n * 0.03) for t, x, w in cells])).alias("b")).select("page", "b.*").filter("text is not null")
+    head = i.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("page"), F.explode(F.array(*[box(F.lit(name), edge + 0.01, 0.03, F.lit(0.3)) for name, edge in products.COLUMNS])).alias("b")).select("page", "b.*")
+    t = products.product_table(body.union(head), "page")
+    return t.select("page", F.col("cells")[products.NUMBER].alias("number"), "text", "confidence")
+
+
+_FNS = [merged_tables, product_rows, label_fields, page_types, band_join, overlaps, similarities]
 QUERIES = {f.__name__: f for f in _FNS}
 _ROWS = "r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM lineitem)"
 ORACLE_SQL = {
@@ -76,4 +93,8 @@ ORACLE_SQL = {
     "label_fields": "SELECT o_orderkey AS page, 'customer' AS field, 'C' || o_custkey AS value FROM orders",
     "page_types": "SELECT o_orderkey AS page, 'receipt' AS type, 2 AS hits FROM orders UNION ALL SELECT DISTINCT l_orderkey, 'unknown', 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "band_join": f"WITH {_ROWS} SELECT l_orderkey AS page, n::VARCHAR AS \"left\", floor(l_extendedprice)::BIGINT::VARCHAR AS \"right\" FROM r",
+    "merged_tables": """
+WITH i AS (SELECT l_orderkey AS page, l_linenumber * 10 AS number, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)
+SELECT page, number::VARCHAR AS number, number || ' | ' || ['A1', 'B1', 'C2'][1 + p % 3] || ' | SM-' || lpad((p % 10000)::VARCHAR, 4, '0') || '128G | ' || CASE WHEN p % 2 = 0 THEN 'B' ELSE 'A' END || ' | ' || CASE WHEN p % 7 <> 0 THEN 'W012' ELSE '' END || ' |  | 0.488 | 0.001 | ' AS text,
+  round((0.9 + 0.86 + 0.7 + 0.85 + CASE WHEN p % 7 <> 0 THEN 0.88 ELSE 0 END + 0.9 + 0.9)::DOUBLE / 9, 3) AS confidence FROM i""",
 }

@@ -178,3 +178,15 @@ def test_greedy_pairs(spark):
     got = pairing.greedy_pairs(spark.createDataFrame(edges, "a int, b int, w int"), "a", "b", ["w"]).collect()
     assert sorted({(min(x["a"], x["b"]), max(x["a"], x["b"]), x["w"]) for x in got}) == sorted(want)
     assert pairing.greedy_pairs(spark.createDataFrame([], "a int, b int, w int"), "a", "b", ["w"]).count() == 0
+
+
+def test_fingerprint_has_every_row(spark):
+    import hashlib
+
+    from docketry.operators import matching
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(1, 3, "O"), (1, 2, None), (1, 3, "O"), (2, 2, "F")]
+    want = {k: digest("".join(sorted(digest(f"{n}\x01" + ("\0" if t is None else t)) for i, n, t in rows if i == k))) for k in (1, 2)}
+    frame = spark.createDataFrame(rows, "k int, n int, t string").repartition(3)
+    assert {r["k"]: (r["n"], r["digest"]) for r in matching.fingerprint(frame, "k", ["n", "t"]).collect()} == {1: (3, want[1]), 2: (1, want[2])}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..scratch import delete, new_folder
+from ..scratch import Held, delete, new_folder
 from ..sources.tables import table
 from ..streaming import control
 
@@ -33,9 +33,10 @@ def _arriving(events, folder: str, batches: int = 4):
     """The events as a stream of micro-batches, each event up to 90 minutes after its time."""
     arrival = F.unix_seconds("at") + F.col("id") * 7919 % 5400
     first, last = events.agg(F.min(arrival), F.max(arrival)).first()
-    numbered = events.withColumn("__batch", F.least(F.floor((arrival - F.lit(first)) * batches / F.lit(last - first + 1)), F.lit(batches - 1)))
+    numbered = Held(events.withColumn("__batch", F.least(F.floor((arrival - F.lit(first)) * batches / F.lit(last - first + 1)), F.lit(batches - 1))))  # worked out once, by all tasks
     for n in range(batches):  # in this order
-        numbered.filter(F.col("__batch") == n).drop("__batch").coalesce(1).write.mode("append").parquet(folder)
+        numbered.rows.filter(F.col("__batch") == n).drop("__batch").coalesce(1).write.mode("append").parquet(folder)
+    numbered.drop()
     return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

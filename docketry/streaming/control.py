@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -98,19 +97,18 @@ class _Fold(StatefulProcessor):
         self.job = handle.getValueState("job", "status string, attempt int, priority long, revision int, t long")
         self.held = handle.getListState("held", _EVENT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            part = part.astype(object).where(part.notna(), None)
-            for r in part.itertuples(index=False):
-                self.held.appendValue((int(r.id), int(r.t), r.kind, None if r.attempt is None else int(r.attempt), None if r.revision is None else int(r.revision), None if r.paused is None else bool(r.paused)))
-                self.handle.registerTimer(int(r.t) // 1000 + 1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(r.id, r.t, r.kind, r.attempt, r.revision, r.paused) for r in rows]
+        if came:  # one write and one timer, the first, for all: each is a round trip; what isn't due then sets the next timer
+            self.held.appendList(came)
+            self.handle.registerTimer(min(e[1] for e in came) // 1000 + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         events = sorted(self.held.get(), key=lambda e: (e[1], e[0]))
         due = [e for e in events if e[1] // 1000 < passed]
-        status, attempt, priority, revision, t = self.job.get() if self.job.exists() else ("", 0, 0, 0, 0)
+        status, attempt, priority, revision, t = self.job.get() or ("", 0, 0, 0, 0)
         out = []
         for id_, at, kind, of_attempt, of_revision, paused in due:
             if status in CLOSED and at >= t + self.keep * 1000:
@@ -131,10 +129,11 @@ class _Fold(StatefulProcessor):
                 attempt += kind == "claim"
                 priority = id_ if kind == "prioritize" else 0 if kind == "withdraw" else priority
                 revision += kind in REVISES
-            out.append((int(key[0]), id_, kind, before, status, outcome, attempt, priority, revision))
+            out.append(Row(job=key[0], id=id_, kind=kind, before=before, after=status, outcome=outcome, attempt=attempt, priority=priority, revision=revision))
         if due:
             if rest := events[len(due) :]:
                 self.held.put(rest)
+                self.handle.registerTimer(rest[0][1] // 1000 + 1)
             else:
                 self.held.clear()
         over = t // 1000 + self.keep
@@ -144,7 +143,7 @@ class _Fold(StatefulProcessor):
             self.job.update((status, attempt, priority, revision, t))
             if status in CLOSED and due:
                 self.handle.registerTimer(over + 1)
-        return iter([pd.DataFrame(out, columns=["job", "id", "kind", "before", "after", "outcome", "attempt", "priority", "revision"])]) if out else iter([])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -157,7 +156,7 @@ def fold_stream(events: DataFrame, late: str, keep_seconds: int) -> DataFrame:
     goes ``keep_seconds`` after it was closed.
     """
     rows = events.withWatermark("at", late).select("job", "at", "id", F.unix_micros("at").alias("t"), "kind", "attempt", "revision", "paused")
-    return rows.groupBy("job").transformWithStateInPandas(_Fold(keep_seconds), _LOG, "Append", "EventTime")
+    return rows.groupBy("job").transformWithState(_Fold(keep_seconds), _LOG, "Append", "EventTime")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, str]:

@@ -84,3 +84,24 @@ def test_requests_are_admitted_as_a_whole(spark):
     active = spark.createDataFrame([(13,)], "t long")
     got = {x["r"]: x["refused"] for x in control.admit_batch(requests, results, active, "r", "t", 2).collect()}
     assert got == {1: None, 2: "repeated", 3: "unknown", 4: "no source", 5: "active", 6: "empty", 7: "too many"}
+
+
+def test_a_batch_of_a_job_sets_one_timer():
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Handle:
+        def getValueState(self, *a):
+            return self
+
+        getListState = getValueState
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a))
+
+    fold = control._Fold(3600)
+    fold.init(Handle())
+    list(fold.handleInputRows((1,), iter([Row(job=1, id=i, t=(9 - i) * 5_000_000, kind="submit", attempt=None, revision=1, paused=None) for i in range(8)]), None))
+    assert [c[0] for c in calls] == ["appendList", "registerTimer"]
+    assert len(calls[0][1]) == 8 and calls[1][1] == 10_001  # that of the earliest

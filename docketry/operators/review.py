@@ -21,12 +21,18 @@ def signature_mode(checks: DataFrame, keys: list[str], every: bool) -> DataFrame
 
     Reliable mismatches throughout are a mismatch, anything else needs review.
     """
+    return signature_modes(checks, keys).filter(F.col("every") == every).drop("every")
+
+
+def signature_modes(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """The signature check of each key under both modes, from one pass over the readings: a row for each value of ``every``."""
     fit = _sure(F.col("status"), F.col("reliable"), MATCH)
-    matched = F.bool_and(fit) if every else F.bool_or(fit)
     against = F.bool_and(_sure(F.col("status"), F.col("reliable"), MISMATCH))
-    found = checks.groupBy(*keys).agg(matched.alias("matched"), against.alias("against"))
+    found = checks.groupBy(*keys).agg(F.bool_or(fit).alias("one"), F.bool_and(fit).alias("each"), against.alias("against"))
+    mode = lambda matched, every: F.struct(F.col(matched).alias("matched"), F.lit(every).alias("every"))
+    both = found.select(*keys, "against", F.inline(F.array(mode("one", False), mode("each", True))))
     status = F.when(F.col("matched"), MATCH).when(F.col("against"), MISMATCH).otherwise(REVIEW)
-    return found.select(*keys, status.alias("status"), (F.col("matched") | F.col("against")).alias("reliable"))
+    return both.select(*keys, status.alias("status"), (F.col("matched") | F.col("against")).alias("reliable"), "every")
 
 
 def date_variant(variants: DataFrame, keys: list[str], mode: str | None = None) -> DataFrame:

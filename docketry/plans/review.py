@@ -9,6 +9,11 @@ from ..operators import review
 from ..sources.tables import table
 
 
+def _verdict():
+    part = F.col("part")
+    return F.when(part % 3 == 0, MATCH).when(part % 3 == 1, MISMATCH).alias("status"), (part % 2 == 0).alias("reliable")
+
+
 def _readings(spark, sf_dir):
     """Line items as readings of an order: status, trust and date follow from the part."""
     i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
@@ -19,8 +24,7 @@ def _readings(spark, sf_dir):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
         "part",
         "required",
-        F.when(part % 3 == 0, MATCH).when(part % 3 == 1, MISMATCH).alias("status"),
-        (part % 2 == 0).alias("reliable"),
+        *_verdict(),
         (part % 5 != 0).alias("usable"),
         F.when(part % 4 != 0, F.date_add("required", (part % 7 - 3).cast("int"))).alias("actual"),
     )
@@ -38,9 +42,9 @@ r AS (
 
 def signature_modes(spark, sf_dir):
     """Signature checks of orders under both modes (MCH-26)."""
-    r = _readings(spark, sf_dir)
-    any_, all_ = (review.signature_mode(r, ["l_orderkey"], every).withColumn("every", F.lit(every)) for every in (False, True))
-    return any_.union(all_)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    found = review.signature_modes(lines.select("l_orderkey", *_verdict()), ["l_orderkey"])
+    return found.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
 
 
 def date_variants(spark, sf_dir):

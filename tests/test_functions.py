@@ -190,3 +190,10 @@ def test_fingerprint_has_every_row(spark):
     want = {k: digest("".join(sorted(digest(f"{n}\x01" + ("\0" if t is None else t)) for i, n, t in rows if i == k))) for k in (1, 2)}
     frame = spark.createDataFrame(rows, "k int, n int, t string").repartition(3)
     assert {r["k"]: (r["n"], r["digest"]) for r in matching.fingerprint(frame, "k", ["n", "t"]).collect()} == {1: (3, want[1]), 2: (1, want[2])}
+
+
+def test_signature_modes_read_the_lines_once(spark, sf_dir):
+    from docketry.plans import review
+
+    plan = review.signature_modes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") > 0 and plan.count("Relation [l_orderkey") == 1

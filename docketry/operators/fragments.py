@@ -7,6 +7,8 @@ compared in their general normal form.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def _known(texts: Column) -> Column:
     return F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), normalize), lambda t: t != "")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is worked out once: inside lambdas it would be again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _company(need: Column) -> Column:
     """The requirement up to its first company ending; null without one."""
     at = F.instr(need, COMPANY)
@@ -75,13 +82,14 @@ def acceptance_stamp(requirement: Column, texts: Column, conflict: Column) -> Co
 
     Not where a reading has the whole company, or companies conflict.
     """
-    need, read = normalize(requirement), _known(texts)
-    company = _company(need)
-    kind = F.concat(F.lit(ACCEPTANCE), F.regexp_extract(need, f"{ACCEPTANCE}([0-9]+)", 1))
-    cuts = F.sequence(F.lit(2), F.greatest(F.length(company) - 8, F.lit(2)))
-    split = F.exists(cuts, lambda n: (n <= F.length(company) - 8) & F.array_contains(read, F.substring(company, F.lit(1), n)) & _other(read, F.substring(company, F.lit(1), n), F.substring(company, n + 1, F.length(company))))
-    ok = company.isNotNull() & _rest(need, company).contains(ACCEPTANCE) & F.exists(read, lambda t: t.contains(kind)) & ~F.coalesce(conflict, F.lit(False)) & ~F.exists(read, lambda t: t.contains(company)) & split
-    return F.when(ok, F.concat(company, kind)).otherwise("")
+    def made(need, read, company):
+        kind = F.concat(F.lit(ACCEPTANCE), F.regexp_extract(need, f"{ACCEPTANCE}([0-9]+)", 1))
+        cuts = F.sequence(F.lit(2), F.greatest(F.length(company) - 8, F.lit(2)))
+        split = F.exists(cuts, lambda n: (n <= F.length(company) - 8) & F.array_contains(read, F.substring(company, F.lit(1), n)) & _other(read, F.substring(company, F.lit(1), n), F.substring(company, n + 1, F.length(company))))
+        ok = company.isNotNull() & _rest(need, company).contains(ACCEPTANCE) & F.exists(read, lambda t: t.contains(kind)) & ~F.coalesce(conflict, F.lit(False)) & ~F.exists(read, lambda t: t.contains(company)) & split
+        return F.when(ok, F.concat(company, kind)).otherwise("")
+
+    return _once(normalize(requirement), lambda need: _once(_known(texts), lambda read: _once(_company(need), lambda company: made(need, read, company))))
 
 
 def _other(read: Column, left: Column, right: Column) -> Column:
@@ -95,11 +103,13 @@ def _organization_seen(read: Column, organization: Column) -> Column:
 
 def company_stamp(requirement: Column, texts: Column, conflict: Column) -> Column:
     """Organization, kind and short number, each read exactly in one region."""
-    need, read = normalize(requirement), _known(texts)
-    pattern = f"^(.*(?:{_LEGAL}))({_HAN}{{0,3}}?(?:{'|'.join(KINDS_WITH_STORE)}))([0-9]{{0,3}})$"
-    organization, kind, number = (F.regexp_extract(need, pattern, i) for i in (1, 2, 3))
-    ok = (organization != "") & _organization_seen(read, organization) & F.array_contains(read, kind) & ~F.coalesce(conflict, F.lit(False)) & ((number == "") | F.array_contains(read, number))
-    return F.when(ok, F.concat(organization, kind, number)).otherwise("")
+    def made(need, read):
+        pattern = f"^(.*(?:{_LEGAL}))({_HAN}{{0,3}}?(?:{'|'.join(KINDS_WITH_STORE)}))([0-9]{{0,3}})$"
+        organization, kind, number = (F.regexp_extract(need, pattern, i) for i in (1, 2, 3))
+        ok = (organization != "") & _organization_seen(read, organization) & F.array_contains(read, kind) & ~F.coalesce(conflict, F.lit(False)) & ((number == "") | F.array_contains(read, number))
+        return F.when(ok, F.concat(organization, kind, number)).otherwise("")
+
+    return _once(normalize(requirement), lambda need: _once(_known(texts), lambda read: made(need, read)))
 
 
 def type_band_stamp(requirement: Column, texts: Column, band: Column, conflict: Column) -> Column:
@@ -107,41 +117,44 @@ def type_band_stamp(requirement: Column, texts: Column, band: Column, conflict:
 
     ``band`` is an array of (text, confidence).  No other complete organization may have been read.
     """
-    need, read = normalize(requirement), _known(texts)
-    kind = F.coalesce(*[F.when(need.endswith(k), F.lit(k)) for k in KINDS])
-    organization = F.substring(need, F.lit(1), F.length(need) - F.length(kind))
-    near = lambda t: (F.length(t) >= F.length(organization) - 2) & (F.length(t) <= F.length(organization) + 16)
-    complete = F.filter(F.transform(F.filter(read, near), lambda t: F.regexp_extract(t, f"^(.+?(?:{_LEGAL}))(?:[0-9]{{6,16}})?$", 1)), lambda t: t != "")
-    differ = lambda t: F.size(F.filter(F.sequence(F.lit(1), F.length(kind)), lambda i: F.substring(kind, i, F.lit(1)) != F.substring(t, i, F.lit(1))))
-    one = F.exists(band, lambda b: (b["confidence"] >= BAND_CONFIDENCE) & normalize(b["text"]).endswith(SPECIAL) & (F.length(normalize(b["text"])) == F.length(kind)) & (differ(normalize(b["text"])) == 1))
-    ok = kind.isNotNull() & organization.rlike(f"({_LEGAL})$") & _organization_seen(read, organization) & F.forall(complete, lambda c: c == organization) & ~F.coalesce(conflict, F.lit(False)) & one
-    return F.when(ok, F.concat(organization, kind)).otherwise("")
+    def made(need, read, kind, organization):
+        near = lambda t: (F.length(t) >= F.length(organization) - 2) & (F.length(t) <= F.length(organization) + 16)
+        complete = F.filter(F.transform(F.filter(read, near), lambda t: F.regexp_extract(t, f"^(.+?(?:{_LEGAL}))(?:[0-9]{{6,16}})?$", 1)), lambda t: t != "")
+        differ = lambda t: F.size(F.filter(F.sequence(F.lit(1), F.length(kind)), lambda i: F.substring(kind, i, F.lit(1)) != F.substring(t, i, F.lit(1))))
+        one = F.exists(band, lambda b: (b["confidence"] >= BAND_CONFIDENCE) & normalize(b["text"]).endswith(SPECIAL) & (F.length(normalize(b["text"])) == F.length(kind)) & (differ(normalize(b["text"])) == 1))
+        ok = kind.isNotNull() & organization.rlike(f"({_LEGAL})$") & _organization_seen(read, organization) & F.forall(complete, lambda c: c == organization) & ~F.coalesce(conflict, F.lit(False)) & one
+        return F.when(ok, F.concat(organization, kind)).otherwise("")
+
+    return _once(normalize(requirement), lambda need: _once(_known(texts), lambda read: _once(F.coalesce(*[F.when(need.endswith(k), F.lit(k)) for k in KINDS]), lambda kind: _once(F.substring(need, F.lit(1), F.length(need) - F.length(kind)), lambda organization: made(need, read, kind, organization)))))
 
 
 def band_company(requirement: Column, bands: Column, texts: Column) -> Column:
     """Company as one band has it and no band has another, and the acceptance kind as a whole reading; the ending isn't added."""
-    need, lines = normalize(requirement), _known(bands)
-    company = _company(need)
-    rest = _rest(need, company)
-    branch = F.regexp_extract(rest, f"{ACCEPTANCE}([0-9]{{1,3}})", 1)
-    kind = F.concat(F.lit(ACCEPTANCE), branch)
-    every = F.concat(_known(texts), lines)
-    ok = (
-        company.isNotNull() & rest.contains(ACCEPTANCE) & F.array_contains(lines, company) & ~F.exists(lines, lambda t: t.contains(COMPANY) & (t != company))
-        & F.exists(every, lambda t: (t == kind) | ((branch == "") & (t == ACCEPTANCE + SPECIAL)))
-    )
-    return F.when(ok, F.concat(company, kind)).otherwise("")
+    def made(need, lines, company):
+        rest = _rest(need, company)
+        branch = F.regexp_extract(rest, f"{ACCEPTANCE}([0-9]{{1,3}})", 1)
+        kind = F.concat(F.lit(ACCEPTANCE), branch)
+        every = F.concat(_known(texts), lines)
+        ok = (
+            company.isNotNull() & rest.contains(ACCEPTANCE) & F.array_contains(lines, company) & ~F.exists(lines, lambda t: t.contains(COMPANY) & (t != company))
+            & F.exists(every, lambda t: (t == kind) | ((branch == "") & (t == ACCEPTANCE + SPECIAL)))
+        )
+        return F.when(ok, F.concat(company, kind)).otherwise("")
+
+    return _once(normalize(requirement), lambda need: _once(_known(bands), lambda lines: _once(_company(need), lambda company: made(need, lines, company))))
 
 
 def shared_suffix(requirement: Column, first: Column, second: Column) -> Column:
     """The longest end of an organization's name that both readers have, if it is at most three letters short."""
-    need, a, b = normalize(requirement), _known(first), _known(second)
-    least = F.greatest(F.lit(SUFFIX_LEAST), F.bround(F.length(need) * F.lit(SUFFIX_SHARE)).cast("int"))
-    most = F.least(F.lit(SUFFIX_OMITTED), F.length(need) - least)
-    ends = F.filter(F.transform(F.sequence(F.lit(0), F.lit(SUFFIX_OMITTED)), lambda n: F.when(n <= most, F.substring(need, n + 1, F.length(need)))), F.isnotnull)
-    both = F.filter(ends, lambda e: F.exists(a, lambda t: t.contains(e)) & F.exists(b, lambda t: t.contains(e)))
-    ok = (F.length(need) >= LEAST_LENGTH) & need.rlike(f"^{_HAN}+$") & need.rlike(f"({'|'.join(LONG_ENDINGS)})$")
-    return F.when(ok, F.coalesce(F.get(both, F.lit(0)), F.lit(""))).otherwise("")
+    def made(need, a, b):
+        least = F.greatest(F.lit(SUFFIX_LEAST), F.bround(F.length(need) * F.lit(SUFFIX_SHARE)).cast("int"))
+        most = F.least(F.lit(SUFFIX_OMITTED), F.length(need) - least)
+        ends = F.filter(F.transform(F.sequence(F.lit(0), F.lit(SUFFIX_OMITTED)), lambda n: F.when(n <= most, F.substring(need, n + 1, F.length(need)))), F.isnotnull)
+        both = F.filter(ends, lambda e: F.exists(a, lambda t: t.contains(e)) & F.exists(b, lambda t: t.contains(e)))
+        ok = (F.length(need) >= LEAST_LENGTH) & need.rlike(f"^{_HAN}+$") & need.rlike(f"({'|'.join(LONG_ENDINGS)})$")
+        return F.when(ok, F.coalesce(F.get(both, F.lit(0)), F.lit(""))).otherwise("")
+
+    return _once(normalize(requirement), lambda need: _once(_known(first), lambda a: _once(_known(second), lambda b: made(need, a, b))))
 
 
 def overlapping_repairs(regions: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -71,7 +71,9 @@ def fragment_texts(spark, sf_dir):
     read = F.array(F.when(k % 5 != 0, company).otherwise(F.lit("x")), F.when(k % 7 != 0, kind), F.when(k % 3 == 0, F.concat(company, F.lit("12345678"))))
     doubtful = F.array(F.struct(F.when(k % 2 == 0, "收贷专用章").otherwise("检册专用章").alias("text"), (0.7 + (k % 10) / 100.0).alias("confidence")))
     need, none = F.concat(company, kind), F.lit(False)
-    return table(spark, sf_dir, "part").select(
+    # Parts are few bytes each, so a file of millions is read by one task or a few; the rules are dealt to all cores.
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand").repartition(4 * spark.sparkContext.defaultParallelism)
+    return part.select(
         "p_partkey", fragments.company_stamp(need, read, k % 11 == 0).alias("stamp"), fragments.type_band_stamp(F.concat(company, F.regexp_replace(kind, "三星", "")), read, doubtful, none).alias("repaired"),
         fragments.band_company(F.concat(company, F.lit("业务受理"), (k % 3).cast("string"), F.lit("专用章")), F.array(company), F.array(F.concat(F.lit("业务受理"), (k % 4).cast("string")))).alias("accepted"),
         fragments.acceptance_stamp(F.concat(company, F.lit("业务受理")), F.array(F.substring(company, F.lit(1), (k % 4).cast("int") + 1), F.substring(company, (k % 4).cast("int") + 2, F.lit(99)), F.lit("业务受理")), none).alias("joined"),

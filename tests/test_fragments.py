@@ -84,3 +84,13 @@ def test_overlapping_repairs(spark):
     ]
     df = spark.createDataFrame(rows, "id int, requirement string, place int, x double, y double, width double, height double, color string, role string, texts array<string>, conflict boolean")
     assert sorted(tuple(r) for r in fragments.overlapping_repairs(df, ["id"], "place").collect()) == [(1, "甲乙丙丁有限公司维修专用章"), (4, "甲乙丙丁有限公司维修专用章")]
+
+
+def test_texts_are_normalized_once(spark):
+    from pyspark.sql import functions as F
+
+    from docketry.operators import fragments
+
+    d = spark.createDataFrame([("x", ["y"])], "need string, read array<string>")
+    for made, times in ((fragments.company_stamp(F.col("need"), F.col("read"), F.lit(False)), 2), (fragments.acceptance_stamp(F.col("need"), F.col("read"), F.lit(False)), 2), (fragments.shared_suffix(F.col("need"), F.col("read"), F.col("read")), 3)):
+        assert d.select(made.alias("t"))._jdf.queryExecution().analyzed().toString().split("\n")[0].count("regexp_replace") == times

@@ -5,7 +5,7 @@ Boxes have a page, text, x, y, width, height (shares of the page) and confidence
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ean13_valid
@@ -33,10 +33,11 @@ def levelled(boxes: DataFrame, page: str) -> DataFrame:
     named = F.lit(False)
     for name, _ in COLUMNS:
         named = named | text.contains(name)
-    top = boxes.filter(text.contains(NUMBER)).groupBy(page).agg(F.min("y").alias("__top"))
-    marked = boxes.join(top, page, "left").withColumn("__header", named & (F.abs(F.col("y") - F.col("__top")) <= HEADER_REACH))
-    slopes = plain.skew(marked, page, F.coalesce("__header", F.lit(False)))
-    tilted = marked.join(slopes, page, "left").withColumn("y", F.col("y") - F.coalesce("slope", F.lit(0.0)) * (F.col("x") + F.col("width") / 2))
+    # Windows of one page, so the boxes are shuffled once and nothing is joined to them again.
+    w = Window.partitionBy(page)
+    top = F.min(F.when(text.contains(NUMBER), F.col("y"))).over(w)
+    marked = boxes.withColumn("__header", F.col(page).isNotNull() & F.coalesce(named & (F.abs(F.col("y") - top) <= HEADER_REACH), F.lit(False)))
+    tilted = marked.withColumn("slope", plain.slope(F.col("__header"), w)).withColumn("y", F.col("y") - F.col("slope") * (F.col("x") + F.col("width") / 2))
     return tilted.select(*boxes.columns)
 
 
@@ -105,7 +106,8 @@ def product_cells(boxes: DataFrame, page: str) -> DataFrame:
     placed = assigned(plain.lines(levelled(boxes, page), page)).filter(F.col("text").rlike(r"[0-9A-Za-z一-鿿]"))
     letters = F.greatest(F.length(F.trim("text")), F.lit(1))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text")))), lambda s: s["text"]), " ")
-    cells = placed.groupBy(page, "line", "column").agg(joined.alias("original"), F.sum(F.col("confidence") * letters).alias("__w"), F.sum(letters).alias("__n"))
+    # Dealt by page, cells and then lines are grouped without further shuffles.
+    cells = placed.select(page, "line", "column", "x", "text", "confidence").repartition(page).groupBy(page, "line", "column").agg(joined.alias("original"), F.sum(F.col("confidence") * letters).alias("__w"), F.sum(letters).alias("__n"))
     fixed = cells.withColumn("value", repaired(F.col("column"), F.col("original")))
     return fixed.select(page, "line", "column", "original", "value", rated(F.col("column"), F.col("value"), F.col("__w"), F.col("__n")).alias("confidence"), (F.col("value") != F.col("original")).alias("repaired"))
 

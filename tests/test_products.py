@@ -48,3 +48,14 @@ def test_boxes_are_split_only_where_they_cross_the_edge(spark):
     rows = [("SM-A 512GA", 0.25, 0.1, 0.1, 0.9), ("SM-A 512GA", 0.40, 0.2, 0.1, 0.9), ("X1TBb", 0.4, 0.3, 0.1, 0.9), ("0.1230.456", 0.68, 0.4, 0.05, 0.9), ("0.1230.456", 0.70, 0.5, 0.1, 0.9), (".123.456", 0.74, 0.6, 0.03, 0.9)]
     got = sorted((round(r["y"], 1), r["column"], r["text"]) for r in products.assigned(page(spark, rows)).collect())
     assert got == sorted([(0.1, "物料编号", "SM-A 512GA"), (0.2, "物料编号", "SM-A512G"), (0.2, "等级", "A"), (0.3, "物料编号", "X1TB"), (0.3, "等级", "B"), (0.4, "重量", "0.1230.456"), (0.5, "重量", "0.123"), (0.5, "体积", "0.456"), (0.6, "重量", ".123"), (0.6, "体积", ".456")])
+
+
+def test_pages_are_levelled_without_joins(spark):
+    from docketry.operators import products
+
+    made = [(1, n, e, 0.3 + 0.01 * e, 0.02, 0.01, 0.9) for n, e in products.COLUMNS] + [(None, "行号", 0.1, 0.3, 0.02, 0.01, 0.9), (2, "x", 0.5, 0.4, 0.02, 0.01, 0.9)]
+    boxes = spark.createDataFrame(made, "page int, text string, x double, y double, width double, height double, confidence double")
+    level = products.levelled(boxes, "page")
+    assert "Join" not in level._jdf.queryExecution().optimizedPlan().toString()
+    rows = level.collect()
+    assert len(rows) == len(made) and {round(r["y"], 6) for r in rows if r["page"] == 1} == {0.2999} and {r["y"] for r in rows if r["page"] != 1} == {0.3, 0.4}

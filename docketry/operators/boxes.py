@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import measures
+
 
 def skew(boxes: DataFrame, page: str, header: Column) -> DataFrame:
     """Slope of the header boxes' centres on each page, clamped to 0.05 either way; zero with fewer than three (AGG-31)."""
@@ -22,7 +24,7 @@ def slope(header: Column, window: WindowSpec | None = None) -> Column:
     """The aggregate of ``skew``, or the same over a window."""
     over = lambda c: c if window is None else c.over(window)
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
-    found = F.coalesce(over(F.regr_slope(F.when(header, cy), F.when(header, cx))), F.lit(0.0))
+    found = F.coalesce(measures.slope(F.when(header, cy), F.when(header, cx), over), F.lit(0.0))
     bounded = F.greatest(F.least(found, F.lit(0.05)), F.lit(-0.05))
     return F.when(over(F.count(F.when(header, 1))) >= 3, bounded).otherwise(0.0)
 

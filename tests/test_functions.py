@@ -197,3 +197,13 @@ def test_signature_modes_read_the_lines_once(spark, sf_dir):
 
     plan = review.signature_modes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_linenumber") > 0 and plan.count("Relation [l_orderkey") == 1
+
+
+def test_slope_needs_more_than_one_value(spark):
+    """29 / 7 * 7 isn't 29 in doubles, so merged means of equal values differ from them."""
+    rows = [("one", float(i * i), 29.0) for i in range(28)] + [("two", 2.0 * i, float(i)) for i in range(28)] + [("null", None, 1.0), ("null", 1.0, 2.0), ("null", 2.0, 2.0)]
+    frame = spark.createDataFrame(rows, "k string, y double, x double")
+    # Seven rows of each key in a partition.
+    dealt = frame.rdd.zipWithIndex().map(lambda r: (r[1] // 7 % 4, r[0])).partitionBy(4, int).values().toDF(frame.schema)
+    got = {r["k"]: r["s"] for r in dealt.groupBy("k").agg(measures.slope(F.col("y"), F.col("x")).alias("s")).collect()}
+    assert got["one"] is None and got["null"] is None and abs(got["two"] - 2) < 1e-12

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 
 def row_cell_accuracy(spark, sf_dir):
@@ -63,7 +63,7 @@ def spans_recovered(spark, sf_dir):
 def best_dates(spark, sf_dir):
     """The ship date of each order by readings, agreement and requirement (WIN-12)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 30).alias("required"))
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", F.date_trunc("month", "l_shipdate").cast("date").alias("day"), (F.col("l_discount") * 1000 + 0.5).cast("long").alias("percent"))
+    i = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", F.date_trunc("month", "l_shipdate").cast("date").alias("day"), (F.col("l_discount") * 1000 + 0.5).cast("long").alias("percent")), "l_orderkey")
     j = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("required", F.date_trunc("month", "required").cast("date"))
     return records.best_date(j, ["l_orderkey"], "day", "percent", "required").withColumn("date", F.col("date").cast("string"))
 

@@ -3,6 +3,7 @@
 import pytest
 
 from docketry.plans import registry
+from docketry.sources import tables
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -20,3 +21,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["best_dates"])
+def test_tasks_do_not_grow_with_the_lines(spark, sf_dir, duck, same, name, monkeypatch):
+    """Few rows a task allowed: more partitions than the session's, the same result."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 500)
+    result = registry.queries()[name](spark, sf_dir)
+    assert result.rdd.getNumPartitions() >= 12
+    same(result, duck.sql(registry.oracle_sql()[name]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, fragments, seal_grammar
 from ..operators import references as ref
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 _GATES = list(ref.ROUTES)
 _MEASURES = (*ref.LOCAL, *ref.CHROMATIC, *ref.TRIMMED, *ref.INK)
@@ -25,7 +25,8 @@ def _least(gate: str, measure: str) -> float:
 
 def _evidence(spark, sf_dir):
     """Lines as evidence: an order's measures lie about what one gate asks, a little below, at or above it."""
-    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    i = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     of = (F.col("l_orderkey") % len(_GATES)).cast("int") + 1
     share = F.element_at(F.array(F.lit(0.99), F.lit(1.0), F.lit(1.02), F.lit(1.25)), (F.col("p") % 4).cast("int") + 1)
     measures = [(F.element_at(F.array(*[F.lit(_least(g, m)) for g in _GATES]), of) * share).alias(m) for m in _MEASURES]

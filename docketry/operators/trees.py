@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NO_STEPS = "array<string>"
-_STRING_OR_BRACKET = r'"(?:[^"\\]|\\.)*"'
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def shape(payload: Column) -> Column:
+    """The brackets of a JSON text."""
+    return F.regexp_replace(payload, _STRING + r'|[^\[\]{}"]+|"', "")
 
 
 def depth(payload: Column) -> Column:
     """How deep objects and arrays of a JSON text are nested."""
-    brackets = F.regexp_extract_all(F.regexp_replace(payload, _STRING_OR_BRACKET, ""), F.lit(r"([\[\]{}])"), F.lit(1))
+    brackets = F.filter(F.split(shape(payload), ""), lambda c: c != "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(at, b):
@@ -30,12 +35,13 @@ def leaves(rows: DataFrame, keys: list[str], payload: str, arrays: bool = True)
     """The leaves of each record: the keys, path and value (a variant); arrays are leaves unless ``arrays``.
 
     Null payloads and text that isn't JSON have none.  One pass finds how deep
-    the records are; then each level is one generator, and nothing is shuffled.
+    the records' shapes are; then each level is one generator, and nothing is shuffled.
     """
-    deepest = rows.agg(F.max(depth(F.col(payload)))).first()[0] or 0
+    shapes = rows.groupBy(shape(F.col(payload)).alias("__shape")).agg(F.count("*").alias("__n"))
+    deepest = shapes.agg(F.max(depth(F.col("__shape"))), F.sum("__n")).first()[0] or 0  # without the sum the optimizer drops the grouping
     out = rows.select(*keys, F.array().cast(_NO_STEPS).alias("path"), F.try_parse_json(payload).alias("value")).filter("value is not null")
-    kind = F.schema_of_variant("value")
-    entered = kind.startswith("OBJECT") | kind.startswith("ARRAY") if arrays else kind.startswith("OBJECT")
+    # Scalars and what is empty have nothing to enter, so only arrays that aren't empty need telling apart.
+    entered = F.lit(True) if arrays else F.try_variant_get("value", "$[0]", "variant").isNull()
     for _ in range(deepest):
         inner = out.withColumn("__node", F.when(entered, F.col("value")))
         members = rows.sparkSession.tvf.variant_explode_outer(F.col("__node").outer()).toDF("__pos", "__key", "__value")
@@ -100,10 +106,11 @@ def assemble(found: DataFrame, keys: list[str], name: str = "payload") -> DataFr
 
 def _two_sides(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """The leaves of two payloads of each record as arrays a and b of (path, text); arrays in the payloads are leaves."""
-    side = lambda c, n: leaves(rows, keys, c, arrays=False).select(*keys, F.lit(n).alias("side"), F.struct("path", F.to_json("value").alias("text")).alias("leaf"))
-    both = side(left, "a").union(side(right, "b"))
-    own = lambda n: F.collect_list(F.when(F.col("side") == n, F.col("leaf"))).alias(n)
-    return both.groupBy(*keys).agg(own("a"), own("b"))
+    side = lambda c, n: F.struct(F.lit(n).alias("__side"), F.col(c).alias("__payload"))
+    both = rows.select(*keys, F.explode(F.array(side(left, "a"), side(right, "b"))).alias("__s")).select(*keys, "__s.*")
+    leaf = F.struct("path", F.to_json("value").alias("text"))
+    own = lambda n: F.collect_list(F.when(F.col("__side") == n, F.col("leaf"))).alias(n)
+    return leaves(both, [*keys, "__side"], "__payload", arrays=False).select(*keys, "__side", leaf.alias("leaf")).groupBy(*keys).agg(own("a"), own("b"))
 
 
 def _begins(path: Column, other: Column) -> Column:
@@ -133,7 +140,8 @@ def merge_patch(rows: DataFrame, keys: list[str], target: str, patch: str, name:
     kept = F.concat(F.filter("a", lambda t: ~covered(t)), F.filter("b", lambda p: ~is_null(p) & ~is_open(p)))
     whole = sides.withColumns({"__kept": kept, "__needed": F.array_distinct(needed)})
     bare = F.filter("__needed", lambda w: ~F.exists("__kept", lambda x: _begins(w, x["path"])) & ~F.exists("__needed", lambda v: (v != w) & _begins(w, v)))
-    return whole.select(*keys, json_of(F.concat("__kept", F.transform(bare, lambda w: F.struct(w.alias("path"), F.lit("{}").alias("text"))))).alias(name))
+    found = whole.select(*keys, F.concat("__kept", F.transform(bare, lambda w: F.struct(w.alias("path"), F.lit("{}").alias("text")))).alias("__found"))
+    return found.select(*keys, json_of(F.col("__found")).alias(name))
 
 
 def merge_diff(rows: DataFrame, keys: list[str], old: str, new: str, name: str = "patch") -> DataFrame:
@@ -142,19 +150,21 @@ def merge_diff(rows: DataFrame, keys: list[str], old: str, new: str, name: str =
     ``{}`` if nothing changes.  A null member that is new can't be expressed;
     the patch then leaves it out.
     """
-    sides = _two_sides(rows, keys, old, new)
-    has = lambda leaves_, x: F.exists(leaves_, lambda y: (y["path"] == x["path"]) & (y["text"] == x["text"]))
+    # What both have needs no further look; each column is made once.
+    sides = _two_sides(rows, keys, old, new).withColumns({"__old": F.array_except("a", "b"), "__new": F.array_except("b", "a")})
     inside = lambda leaves_, x: F.exists(leaves_, lambda y: (F.size(y["path"]) > F.size(x["path"])) & _begins(x["path"], y["path"]))
     whole = F.exists("b", lambda x: (F.size(x["path"]) == 0) & (x["text"] != "{}"))  # the new record isn't an object
     lost = lambda x: (x["text"] == "null") & (F.size(x["path"]) > 0)
-    fresh = F.filter("b", lambda x: ~has("a", x) & ~((x["text"] == "{}") & inside("a", x)))
+    fresh = F.filter("__new", lambda x: ~((x["text"] == "{}") & inside("a", x)))
     # Of a path that is gone, the shortest beginning that the new record hasn't.
     top = lambda x: F.element_at(F.filter(F.transform(F.sequence(F.lit(1), F.size(x["path"])), lambda n: F.slice(x["path"], F.lit(1), n)), lambda p: ~F.exists("b", lambda y: _begins(p, y["path"]))), 1)
     # Where the new record has a scalar or an array at or above the path, that replaces it; where it has an object below, it merges.
-    gone = F.filter("a", lambda x: (F.size(x["path"]) > 0) & ~F.exists("b", lambda y: _begins(x["path"], y["path"]) | (_begins(y["path"], x["path"]) & (y["text"] != "{}"))))
-    nulls = F.transform(F.array_distinct(F.transform(gone, top)), lambda p: F.struct(p.alias("path"), F.lit("null").alias("text")))
-    found = F.when(whole, F.col("b")).otherwise(F.concat(F.filter(fresh, lambda x: ~lost(x)), nulls))
-    return sides.select(*keys, F.coalesce(json_of(found), F.lit("{}")).alias(name), (whole | ~F.exists(fresh, lost)).alias("exact"))
+    gone = F.filter("__old", lambda x: (F.size(x["path"]) > 0) & ~F.exists("b", lambda y: _begins(x["path"], y["path"]) | (_begins(y["path"], x["path"]) & (y["text"] != "{}"))))
+    made = sides.select(*keys, "b", whole.alias("__whole"), fresh.alias("__fresh"), F.array_distinct(F.transform(gone, top)).alias("__gone"))
+    nulls = F.transform("__gone", lambda p: F.struct(p.alias("path"), F.lit("null").alias("text")))
+    found = F.when(F.col("__whole"), F.col("b")).otherwise(F.concat(F.filter("__fresh", lambda x: ~lost(x)), nulls))
+    result = made.select(*keys, found.alias("__found"), (F.col("__whole") | ~F.exists("__fresh", lost)).alias("exact"))
+    return result.select(*keys, F.coalesce(json_of(F.col("__found")), F.lit("{}")).alias(name), "exact")
 
 
 def rewrite_strings(rows: DataFrame, keys: list[str], payload: str, renamed: DataFrame) -> DataFrame:

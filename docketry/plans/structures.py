@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairing, trees
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 
 def _records(spark, sf_dir):
     """Orders as nested records, and the newer state of each."""
-    o = table(spark, sf_dir, "orders")
+    # Orders are few bytes each, so a file of millions is read by one task or a few.
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), "o_orderkey", heavy=True)
     k = F.col("o_orderkey")
     deal = F.struct(F.col("o_orderstatus").alias("state"), k.alias("total"))
     old = F.struct(F.struct(F.struct(deal.alias("deal"), F.col("o_custkey").alias("number")).alias("a")).alias("order"), F.struct(F.lit(1).alias("page"), F.array(k, k + 1).alias("parts")).alias("sheet"))

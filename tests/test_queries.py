@@ -23,7 +23,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["best_dates", "reference_votes", "record_changes"])
+@pytest.mark.parametrize("name", ["best_dates", "reference_votes", "record_changes", "patched_records"])
 def test_tasks_do_not_grow_with_the_lines(spark, sf_dir, duck, same, name, monkeypatch):
     """Few rows a task allowed: more partitions than the session's, the same result."""
     monkeypatch.setattr(tables, "ROWS_A_TASK", 500)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ def greedy_pairs(edges: DataFrame, a: str, b: str, order: list[str]) -> DataFram
     many rounds as the longest chain of edges each of which waits for the next.
     """
     rank = F.struct(*[F.col(c) for c in order], F.least(a, b).alias("__low"), F.greatest(a, b).alias("__high"))
-    left = Held(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).withColumn("__rank", rank))
+    # Held until the application ends: the result reads the edges again, and their making may be a long way.
+    every_edge = left = Held(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).withColumn("__rank", rank))
     taken: list[Held] = []
     while not left.rows.isEmpty():
         ends = left.rows.select(F.explode(F.array(a, b)).alias("__end"), "__rank").groupBy("__end").agg(F.min("__rank").alias("__first"))
@@ -29,21 +33,47 @@ def greedy_pairs(edges: DataFrame, a: str, b: str, order: list[str]) -> DataFram
         gone = firsts.rows.select(F.explode(F.array("__rank.__low", "__rank.__high")).alias("__end"))
         rest = left.rows.join(gone.withColumnRenamed("__end", a), a, "left_anti").join(gone.withColumnRenamed("__end", b), b, "left_anti")
         further = Held(rest.select(*left.rows.columns))
-        left.drop()
+        if left is not every_edge:
+            left.drop()
         left = further
-    kept = edges.withColumn("__rank", rank)
     if not taken:
-        return edges.limit(0)
+        return every_edge.rows.drop("__rank")
     every = taken[0].rows
     for t in taken[1:]:
         every = every.union(t.rows)
-    return kept.join(every, "__rank", "left_semi").drop("__rank").dropDuplicates([a, b])
+    return every_edge.rows.join(every, "__rank", "left_semi").drop("__rank").dropDuplicates([a, b])
+
+
+def greedy_pairs_within(edges: DataFrame, group: str, a: str, b: str, order: list[str], columns: list[str]) -> DataFrame:
+    """``greedy_pairs`` where no edge leaves its group (a page): one shuffle and one pass over each group's edges in order.
+
+    Returns the group, both ends and ``columns``.  A group's ends are held
+    while it is passed, so groups must be small.
+    """
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used = None, set()
+        for batch in batches:
+            out = []
+            for i, (key, one, other) in enumerate(zip(batch[group], batch[a], batch[b])):
+                if key != at:
+                    at, used = key, set()
+                if one not in used and other not in used:
+                    used.update((one, other))
+                    out.append(i)
+            yield batch.iloc[out]
+
+    known = edges.filter(F.col(group).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    ordered = known.repartition(F.xxhash64(group)).sortWithinPartitions(group, *order, F.least(a, b), F.greatest(a, b)).select(group, a, b, *columns)
+    return ordered.mapInPandas(take, ordered.schema)
 
 
 # When two regions are halves of one round stamp, and how far their union is widened.
 HALF_WIDTH, HALF_HEIGHT = (0.09, 0.24), (0.065, 0.15)
 WIDTHS_ALIKE, HEIGHTS_ALIKE, SIDE_BY_SIDE, CENTRES_ACROSS = 0.88, 0.80, 0.82, 0.15
 CENTRES_DOWN, COMMON_HEIGHT = (0.48, 0.78), (0.20, 0.55)
+# The measures of a region that its other half takes over.
+BOX = ("x", "y", "width", "height", "pixel_ratio")
 PAD_X, PAD_X_AT_EDGE, EDGE, PAD_Y = 0.018, 0.04, 0.90, 0.010
 
 
@@ -62,7 +92,7 @@ def _alike(size: str) -> Column:
 
 
 def halves(regions: DataFrame, page: str, id_: str) -> DataFrame:
-    """Pairs of regions on a page that may be halves of one stamp: page, first, second, score and the first's place.
+    """Pairs of regions on a page that may be halves of one stamp: page, first, second, score, their places and the second's measures.
 
     Regions have x, y, width, height (shares of the page), color and role; the
     first of a pair is the one that begins higher, then further left.
@@ -78,7 +108,7 @@ def halves(regions: DataFrame, page: str, id_: str) -> DataFrame:
         & within(_apart("y", "height"), CENTRES_DOWN) & within(_common("y", "height"), COMMON_HEIGHT)
     )
     score = _common("x", "width") + _alike("width") + _alike("height") - _apart("x", "width")
-    return a.join(b, fits).select(F.col(f"a.{page}").alias(page), F.col(f"a.{id_}").alias("first"), F.col(f"b.{id_}").alias("second"), score.alias("score"), F.col("a.__place").alias("place"), F.col("b.__place").alias("after"))
+    return a.join(b, fits).select(F.col(f"a.{page}").alias(page), F.col(f"a.{id_}").alias("first"), F.col(f"b.{id_}").alias("second"), score.alias("score"), F.col("a.__place").alias("place"), F.col("b.__place").alias("after"), *[F.col(f"b.{c}").alias(f"__{c}") for c in BOX])
 
 
 def join_halves(regions: DataFrame, page: str, id_: str) -> DataFrame:
@@ -87,10 +117,11 @@ def join_halves(regions: DataFrame, page: str, id_: str) -> DataFrame:
     The first in reading order takes the best later half that is free, ties by
     place.  ``id_`` tells regions apart across pages.
     """
-    pairs = greedy_pairs(halves(regions, page, id_).withColumn("worse", -F.col("score")), "first", "second", ["place", "worse", "after"]).select("first", "second")
-    other = regions.select(F.col(id_).alias("second"), *[F.col(c).alias(f"__{c}") for c in ("x", "y", "width", "height", "pixel_ratio")])
-    joined = regions.join(pairs.withColumnRenamed("first", id_), id_, "left").join(other, "second", "left")
-    joined = joined.join(pairs.select(F.col("second").alias(id_)), id_, "left_anti")
+    measures = [f"__{c}" for c in BOX]
+    pairs = greedy_pairs_within(halves(regions, page, id_).withColumn("worse", -F.col("score")), page, "first", "second", ["place", "worse", "after"], measures)
+    # A pair's row stands for both ends, so regions are joined once: the first gets the second's measures, the second goes.
+    ends = pairs.select(F.col(page).alias("__page"), F.explode(F.array("first", "second")).alias("__id"), "first", "second", *measures)
+    joined = regions.join(ends, (F.col(page) == F.col("__page")) & (F.col(id_) == F.col("__id")), "left").filter(F.col("__id").isNull() | (F.col("__id") == F.col("first")))
     two = F.col("second").isNotNull()
     left, top = F.least("x", "__x"), F.least("y", "__y")
     right, bottom = F.greatest(F.col("x") + F.col("width"), F.col("__x") + F.col("__width")), F.greatest(F.col("y") + F.col("height"), F.col("__y") + F.col("__height"))

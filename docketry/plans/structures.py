@@ -59,7 +59,8 @@ def human_marks(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
 
 
 def greedy_partners(spark, sf_dir):

@@ -207,3 +207,19 @@ def test_slope_needs_more_than_one_value(spark):
     dealt = frame.rdd.zipWithIndex().map(lambda r: (r[1] // 7 % 4, r[0])).partitionBy(4, int).values().toDF(frame.schema)
     got = {r["k"]: r["s"] for r in dealt.groupBy("k").agg(measures.slope(F.col("y"), F.col("x")).alias("s")).collect()}
     assert got["one"] is None and got["null"] is None and abs(got["two"] - 2) < 1e-12
+
+
+def test_greedy_pairs_within_groups(spark):
+    import random
+
+    from docketry.operators import pairing
+
+    r = random.Random(5)
+    edges = [(g, a, b, r.randrange(3), a * b) for g in range(40) for a in range(8) for b in range(a + 1, 8) if r.random() < 0.4] + [(1, 2, 2, 0, 0), (None, 1, 2, 0, 0), (2, None, 3, 0, 0)]
+    want, used = set(), set()
+    for g, a, b, w, n in sorted((e for e in edges if None not in e[:3] and e[1] != e[2]), key=lambda e: (e[0], e[3], e[1], e[2])):
+        if not {(g, a), (g, b)} & used:
+            used |= {(g, a), (g, b)}
+            want.add((g, a, b, n))
+    frame = spark.createDataFrame(edges, "g int, a int, b int, w int, n int")
+    assert {tuple(x) for x in pairing.greedy_pairs_within(frame, "g", "a", "b", ["w"], ["n"]).collect()} == want

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -29,6 +29,11 @@ def slope(header: Column, window: WindowSpec | None = None) -> Column:
     return F.when(over(F.count(F.when(header, 1))) >= 3, bounded).otherwise(0.0)
 
 
+def _numbers(batch: pa.RecordBatch, column: str) -> list[float]:
+    """A column's numbers, NaN for null."""
+    return batch.column(column).to_numpy(zero_copy_only=False).tolist()
+
+
 def lines(boxes: DataFrame, page: str, tolerance: float = 0.0075, share: float = 0.75) -> DataFrame:
     """Add ``line``: boxes by rising centre join the open line while they lie within the tolerance of its running mean, else open the next (WIN-19).
 
@@ -36,13 +41,15 @@ def lines(boxes: DataFrame, page: str, tolerance: float = 0.0075, share: float =
     height.  Ties go by x, then text.
     """
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, mean, n, line = None, 0.0, 0, 0
+    schema = boxes.withColumn("line", F.lit(0)).schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mean, n, line = None, 0.0, 0, -1
         for batch in batches:
             out = []
-            for key, y, h in zip(batch[page], batch["y"], batch["height"]):
+            for key, y, h in zip(batch.column(page).to_pylist(), _numbers(batch, "y"), _numbers(batch, "height")):
                 centre = y + h / 2
-                if key != at:
+                if line < 0 or key != at:
                     at, mean, n, line = key, centre, 1, 0
                 elif abs(centre - mean) > max(tolerance, share * h):
                     mean, n, line = centre, 1, line + 1
@@ -50,12 +57,13 @@ def lines(boxes: DataFrame, page: str, tolerance: float = 0.0075, share: float =
                     n += 1
                     mean += (centre - mean) / n
                 out.append(line)
-            yield batch.assign(line=pd.Series(out, dtype="int32", index=batch.index))
+            # Texts and other columns pass as they are.
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()) if c == "line" else batch.column(c) for c in schema.names], names=schema.names)
 
     # Pages lie together and in order, so one pass with a little state is enough.  They are dealt by a hash of the page:
     # where boxes are a union of tables that are dealt by page already, adaptive execution would leave out the exchange.
     ordered = boxes.repartition(F.xxhash64(page)).sortWithinPartitions(page, F.col("y") + F.col("height") / 2, "x", "text")
-    return ordered.mapInPandas(number, boxes.withColumn("line", F.lit(0)).schema)
+    return ordered.mapInArrow(number, schema)
 
 
 def columns(boxes: DataFrame, edges: Sequence[tuple[str, float]]) -> DataFrame:
@@ -108,20 +116,26 @@ def page_type(boxes: DataFrame, page: str, keywords: dict[str, list[str]], least
 def suppress_overlaps(boxes: DataFrame, page: str, most: float = 0.1) -> DataFrame:
     """Boxes kept by falling confidence unless they share more than ``most`` (intersection over union) with one kept before (IMG-03, JOIN-27)."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, kept = None, []
         for batch in batches:
             out = []
-            for i, (key, x, y, w, h) in enumerate(zip(batch[page], batch["x"], batch["y"], batch["width"], batch["height"])):
+            for key, x, y, w, h in zip(batch.column(page).to_pylist(), *[_numbers(batch, c) for c in ("x", "y", "width", "height")]):
                 if key != at:
                     at, kept = key, []
-                shared = ((max(0.0, min(x + w, a + c) - max(x, a)) * max(0.0, min(y + h, b + d) - max(y, b)), w * h + c * d) for a, b, c, d in kept)
-                if all(s <= most * (total - s) for s, total in shared):
-                    kept.append((x, y, w, h))
-                    out.append(i)
-            yield batch.iloc[out]
+                right, bottom, area = x + w, y + h, w * h
+                for a, b, c, d, other in kept:
+                    # Most boxes lie apart, which four comparisons tell.
+                    shared = (min(right, c) - max(x, a)) * (min(bottom, d) - max(y, b)) if a < right and x < c and b < bottom and y < d else 0.0
+                    if not shared <= most * (area + other - shared):
+                        out.append(False)
+                        break
+                else:
+                    kept.append((x, y, right, bottom, area))
+                    out.append(True)
+            yield batch.filter(pa.array(out, pa.bool_()))
 
-    return boxes.repartition(page).sortWithinPartitions(page, F.desc("confidence"), "x", "y").mapInPandas(keep, boxes.schema)
+    return boxes.repartition(page).sortWithinPartitions(page, F.desc("confidence"), "x", "y").mapInArrow(keep, boxes.schema)
 
 
 def band_pairs(left: DataFrame, right: DataFrame, page: str, reach: float) -> DataFrame:

@@ -55,7 +55,7 @@ def band_join(spark, sf_dir):
 
 def overlaps(spark, sf_dir):
     """Boxes of a page that survive the suppression of overlapping ones (IMG-03)."""
-    b = _printed(spark, sf_dir).filter("y > 0.25").withColumn("height", F.lit(0.03))
+    b = _printed(spark, sf_dir).filter("y > 0.25").select("page", "x", "y", "width", F.lit(0.03).alias("height"), "confidence")
     return boxes.suppress_overlaps(b, "page").groupBy("page").agg(F.count("*").alias("kept"))
 
 

@@ -82,3 +82,13 @@ def test_similarity_columns(spark):
     assert (got[0]["c"], got[0]["n"]) == (0.75, 3)
     assert got[1]["r"] is None
     assert (got[2]["c"], got[2]["w"]) == (0.0, 0.0)
+
+
+def test_boxes_of_no_page_are_one_page(spark):
+    """Keys reach the passes as they are: a null among numbers isn't NaN, and large keys stay apart."""
+    rows = [(p, t, 0.1, y, 0.1, 0.01, c) for p in (None, 2**60, 2**60 + 1) for t, y, c in (("a", 0.1, 0.9), ("b", 0.5, 0.8), ("c", 0.501, 0.7))]
+    frame = spark.createDataFrame(rows, DDL)
+    lines = {(r["page"], r["text"]): r["line"] for r in boxes.lines(frame, "page").collect()}
+    kept = {(r["page"], r["text"]) for r in boxes.suppress_overlaps(frame, "page").collect()}
+    assert lines == {(p, t): n for p in (None, 2**60, 2**60 + 1) for t, n in (("a", 0), ("b", 1), ("c", 1))}
+    assert kept == {(p, t) for p in (None, 2**60, 2**60 + 1) for t in "ab"}

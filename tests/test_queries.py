@@ -2,6 +2,7 @@
 
 import pytest
 
+from docketry.operators import vectors
 from docketry.plans import registry
 from docketry.sources import tables
 
@@ -31,3 +32,11 @@ def test_tasks_do_not_grow_with_the_lines(spark, sf_dir, duck, same, name, monke
     result = registry.queries()[name](spark, sf_dir)
     assert result.rdd.getNumPartitions() >= 12
     same(result, duck.sql(registry.oracle_sql()[name]))
+
+
+def test_vectors_of_one_label_are_dealt(spark, sf_dir, duck, same, monkeypatch):
+    """Each label's gallery in shares: joined by label and share, the same neighbours."""
+    monkeypatch.setattr(vectors, "HEAVY_ROWS_A_TASK", 30)
+    result = registry.queries()["knn_ratio_test"](spark, sf_dir)
+    assert "__share" in result._jdf.queryExecution().optimizedPlan().toString()
+    same(result, duck.sql(registry.oracle_sql()["knn_ratio_test"]))

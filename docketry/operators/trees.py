@@ -31,18 +31,22 @@ def depth(payload: Column) -> Column:
     return F.aggregate(brackets, start, step, lambda at: at["most"])
 
 
+def deepest(rows: DataFrame, payload: str) -> int:
+    """How deep the deepest of the records is; one pass over them."""
+    shapes = rows.groupBy(shape(F.col(payload)).alias("__shape")).agg(F.count("*").alias("__n"))
+    return shapes.agg(F.max(depth(F.col("__shape"))), F.sum("__n")).first()[0] or 0  # without the sum the optimizer drops the grouping
+
+
 def leaves(rows: DataFrame, keys: list[str], payload: str, arrays: bool = True) -> DataFrame:
     """The leaves of each record: the keys, path and value (a variant); arrays are leaves unless ``arrays``.
 
     Null payloads and text that isn't JSON have none.  One pass finds how deep
     the records' shapes are; then each level is one generator, and nothing is shuffled.
     """
-    shapes = rows.groupBy(shape(F.col(payload)).alias("__shape")).agg(F.count("*").alias("__n"))
-    deepest = shapes.agg(F.max(depth(F.col("__shape"))), F.sum("__n")).first()[0] or 0  # without the sum the optimizer drops the grouping
     out = rows.select(*keys, F.array().cast(_NO_STEPS).alias("path"), F.try_parse_json(payload).alias("value")).filter("value is not null")
     # Scalars and what is empty have nothing to enter, so only arrays that aren't empty need telling apart.
     entered = F.lit(True) if arrays else F.try_variant_get("value", "$[0]", "variant").isNull()
-    for _ in range(deepest):
+    for _ in range(deepest(rows, payload)):
         inner = out.withColumn("__node", F.when(entered, F.col("value")))
         members = rows.sparkSession.tvf.variant_explode_outer(F.col("__node").outer()).toDF("__pos", "__key", "__value")
         step = F.when(F.col("__key").isNotNull(), F.concat(F.lit("."), "__key")).otherwise(F.concat(F.lit("["), F.lpad(F.col("__pos").cast("string"), 10, "0")))
@@ -118,6 +122,37 @@ def _begins(path: Column, other: Column) -> Column:
     return (F.size(path) <= F.size(other)) & (F.slice(other, F.lit(1), F.size(path)) == path)
 
 
+# Fixed value: levels of objects that are gone through within a row. Spark resolves functions inside functions level by level, at most 100 times.
+IN_ROW = 8
+
+
+def _by_depth(rows: DataFrame, payload: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows whose payload has at most ``IN_ROW`` levels, the others (None if there are none) and how many levels the first have at most."""
+    deep = deepest(rows, payload)
+    if deep <= IN_ROW:
+        return rows, None, deep
+    far = F.coalesce(depth(shape(F.col(payload))) > IN_ROW, F.lit(False))
+    return rows.filter(~far), rows.filter(far), IN_ROW
+
+
+def _members(value: Column) -> Column:
+    """A variant's members by name if it is an object, else null."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _patched(target: Column, patch: Column, deep: int) -> Column:
+    """A variant with a patch of at most ``deep`` objects in each other applied; a missing target is an empty object."""
+    if deep == 0:
+        return patch
+
+    def member(_, p: Column, t: Column) -> Column:
+        return F.when(p.isNull(), t).when(~F.is_variant_null(p), _patched(t, p, deep - 1))
+
+    # The patch stands first: where it isn't an object, the target isn't looked at.
+    both = F.map_zip_with(_members(patch), F.coalesce(_members(target), F.create_map().cast("map<string,variant>")), member)
+    return F.coalesce(F.to_variant_object(F.map_filter(both, lambda _, value: value.isNotNull())), patch)
+
+
 def _parent(path: Column) -> Column:
     return F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
 
@@ -128,8 +163,21 @@ def merge_patch(rows: DataFrame, keys: list[str], target: str, patch: str, name:
     Members of the patch replace those of the target, objects are merged to any
     depth, null members are removed, and arrays are replaced as a whole.
     Members come out in the order of their names.  A missing patch changes
-    nothing, and records without a target start from an empty object.
+    nothing, records without a target start from an empty object, and those
+    without either are left out.  One pass finds how deep the patches are; then
+    each record is merged within its row, and nothing is shuffled.  Only records
+    with patches of more than ``IN_ROW`` levels are taken apart into leaves.
     """
+    near, far, deep = _by_depth(rows, patch)
+    t, p = F.col("__target"), F.col("__patch")
+    values = near.select(*keys, F.try_parse_json(target).alias("__target"), F.try_parse_json(patch).alias("__patch"))
+    merged = F.to_json(F.when(p.isNull(), t).otherwise(_patched(t, p, deep)))
+    out = values.select(*keys, F.explode(F.array_compact(F.array(merged))).alias(name))  # a filter would make the text twice
+    return out if far is None else out.unionByName(_merge_leaves(far, keys, target, patch, name))
+
+
+def _merge_leaves(rows: DataFrame, keys: list[str], target: str, patch: str, name: str) -> DataFrame:
+    """What ``merge_patch`` gives, from the leaves of both sides, for patches of any depth."""
     is_null = lambda x: (x["text"] == "null") & (F.size(x["path"]) > 0)
     is_open = lambda x: x["text"] == "{}"
     sides = _two_sides(rows, keys, target, patch)

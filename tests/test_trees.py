@@ -57,6 +57,27 @@ def test_merge_patch(spark):
         assert got[i] == merged(t, p), (t, p)
 
 
+def nested_objects(x, n):
+    for i in range(n):
+        x = {"k": x, "n": i}
+    return x
+
+
+@pytest.mark.parametrize("levels", [8, 1, 0])
+def test_patches_are_merged_within_their_rows(spark, monkeypatch, levels):
+    """Nothing is shuffled or taken apart, a repeated key is a row of its own; deeper patches give the same by their leaves."""
+    monkeypatch.setattr(trees, "IN_ROW", levels)
+    pairs = [({"a": {"b": 1, "c": [{"x": None}]}, "k": 1.50}, {"a": {"b": None}, "z": {"y": {"x": None}}}), ({"a": 1}, {"a": 2}), ({"a": 1}, {"b": {"c": {"d": {}}}}), (nested_objects({"z": 1}, 12), nested_objects({"y": 2, "n": None}, 12))]
+    rows = spark.createDataFrame([(i, json.dumps(t), json.dumps(p)) for i, (t, p) in enumerate(pairs)], "id int, t string, p string")
+    got = {x["id"]: x["merged"] for x in trees.merge_patch(rows, ["id"], "t", "p").collect()}
+    assert {i: json.loads(x) for i, x in got.items()} == {i: merged(t, p) for i, (t, p) in enumerate(pairs)}
+    assert got[0] == '{"a":{"c":[{"x":null}]},"k":1.5,"z":{"y":{}}}'
+    if levels == 8:
+        flat = trees.merge_patch(rows.filter("id < 3").unionByName(rows.filter("id = 1")), ["id"], "t", "p")
+        assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
+        assert sorted((x["id"], x["merged"]) for x in flat.collect()) == [(0, got[0]), (1, got[1]), (1, got[1]), (2, got[2])]
+
+
 def test_difference_brings_back_the_new_record(spark):
     r = random.Random(2)
     pairs = [(t, merged(t, p)) for t, p in RFC] + [(t := tree(r, 4), change(r, t)) for _ in range(150)] + [({"a": {"b": 1, "c": {"d": 2, "e": 3}}, "k": 1}, {"a": {"b": 1}, "k": 1})]

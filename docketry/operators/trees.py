@@ -192,12 +192,58 @@ def _merge_leaves(rows: DataFrame, keys: list[str], target: str, patch: str, nam
     return found.select(*keys, json_of(F.col("__found")).alias(name))
 
 
+def _written_anew(old: Column, new: Column, deep: int) -> Column:
+    """What a patch must hold to make ``old`` into ``new``, of at most ``deep`` objects in each other; null for nothing."""
+    other = F.when(~F.to_json(old).eqNullSafe(F.to_json(new)), new)
+    if deep == 0:
+        return other
+
+    def member(_, n: Column, o: Column) -> Column:
+        return F.when(n.isNull(), F.parse_json(F.lit("null"))).when(~F.is_variant_null(n), _written_anew(o, n, deep - 1))
+
+    both = F.map_zip_with(_members(new), F.coalesce(_members(old), F.create_map().cast("map<string,variant>")), member)
+
+    def written(m: Column) -> Column:
+        made = _members(old).isNull() & (F.size(_members(new)) == 0)  # an empty object where there was none
+        return F.when(m.isNull(), other).when(F.size(m) > 0, F.to_variant_object(m)).when(made, new)
+
+    # As a lambda's variable the map is made once.
+    return F.element_at(F.transform(F.array(F.map_filter(both, lambda _, value: value.isNotNull())), written), 1)
+
+
+def _can_be_patched(old: Column, new: Column, deep: int) -> Column:
+    """Whether ``new`` has no null member but where ``old`` has it too."""
+    if deep == 0:
+        return F.lit(True)
+
+    def holds(e: Column) -> Column:
+        was = F.try_element_at(_members(old), e["key"])
+        return F.when(F.is_variant_null(e["value"]), F.coalesce(F.is_variant_null(was), F.lit(False))).otherwise(_can_be_patched(was, e["value"], deep - 1))
+
+    return F.coalesce(F.forall(F.map_entries(_members(new)), holds), F.lit(True))
+
+
 def merge_diff(rows: DataFrame, keys: list[str], old: str, new: str, name: str = "patch") -> DataFrame:
     """The smallest merge patch that makes ``old`` into ``new``, and ``exact``: whether a merge patch can (JSN-05, REC-06).
 
     ``{}`` if nothing changes.  A null member that is new can't be expressed;
-    the patch then leaves it out.
+    the patch then leaves it out.  Each record is compared within its row, as in
+    ``merge_patch``; only those whose new side has more than ``IN_ROW`` levels
+    are taken apart into leaves.
     """
+    near, far, deep = _by_depth(rows, new)
+    o, n = F.col("__old"), F.col("__new")
+    values = near.select(*keys, F.col(new).alias("__text"), F.try_parse_json(old).alias("__old"), F.try_parse_json(new).alias("__new"))
+    to = F.coalesce(n, F.parse_json(F.lit("{}")))
+    patch = F.when(_members(to).isNull(), n).otherwise(_written_anew(o, to, max(deep, 1)))  # what is missing is an empty object
+    exact = F.when(F.contains("__text", F.lit("null")), _can_be_patched(o, n, deep)).otherwise(True)
+    result = F.struct(F.coalesce(F.to_json(patch), F.lit("{}")).alias(name), exact.alias("exact"))
+    out = values.select(*keys, F.inline(F.array_compact(F.array(F.when(o.isNotNull() | n.isNotNull(), result)))))
+    return out if far is None else out.unionByName(_diff_leaves(far, keys, old, new, name))
+
+
+def _diff_leaves(rows: DataFrame, keys: list[str], old: str, new: str, name: str) -> DataFrame:
+    """What ``merge_diff`` gives, from the leaves of both sides, for records of any depth."""
     # What both have needs no further look; each column is made once.
     sides = _two_sides(rows, keys, old, new).withColumns({"__old": F.array_except("a", "b"), "__new": F.array_except("b", "a")})
     inside = lambda leaves_, x: F.exists(leaves_, lambda y: (F.size(y["path"]) > F.size(x["path"])) & _begins(x["path"], y["path"]))

@@ -94,6 +94,22 @@ def test_difference_brings_back_the_new_record(spark):
     assert sum(e for _, e in patches.values()) > 100
 
 
+@pytest.mark.parametrize("levels", [8, 1, 0])
+def test_differences_are_found_within_their_rows(spark, monkeypatch, levels):
+    """Nothing is shuffled or taken apart; deeper records give the same by their leaves."""
+    r = random.Random(3)
+    pairs = [(x := tree(r, 4), change(r, x)) for _ in range(60)] + RFC + [(3, 3), ({"a": 5}, {"a": {"b": None}}), ({"a": 5}, {"a": {}}), ({"a": {"x": 1}}, {"a": {"b": None}}), ({"a": None}, {"a": None}), (nested_objects({"z": 1}, 12), nested_objects({"y": 2}, 12))]
+    rows = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(pairs)] + [(-1, None, None), (-2, '{"a":1}', "no json"), (-3, "no json", '{"b":{}}')], "id int, a string, b string")
+    want = {x["id"]: (x["patch"], x["exact"]) for x in trees._diff_leaves(rows, ["id"], "a", "b", "patch").collect()}
+    monkeypatch.setattr(trees, "IN_ROW", levels)
+    assert {x["id"]: (x["patch"], x["exact"]) for x in trees.merge_diff(rows, ["id"], "a", "b").collect()} == want
+    assert want[-2] == ('{"a":null}', True) and -1 not in want and False in {e for _, e in want.values()}
+    if levels == 8:
+        flat = trees.merge_diff(rows.filter(f"id < {len(pairs) - 1}").unionByName(rows.filter("id = -3")), ["id"], "a", "b")
+        assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
+        assert [x["patch"] for x in flat.filter("id = -3").collect()] == ['{"b":{}}'] * 2
+
+
 def test_missing_and_broken_records(spark):
     rows = spark.createDataFrame([(1, None, '{"a":1}'), (2, '{"a":1}', None), (3, "no json", '{"b":{}}'), (4, None, None)], "id int, t string, p string")
     assert {x["id"]: x["merged"] for x in trees.merge_patch(rows, ["id"], "t", "p").collect()} == {1: '{"a":1}', 2: '{"a":1}', 3: '{"b":{}}'}

@@ -66,6 +66,31 @@ def lines(boxes: DataFrame, page: str, tolerance: float = 0.0075, share: float =
     return ordered.mapInArrow(number, schema)
 
 
+def lines_of_pages(boxes: DataFrame, page: str, tolerance: float = 0.0075, share: float = 0.75) -> DataFrame:
+    """The lines of ``lines``, one a row: page, ``line``, and ``boxes``, an array of its boxes in order.
+
+    A page's boxes have to fit in a row.  For that, boxes that are dealt by page
+    aren't shuffled, and what follows may group by page without a shuffle too.
+    """
+    rest = [c for c in boxes.columns if c not in (page, "x", "text")]
+    box = F.struct((F.col("y") + F.col("height") / 2).alias("__centre"), "x", "text", *rest)
+    pages = boxes.groupBy(page).agg(F.sort_array(F.collect_list(box)).alias("__boxes"))
+    state = lambda mean, n, at, starts: F.struct(mean.alias("mean"), n.alias("n"), at.alias("at"), starts.alias("starts"))
+
+    def step(opened: Column, b: Column) -> Column:
+        mean, n, at, starts = (opened[c] for c in ("mean", "n", "at", "starts"))
+        off = b["__centre"] - mean
+        apart = F.coalesce(F.abs(off) > F.greatest(F.lit(tolerance), share * b["height"]), F.lit(False))
+        return F.when((at == 0) | apart, state(b["__centre"], F.lit(1), at + 1, F.concat(starts, F.array(at)))).otherwise(state(mean + off / (n + 1), n + 1, at + 1, starts))
+
+    # Where each line begins, from 0.
+    starts = F.aggregate("__boxes", state(F.lit(0.0), F.lit(0), F.lit(0), F.expr("cast(array() as array<int>)")), step, lambda s: s["starts"])
+    end = lambda i: F.coalesce(F.try_element_at("__starts", i + 2), F.size("__boxes"))
+    cut = F.transform("__starts", lambda start, i: F.slice("__boxes", start + 1, end(i) - start))
+    # No page is without boxes; but for plain explode, Spark would infer a filter that works out the lines once more.
+    return pages.withColumn("__starts", starts).select(page, F.posexplode_outer(cut).alias("line", "boxes"))
+
+
 def columns(boxes: DataFrame, edges: Sequence[tuple[str, float]]) -> DataFrame:
     """Add ``column``: the last whose left edge isn't right of the box's centre; null left of all (TBF-04)."""
     centre = F.col("x") + F.col("width") / 2

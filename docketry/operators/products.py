@@ -29,26 +29,25 @@ def levelled(boxes: DataFrame, page: str) -> DataFrame:
     The header is the line of column names around the highest box that has the
     first one's name; fewer than three names leave the page as it is.
     """
-    text = F.regexp_replace("text", _SPACE, "")
-    named = F.lit(False)
+    text, named = F.col("__tight"), F.lit(False)
     for name, _ in COLUMNS:
         named = named | text.contains(name)
     # Windows of one page, so the boxes are shuffled once and nothing is joined to them again.
     w = Window.partitionBy(page)
     top = F.min(F.when(text.contains(NUMBER), F.col("y"))).over(w)
-    marked = boxes.withColumn("__header", F.col(page).isNotNull() & F.coalesce(named & (F.abs(F.col("y") - top) <= HEADER_REACH), F.lit(False)))
+    marked = boxes.withColumn("__tight", F.regexp_replace("text", _SPACE, "")).withColumn("__header", F.col(page).isNotNull() & F.coalesce(named & (F.abs(F.col("y") - top) <= HEADER_REACH), F.lit(False)))
     tilted = marked.withColumn("slope", plain.slope(F.col("__header"), w)).withColumn("y", F.col("y") - F.col("slope") * (F.col("x") + F.col("width") / 2))
     return tilted.select(*boxes.columns)
 
 
-def assigned(boxes: DataFrame) -> DataFrame:
-    """A row for each cell that a box belongs to: column, and its own text, x and width (TBF-04).
+def _split(boxes: DataFrame) -> DataFrame:
+    """Add ``__cells``: the cells that a box belongs to, their column, text, x and width (TBF-04).
 
     A box is split in two at the edge that it crosses if it is a material that
     ends in a capacity, followed by a grade, or two decimals of three places.
-    Others belong to the column of their centre; boxes right of all go.
+    Others belong to the column of their centre; boxes right of all have none.
     """
-    text, right = F.regexp_replace("text", _SPACE, ""), F.col("x") + F.col("width")
+    text, right = F.col("__tight"), F.col("x") + F.col("width")
     edges = dict(COLUMNS)
     crosses = lambda edge: (F.col("x") < edge) & (right > edge)
 
@@ -60,9 +59,15 @@ def assigned(boxes: DataFrame) -> DataFrame:
     centre = F.col("x") + F.col("width") / 2
     own = F.coalesce(*[F.when(centre >= edge, F.lit(name)) for name, edge in reversed(COLUMNS)])
     whole = F.array(F.struct(F.when((centre < RIGHT_EDGE) & (centre >= 0), own).alias("column"), F.col("text").alias("text"), F.col("x").alias("x"), F.col("width").alias("width")))
-    cells = F.when(text.rlike(MATERIAL_AND_GRADE) & crosses(edges[GRADE]), halves(MATERIAL_AND_GRADE, MATERIAL, GRADE)).when(text.rlike(TWO_DECIMALS) & crosses(edges[VOLUME]), halves(TWO_DECIMALS, WEIGHT, VOLUME)).otherwise(whole)
+    # A box that crosses no edge isn't held against the patterns.
+    cells = F.when(crosses(edges[GRADE]) & text.rlike(MATERIAL_AND_GRADE), halves(MATERIAL_AND_GRADE, MATERIAL, GRADE)).when(crosses(edges[VOLUME]) & text.rlike(TWO_DECIMALS), halves(TWO_DECIMALS, WEIGHT, VOLUME)).otherwise(whole)
+    return boxes.withColumn("__tight", F.regexp_replace("text", _SPACE, "")).withColumn("__cells", cells).drop("__tight")
+
+
+def assigned(boxes: DataFrame) -> DataFrame:
+    """A row for each cell that a box belongs to: column, and its own text, x and width (TBF-04)."""
     rest = [c for c in boxes.columns if c not in ("text", "x", "width")]
-    return boxes.select(*rest, F.explode(cells).alias("__cell")).select(*rest, "__cell.*").filter("column is not null")
+    return _split(boxes).select(*rest, F.explode("__cells").alias("__cell")).select(*rest, "__cell.*").filter("column is not null")
 
 
 def repaired(column: Column, value: Column) -> Column:
@@ -97,26 +102,44 @@ def rated(column: Column, value: Column, weighted: Column, letters: Column) -> C
     return F.when(joined == "", 0.0).otherwise(F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 3))
 
 
-def product_cells(boxes: DataFrame, page: str) -> DataFrame:
-    """The cells of the product tables: page, line, column, original and repaired value, and confidence (TBF-03, TBF-04, TBF-13).
+def _product_lines(boxes: DataFrame, page: str) -> DataFrame:
+    """One row per line of a page: for each column i its cell's original text o<i> (null if there is none), value v<i> and confidence c<i>.
 
     Boxes are levelled, put on lines and assigned to columns; the texts of one
     cell are joined from left to right.  Boxes without a letter or digit go.
+    Boxes are dealt by page in the first step; nothing is shuffled again.
     """
-    placed = assigned(plain.lines(levelled(boxes, page), page)).filter(F.col("text").rlike(r"[0-9A-Za-z一-鿿]"))
-    letters = F.greatest(F.length(F.trim("text")), F.lit(1))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text")))), lambda s: s["text"]), " ")
-    # Dealt by page, cells and then lines are grouped without further shuffles.
-    cells = placed.select(page, "line", "column", "x", "text", "confidence").repartition(page).groupBy(page, "line", "column").agg(joined.alias("original"), F.sum(F.col("confidence") * letters).alias("__w"), F.sum(letters).alias("__n"))
-    fixed = cells.withColumn("value", repaired(F.col("column"), F.col("original")))
-    return fixed.select(page, "line", "column", "original", "value", rated(F.col("column"), F.col("value"), F.col("__w"), F.col("__n")).alias("confidence"), (F.col("value") != F.col("original")).alias("repaired"))
+    split = _split(levelled(boxes, page)).select(page, "x", "y", "height", "text", "confidence", "__cells")
+    found = plain.lines_of_pages(split, page).select(page, "line", F.flatten(F.transform("boxes", lambda b: F.transform(b["__cells"], lambda c: F.struct(c["column"].alias("column"), c["x"].alias("x"), F.trim(c["text"]).alias("text"), b["confidence"].alias("confidence"))))).alias("__cells"))
+    found = found.withColumn("__cells", F.filter("__cells", lambda c: c["text"].rlike(r"[0-9A-Za-z一-鿿]")))
+    numbers = range(len(COLUMNS))
+    # A column's own expressions are simpler than those of any column, and aren't made twice where they stand in a select of their own.
+    of = lambda name: F.sort_array(F.filter("__cells", lambda c: c["column"] == name))
+    own = found.select(page, "line", *[of(name).alias(f"p{i}") for i, (name, _) in enumerate(COLUMNS)])
+    letters = lambda c: F.greatest(F.length(c["text"]), F.lit(1))
+    total = lambda i, what, zero: F.aggregate(f"p{i}", zero, lambda s, c: s + what(c))
+    joined = [F.when(F.size(f"p{i}") > 0, F.array_join(F.transform(f"p{i}", lambda c: c["text"]), " ")).alias(f"o{i}") for i in numbers]
+    weights = [total(i, lambda c: c["confidence"] * letters(c), F.lit(0.0)).alias(f"w{i}") for i in numbers]
+    texts = own.select(page, "line", *joined, *weights, *[total(i, letters, F.lit(0)).alias(f"n{i}") for i in numbers])
+    fixed = texts.select("*", *[F.when(F.col(f"o{i}").isNotNull(), repaired(F.lit(name), F.col(f"o{i}"))).alias(f"v{i}") for i, (name, _) in enumerate(COLUMNS)])
+    return fixed.select(page, "line", *[f"o{i}" for i in numbers], *[f"v{i}" for i in numbers], *[F.when(F.col(f"o{i}").isNotNull(), rated(F.lit(name), F.col(f"v{i}"), F.col(f"w{i}"), F.col(f"n{i}"))).alias(f"c{i}") for i, (name, _) in enumerate(COLUMNS)])
+
+
+def product_cells(boxes: DataFrame, page: str) -> DataFrame:
+    """The cells of the product tables: page, line, column, original and repaired value, and confidence (TBF-03, TBF-04, TBF-13)."""
+    cells = [F.struct(F.lit(name).alias("column"), F.col(f"o{i}").alias("original"), F.col(f"v{i}").alias("value"), F.col(f"c{i}").alias("confidence"), (F.col(f"v{i}") != F.col(f"o{i}")).alias("repaired")) for i, (name, _) in enumerate(COLUMNS)]
+    return _product_lines(boxes, page).select(page, "line", F.explode(F.array(*cells)).alias("c")).select(page, "line", "c.*").filter("original is not null")
 
 
 def product_table(boxes: DataFrame, page: str, least_cells: int = 2) -> DataFrame:
     """One row per line that has a number of one to four digits and ``least_cells`` more cells; the columns as a map, and its text (STR-22)."""
-    cells = product_cells(boxes, page)
-    values = F.map_from_entries(F.collect_list(F.struct("column", "value")))
-    rows = cells.groupBy(page, "line").agg(values.alias("cells"), F.round(F.sum("confidence") / len(COLUMNS), 3).alias("confidence"))
-    named = lambda c: F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit(""))
-    filled = sum(((named(c) != "").cast("int") for c, _ in COLUMNS if c != NUMBER), F.lit(0))
-    return rows.filter(named(NUMBER).rlike("^[0-9]{1,4}$") & (filled >= least_cells)).select(page, "line", "cells", F.array_join(F.array(*[named(c) for c, _ in COLUMNS]), " | ").alias("text"), "confidence")
+    numbers = range(len(COLUMNS))
+    named = [F.coalesce(F.col(f"v{i}"), F.lit("")) for i in numbers]
+    cells = F.map_from_entries(F.filter(F.array(*[F.when(F.col(f"o{i}").isNotNull(), F.struct(F.lit(name).alias("key"), F.col(f"v{i}").alias("value"))) for i, (name, _) in enumerate(COLUMNS)]), lambda c: c.isNotNull()))
+    confidence = F.round(sum((F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in numbers), F.lit(0.0)) / len(COLUMNS), 3)
+    at = [name for name, _ in COLUMNS].index(NUMBER)
+    filled = sum(((named[i] != "").cast("int") for i in numbers if i != at), F.lit(0))
+    kept = named[at].rlike("^[0-9]{1,4}$") & (filled >= least_cells)
+    row = F.struct(cells.alias("cells"), F.array_join(F.array(*named), " | ").alias("text"), confidence.alias("confidence"))
+    # A filter on the values would be pushed down to where they are made, and make them twice.
+    return _product_lines(boxes, page).select(page, "line", F.explode_outer(F.when(kept, F.array(row))).alias("r")).filter("r is not null").select(page, "line", "r.*")

@@ -92,3 +92,14 @@ def test_boxes_of_no_page_are_one_page(spark):
     kept = {(r["page"], r["text"]) for r in boxes.suppress_overlaps(frame, "page").collect()}
     assert lines == {(p, t): n for p in (None, 2**60, 2**60 + 1) for t, n in (("a", 0), ("b", 1), ("c", 1))}
     assert kept == {(p, t) for p in (None, 2**60, 2**60 + 1) for t in "ab"}
+
+
+def test_lines_of_pages_are_those_of_lines(spark):
+    rng = random.Random(3)
+    pages = [rng.choice([1, 2, 3, None]) for _ in range(200)]
+    # A box without a place comes first and keeps its page's line open.
+    rows = [(p, f"{i}", rng.random(), rng.choice([rng.random() / 3, 0.2, *[None] * (p == 3)]), 0.1, rng.choice([0.01, 0.03, *[None] * (p == 3)]), 0.5) for i, p in enumerate(pages)]
+    frame = spark.createDataFrame(rows, DDL)
+    want = {(r["page"], r["text"]): r["line"] for r in boxes.lines(frame, "page").collect()}
+    got = {(r["page"], b["text"]): r["line"] for r in boxes.lines_of_pages(frame, "page").collect() for b in r["boxes"]}
+    assert got == want and max(got.values()) > 5

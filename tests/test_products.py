@@ -59,3 +59,11 @@ def test_pages_are_levelled_without_joins(spark):
     assert "Join" not in level._jdf.queryExecution().optimizedPlan().toString()
     rows = level.collect()
     assert len(rows) == len(made) and {round(r["y"], 6) for r in rows if r["page"] == 1} == {0.2999} and {r["y"] for r in rows if r["page"] != 1} == {0.3, 0.4}
+
+
+def test_boxes_are_not_shuffled(spark, sf_dir):
+    """The lines are dealt by page once, as numbers; boxes are made, put on lines and joined to cells where they are."""
+    from docketry.plans import pages
+
+    plan = pages.merged_tables(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1

@@ -1,5 +1,7 @@
 """Value tables of the expressions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,35 @@ def test_greedy_pairs_within_groups(spark):
             want.add((g, a, b, n))
     frame = spark.createDataFrame(edges, "g int, a int, b int, w int, n int")
     assert {tuple(x) for x in pairing.greedy_pairs_within(frame, "g", "a", "b", ["w"], ["n"]).collect()} == want
+
+
+def test_slopes_on_a_rounding_edge(spark, tmp_path):
+    """An order's exact slope is half a unit of the sixth decimal: it's rounded away from zero, however its rows are dealt."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from docketry.plans import analytics
+
+    half = lambda v, places: float(Decimal(repr(v)).quantize(Decimal(places), ROUND_HALF_UP))
+    rng, rows, want = random.Random(1), [], {}
+    while len(want) < 300:
+        x = rng.sample(range(1, 51), 5)
+        cents = rng.choice([-1, 1]) * (4950 + 10000 * rng.randrange(15))
+        y, (i, j, k), m = [5_000_000 + cents * (v - 25) for v in x], rng.sample(range(5), 3), rng.randrange(-30000, 30000)
+        # What is added has no slope of its own.
+        for at, by in ((i, x[j] - x[k]), (j, x[k] - x[i]), (k, x[i] - x[j])):
+            y[at] += m * by
+        key = len(want)
+        rows += [(key, float(a), b / 100) for a, b in zip(x, y)]
+        want[key] = int(half(half(cents / 100 / 1e6, "0.000001") * 1e4, "1"))
+    for n, parts in enumerate((1, 7)):
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_extendedprice double").repartition(parts).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        assert {r["l_orderkey"]: r["slope_e4"] for r in analytics.skew_slope(spark, f"{tmp_path}/{n}").collect()} == want
+
+
+@pytest.mark.parametrize(("rows", "want"), [
+    ([(1.0, 2.0), (2.0, 4.0), (None, 9.0), (7.0, None)], 0.5), ([(1.0, 2.0), (5.0, 2.0)], None), ([(None, 1.0)], None), ([(1.005, 1.0), (1.015, 2.0)], 0.01), ([(3e12, 1.0), (5e12, 2.0)], 2e12), ([(0.1, 0.3), (0.2, 0.1)], -0.5), ([(float("inf"), 1.0), (2.0, 1.0)], None),
+])
+def test_slope_of_cents(spark, rows, want):
+    got = spark.createDataFrame(rows, "y double, x double").agg(measures.slope_of_cents(F.col("y"), F.col("x")).alias("s")).first()["s"]
+    assert got == want if want is None else abs(got - want) <= 1e-9 * abs(want)

@@ -119,7 +119,7 @@ def _product_lines(boxes: DataFrame, page: str) -> DataFrame:
     letters = lambda c: F.greatest(F.length(c["text"]), F.lit(1))
     total = lambda i, what, zero: F.aggregate(f"p{i}", zero, lambda s, c: s + what(c))
     joined = [F.when(F.size(f"p{i}") > 0, F.array_join(F.transform(f"p{i}", lambda c: c["text"]), " ")).alias(f"o{i}") for i in numbers]
-    weights = [total(i, lambda c: c["confidence"] * letters(c), F.lit(0.0)).alias(f"w{i}") for i in numbers]
+    weights = [total(i, lambda c: F.coalesce(c["confidence"] * letters(c), F.lit(0.0)), F.lit(0.0)).alias(f"w{i}") for i in numbers]
     texts = own.select(page, "line", *joined, *weights, *[total(i, letters, F.lit(0)).alias(f"n{i}") for i in numbers])
     fixed = texts.select("*", *[F.when(F.col(f"o{i}").isNotNull(), repaired(F.lit(name), F.col(f"o{i}"))).alias(f"v{i}") for i, (name, _) in enumerate(COLUMNS)])
     return fixed.select(page, "line", *[f"o{i}" for i in numbers], *[f"v{i}" for i in numbers], *[F.when(F.col(f"o{i}").isNotNull(), rated(F.lit(name), F.col(f"v{i}"), F.col(f"w{i}"), F.col(f"n{i}"))).alias(f"c{i}") for i, (name, _) in enumerate(COLUMNS)])

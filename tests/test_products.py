@@ -67,3 +67,10 @@ def test_boxes_are_not_shuffled(spark, sf_dir):
 
     plan = pages.merged_tables(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+
+
+def test_cells_of_several_boxes(spark):
+    """Texts of a cell go from left to right; a box without a confidence counts as zero, one without a text not at all."""
+    rows = [("10", 0.05, 0.33, 0.02, 0.9), ("b", 0.3, 0.33, 0.01, None), ("aaa", 0.25, 0.33, 0.01, 0.4), (None, 0.27, 0.33, 0.01, 0.9), ("；", 0.45, 0.33, 0.01, 0.9), ("x9", 0.5, 0.33, 0.03, 0.5)]
+    got = {r["column"]: (r["original"], r["value"], r["confidence"], r["repaired"]) for r in products.product_cells(page(spark, rows), "page").collect()}
+    assert got == {"行号": ("10", "10", 0.9, False), "物料编号": ("aaa b", "aaa b", 0.3, False), "出库仓库": ("x9", "X9", 0.88, True)}
